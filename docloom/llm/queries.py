@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import table
 from docloom.llm.packing import pack_documents
 from docloom.llm.simhash import simhash_components
+from docloom.llm.toxicity import classify, fit
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +16,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return classify(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -25,6 +31,6 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op9_packing": op9_packing}
+QUERIES = {"op3_simhash": op3_simhash, "op6_toxicity": op6_toxicity, "op9_packing": op9_packing}
 
 ORACLE_SQL: dict[str, str] = {}
