@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.common import table
+from docloom.llm.neardup_vectors import vector_links
 from docloom.llm.packing import pack_documents
 from docloom.llm.simhash import simhash_components
 from docloom.llm.toxicity import classify, fit
@@ -27,10 +28,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links(table(spark, sf_dir, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op6_toxicity": op6_toxicity, "op9_packing": op9_packing}
+QUERIES = {"op3_simhash": op3_simhash, "op6_toxicity": op6_toxicity, "op8_vectors": op8_vectors, "op9_packing": op9_packing}
 
 ORACLE_SQL: dict[str, str] = {}
