@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.llm import licenses
 from docloom.llm.common import table
 from docloom.llm.neardup_vectors import vector_links
 from docloom.llm.packing import pack_documents
@@ -12,6 +13,10 @@ from docloom.llm.simhash import simhash_components
 from docloom.llm.toxicity import classify, fit
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -36,6 +41,6 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op6_toxicity": op6_toxicity, "op8_vectors": op8_vectors, "op9_packing": op9_packing}
+QUERIES = {"op2_licenses": op2_licenses, "op3_simhash": op3_simhash, "op6_toxicity": op6_toxicity, "op8_vectors": op8_vectors, "op9_packing": op9_packing}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_licenses": licenses.oracle_sql()}
