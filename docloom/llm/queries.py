@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import licenses
+from docloom.llm import licenses, lines
 from docloom.llm.common import table
 from docloom.llm.neardup_vectors import vector_links
 from docloom.llm.packing import pack_documents
@@ -33,6 +33,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_links(table(spark, sf_dir, "embeddings"))
 
@@ -41,6 +46,6 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op2_licenses": op2_licenses, "op3_simhash": op3_simhash, "op6_toxicity": op6_toxicity, "op8_vectors": op8_vectors, "op9_packing": op9_packing}
+QUERIES = {"op2_licenses": op2_licenses, "op3_simhash": op3_simhash, "op6_toxicity": op6_toxicity, "op7_lines": op7_lines, "op8_vectors": op8_vectors, "op9_packing": op9_packing}
 
-ORACLE_SQL: dict[str, str] = {"op2_licenses": licenses.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_licenses": licenses.oracle_sql(), "op7_lines": lines.oracle_sql()}
