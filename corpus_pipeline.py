@@ -1,24 +1,63 @@
-"""The corpus pipeline: each stage reads what its predecessor kept."""
+"""The corpus pipeline: toxicity, line dedup, SimHash near-dedup, mixing and packing, each over all its predecessor kept.
+
+``run`` applies the stages to ``documents``. All but the last return the columns of documents. Rows with null ids or
+texts pass through as each operator says; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docloom.llm import lines, mixing, packing, simhash, toxicity
+from docloom.llm.common import settled, table
+from docloom.llm.queries import tokenizer_path
+
+WEIGHTS = {"good": 0.9, "poor": 0.1}  # of the tokens by predicted quality
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
-from docloom.llm.common import table
-from docloom.llm.simhash import keep_one_each
+
+def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later repeats of line runs go from the texts, and documents that lose all of their text that way."""
+    found = lines.dedup_lines(docs).where("n_removed = 0 or text <> ''")
+    n_chars = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))
+    return found.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_one_each(docs)
+    """One document of each group of near-duplicates stays."""
+    return simhash.keep_one_each(docs).select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeat by their rates until expected totals by quality have the target weights; each stays once at least."""
+    labels = mixing.quality_domains(table(spark, sf_dir, "labels"))
+    mixed = mixing.mix(docs, labels, WEIGHTS, keep_all=True)
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of at most 1024 ids: a row for each piece of each document, with its place."""
+    return packing.pack_documents(docs, tokenizer_path())
 
 
-STAGES = [("simhash", simhash_stage)]
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("line dedup", lines_stage),
+    ("simhash", simhash_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # model scores, fingerprints' components and tokens are beyond SQL; tests compare with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = settled(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

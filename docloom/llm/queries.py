@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import licenses, lines
+from docloom.llm import licenses, lines, mixing
 from docloom.llm.common import table
 from docloom.llm.neardup_vectors import vector_links
 from docloom.llm.packing import pack_documents
@@ -22,6 +22,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = mixing.mix(docs, mixing.quality_domains(labels), {"good": 0.82, "poor": 0.09, "toxic": 0.09})
+    return found.select("doc_id", "tokens", "p_good", "p_poor", "p_toxic", "rate", "copies")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return classify(docs, fit(docs, table(spark, sf_dir, "labels")))
@@ -46,6 +52,6 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op2_licenses": op2_licenses, "op3_simhash": op3_simhash, "op6_toxicity": op6_toxicity, "op7_lines": op7_lines, "op8_vectors": op8_vectors, "op9_packing": op9_packing}
+QUERIES = {"op2_licenses": op2_licenses, "op3_simhash": op3_simhash, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_lines": op7_lines, "op8_vectors": op8_vectors, "op9_packing": op9_packing}
 
 ORACLE_SQL: dict[str, str] = {"op2_licenses": licenses.oracle_sql(), "op7_lines": lines.oracle_sql()}
