@@ -130,7 +130,7 @@ def fit_rates(soft: DataFrame, domains: int, weights: list[float], keep_all: boo
     whiten = np.linalg.inv(moments + RIDGE * np.eye(domains))
     before = np.full(domains, np.inf)
     share = [w / sum(weights) for w in weights]
-    scale = max([1.0, *(float(a) / total / s for a, s in zip(first[1:], share, strict=True) if s)]) if keep_all else 1.0
+    scale = max([1.0, *(float(a) / total / s for a, s in zip(first[1 : 1 + domains], share, strict=True) if s)]) if keep_all else 1.0
     now = settled(soft.select("n", *p, F.lit(1.0).alias("r"), F.lit(1.0).alias("y")))
     steps: list[tuple[list[float], float]] = []
     done, moment = 0, 1.0
