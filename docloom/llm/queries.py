@@ -10,9 +10,14 @@ from docloom.llm.common import table
 from docloom.llm.neardup_vectors import vector_links
 from docloom.llm.packing import pack_documents
 from docloom.llm.simhash import simhash_components
+from docloom.llm.substrings import dedup_substrings
 from docloom.llm.toxicity import classify, fit
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -52,6 +57,6 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op2_licenses": op2_licenses, "op3_simhash": op3_simhash, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_lines": op7_lines, "op8_vectors": op8_vectors, "op9_packing": op9_packing}
+QUERIES = {"op1_substrings": op1_substrings, "op2_licenses": op2_licenses, "op3_simhash": op3_simhash, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_lines": op7_lines, "op8_vectors": op8_vectors, "op9_packing": op9_packing}
 
 ORACLE_SQL: dict[str, str] = {"op2_licenses": licenses.oracle_sql(), "op7_lines": lines.oracle_sql()}
