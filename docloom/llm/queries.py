@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import licenses, lines, mixing
+from docloom.llm import ann, chat, licenses, lines, mixing
 from docloom.llm.common import table
 from docloom.llm.neardup_vectors import vector_links
 from docloom.llm.packing import pack_documents
@@ -27,6 +27,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     found = mixing.mix(docs, mixing.quality_domains(labels), {"good": 0.82, "poor": 0.09, "toxic": 0.09})
@@ -38,6 +42,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -57,6 +65,6 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op1_substrings": op1_substrings, "op2_licenses": op2_licenses, "op3_simhash": op3_simhash, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_lines": op7_lines, "op8_vectors": op8_vectors, "op9_packing": op9_packing}
+QUERIES = {"op1_substrings": op1_substrings, "op2_licenses": op2_licenses, "op3_simhash": op3_simhash, "op4_ann": op4_ann, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_lines": op7_lines, "op8_vectors": op8_vectors, "op9_packing": op9_packing, "op10_chat": op10_chat}
 
-ORACLE_SQL: dict[str, str] = {"op2_licenses": licenses.oracle_sql(), "op7_lines": lines.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_licenses": licenses.oracle_sql(), "op7_lines": lines.oracle_sql(), "op10_chat": chat.ORACLE_SQL}
