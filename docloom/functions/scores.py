@@ -48,7 +48,7 @@ def date_side(day: Column | str, today: Column | str) -> Column:
 def nearest_year_date(month: Column, day: Column, today: Column | str, ahead: bool) -> Column:
     """The next (or last) date with that month and day; 29 February falls back to the 28th."""
     today = col(today).cast("date")
-    made = lambda year: F.coalesce(F.try_make_date(year, month, day) if hasattr(F, "try_make_date") else F.make_date(year, month, day), F.make_date(year, month, F.lit(28)))
+    made = lambda year: F.make_date(year, month, F.least(day, F.day(F.last_day(F.make_date(year, month, F.lit(1))))))
     this = made(F.year(today))
     return F.when(this >= today, this).otherwise(made(F.year(today) + 1)) if ahead else F.when(this <= today, this).otherwise(made(F.year(today) - 1))
 

@@ -183,4 +183,61 @@ WITH f AS (SELECT page_id, (['pdf', 'txt', 'csv', 'docx', 'zzz', 'mp3'])[page_id
 SELECT page_id, CASE WHEN kind LIKE 'audio/%' THEN 'unsupported' WHEN kind = 'text/plain' AND ext = 'csv' THEN 'table' WHEN kind = 'text/plain' THEN 'text' WHEN kind = 'application/pdf' THEN 'pdf'
   ELSE CASE ext WHEN 'pdf' THEN 'pdf' WHEN 'txt' THEN 'text' WHEN 'csv' THEN 'table' WHEN 'docx' THEN 'office' ELSE 'unsupported' END END AS parser FROM f""",
     "changed_rows": "SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0 OR (c_custkey % 5 = 0 AND c_name <> 'other')",
+    "lexical_leg": f"""
+WITH w AS (SELECT doc_id, {words('text')} AS ws FROM documents),
+s AS (SELECT doc_id, round(({' + '.join(f"ln(1.0::DOUBLE + len(list_filter(ws, lambda w: w = '{t}')))" for t in ('license', 'version', 'the'))}) / ln(2.0::DOUBLE + len(ws)), 9) AS lexical_score FROM w)
+SELECT * FROM s WHERE lexical_score > 0 ORDER BY lexical_score DESC, doc_id LIMIT 40""",
+    "merge_legs": f"""
+WITH {CANONICAL}, r AS (SELECT canonical AS key, page_id % 3 AS leg, page_id AS place, page_id % 4 = 0 AS relevant FROM z),
+n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY relevant DESC, leg, place) AS n, min((leg, place)) OVER (PARTITION BY key) AS f FROM r)
+SELECT key, leg, place, relevant, f[1] AS first_leg, f[2] AS first_place FROM n WHERE n = 1""",
+    "web_order": rf"""
+SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) AS host FROM pages
+ORDER BY page_id % 2, contains(url, 'utm_'), ({hits('lower(html)', FURNITURE)}) >= 2, page_id LIMIT 25""",
+    "envelopes": """
+WITH r AS (SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS rank FROM lineitem)
+SELECT l_suppkey, rank, min(rank) OVER (PARTITION BY l_suppkey) AS file_rank,
+  'chunk ' || row_number() OVER (PARTITION BY l_suppkey ORDER BY rank) || ' of ' || count(*) OVER (PARTITION BY l_suppkey) AS label FROM r""",
+    "evidence_registry": """
+WITH r AS (SELECT user_id, CASE WHEN event_id % 2 = 0 THEN 'V' ELSE 'W' END AS kind, floor(value)::BIGINT AS item, min(event_id) AS first FROM events GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id, kind ORDER BY first, item) AS n FROM r) SELECT user_id, item, kind || n AS label FROM n WHERE n <= 40""",
+    "keep_files": """
+WITH li AS (SELECT *, l_linenumber * 1000000 + l_partkey AS place FROM lineitem), n AS (SELECT l_orderkey, l_returnflag, place, row_number() OVER (PARTITION BY l_orderkey ORDER BY place) AS n FROM li),
+h AS (SELECT * FROM n WHERE n <= 3), b AS (SELECT l_orderkey, l_returnflag, min(place) AS place FROM n GROUP BY ALL),
+v AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.l_orderkey = b.l_orderkey AND h.l_returnflag = b.l_returnflag)),
+l AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY place DESC) = 1)
+SELECT l_orderkey, l_returnflag, place FROM h WHERE n < 3 OR l_orderkey NOT IN (SELECT l_orderkey FROM l) UNION ALL SELECT * FROM l""",
+    "relevance_pool": """
+WITH li AS (SELECT *, l_linenumber * 1000000 + l_partkey AS place FROM lineitem), n AS (SELECT l_orderkey, place, l_returnflag = 'R' AS flag, bool_or(l_returnflag = 'R') OVER (PARTITION BY l_orderkey) AS a,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_returnflag = 'R') DESC, place) AS n FROM li) SELECT l_orderkey, place, flag FROM n WHERE a AND n <= 3""",
+    "rescue_rows": """
+WITH li AS (SELECT *, l_linenumber * 1000000 + l_partkey AS place FROM lineitem), n AS (SELECT *, l_returnflag = 'R' AS f, row_number() OVER (PARTITION BY l_orderkey, l_returnflag = 'R' ORDER BY place) AS n FROM li)
+SELECT l_orderkey, place, f OR (n <= 3 AND l_quantity / 50 >= 0.5) AS flag FROM n""",
+    "representative_sample": """
+WITH n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT user_id, event_id FROM n WHERE n <= 12 OR i IN (SELECT round_even(k * (n.n - 1) / 11.0::DOUBLE, 0)::BIGINT FROM range(12) r(k))""",
+    "row_digests": "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus",
+    "integrity_report": """
+SELECT 'orphans' AS what, (SELECT count(*) FROM orders WHERE o_custkey % 4 = 0 OR o_custkey NOT IN (SELECT c_custkey FROM customer)) AS n
+UNION ALL SELECT 'duplicates', (SELECT count(*) FROM (SELECT 1 FROM orders GROUP BY o_custkey, o_orderstatus HAVING count(*) > 1))""",
+    "identity_facts": """
+SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN 'name' ELSE 'units' END AS predicate, CASE turn % 5 WHEN 0 THEN role ELSE 'metric' END AS value FROM conversations WHERE turn % 5 IN (0, 2)""",
+    "memory_verdicts": """
+WITH t AS (SELECT *, turn % 4 AS k, left(text, 5) AS s FROM conversations)
+SELECT conv_id, turn, CASE WHEN k = 2 THEN 'sensitive' WHEN right(trim(s), 1) = '?' THEN 'question' WHEN k = 1 THEN 'uncertain' WHEN role <> 'user' THEN 'not_explicit' WHEN k = 0 THEN 'third_party'
+  WHEN turn / 6 < 0.55 THEN 'low_confidence' WHEN turn / 6 >= 0.88 THEN 'active' ELSE 'pending' END AS verdict FROM t""",
+    "index_stats": """
+WITH g AS (SELECT o_custkey % 50 AS owner, count(*) AS n_files, count(*) FILTER (o_orderpriority < '4') AS eligible, count(*) FILTER (o_orderpriority < '4' AND o_orderstatus = 'O') AS ready,
+  count(*) FILTER (o_orderpriority >= '4' AND o_orderstatus = 'F') AS failed FROM orders GROUP BY 1)
+SELECT *, CASE WHEN greatest(eligible, ready) > 0 THEN floor(ready * 100 / greatest(eligible, ready)) ELSE 0 END::BIGINT AS percent FROM g""",
+    "sentence_union": r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), k AS (SELECT doc_id, lower(regexp_replace(line, '[.!?]+$', '')) AS k FROM l WHERE line <> '')
+SELECT sha256(k) AS key, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM k GROUP BY k HAVING count(DISTINCT doc_id) > 2""",
+    "nearest_dates": """
+WITH d AS (SELECT o_orderkey, month(o_orderdate) AS m, day(o_orderdate) AS d FROM orders),
+y AS (SELECT o_orderkey, make_date(2022, m, least(d, day(last_day(make_date(2022, m, 1))))) AS a, make_date(2023, m, least(d, day(last_day(make_date(2023, m, 1))))) AS b, make_date(2024, m, least(d, day(last_day(make_date(2024, m, 1))))) AS c FROM d)
+SELECT o_orderkey, CASE WHEN b >= DATE '2023-03-01' THEN b ELSE c END AS ahead, CASE WHEN b <= DATE '2023-03-01' THEN b ELSE a END AS back FROM y""",
+    "grade_report": """
+WITH r AS (SELECT event_type, round(avg((value >= 20)::INT::DOUBLE) * 100, 4) AS rate FROM events GROUP BY event_type)
+SELECT *, CASE WHEN rate >= 90 THEN 'A' WHEN rate >= 75 THEN 'B' WHEN rate >= 60 THEN 'C' ELSE 'D' END AS grade FROM r""",
 }

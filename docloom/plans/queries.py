@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.functions import scores, text
-from docloom.operators import chunks, evidence, library, memory, retrieval
+from docloom.functions import facts, scores, text
+from docloom.operators import chunks, evidence, library, memory, retrieval, web
 from docloom.sources import readers, sinks
 
 HINTS = {"letter": ["the", "and"], "note": ["que", "les"], "report": ["der", "und"], "sheet": ["%%%", "***"]}
@@ -287,10 +287,106 @@ def changed_rows(spark: SparkSession, d: str) -> DataFrame:
     return sinks.changed_only(c, old, "c_custkey").select("c_custkey")
 
 
+def lexical_leg(spark: SparkSession, d: str) -> DataFrame:
+    return web.lexical_scores(read(spark, d, "documents"), "doc_id", text.normalized_words("text"), ["license", "version", "the"], 40)
+
+
+def merge_legs(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "pages").select(text.canonical_url("url").alias("key"), (F.col("page_id") % 3).alias("leg"), F.col("page_id").alias("place"), (F.col("page_id") % 4 == 0).alias("relevant"))
+    return web.merge_legs(rows, "key", "leg", "place", "relevant").select("key", "leg", "place", "relevant", "first_leg", "first_place")
+
+
+def web_order(spark: SparkSession, d: str) -> DataFrame:
+    pages = read(spark, d, "pages").withColumn("host", F.lower(F.regexp_extract("url", r"^https?://([^/?#]*)", 1)))
+    flags = (F.col("page_id") % 2 == 0), F.col("url").contains("utm_"), text.furniture_hits("html") >= 2
+    top = pages.orderBy(*web.web_order(*flags), "page_id").limit(25)
+    return top.select("page_id", "host")
+
+
+def envelopes(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("rank"))
+    return web.envelopes(rows, "l_suppkey", "rank").select("l_suppkey", "rank", "file_rank", "label")
+
+
+def evidence_registry(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "events").withColumn("kind", F.when(F.col("event_id") % 2 == 0, "vault").otherwise("web")).withColumn("item", F.floor("value"))
+    return web.registry(rows, "user_id", "kind", "item", "event_id").select("user_id", "item", "label")
+
+
+def keep_files(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_returnflag", (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("place"))
+    return web.keep_files(rows, "l_orderkey", "l_returnflag", "place", 3)
+
+
+def relevance_pool(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("place"), (F.col("l_returnflag") == "R").alias("flag"))
+    return web.pool(rows, "l_orderkey", "flag", "place", 3)
+
+
+def rescue_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("place"), (F.col("l_returnflag") == "R").alias("flag"), "l_quantity")
+    return web.rescue(rows, "l_orderkey", "flag", "place", F.col("l_quantity") / 50).select("l_orderkey", "place", "flag")
+
+
+def representative_sample(spark: SparkSession, d: str) -> DataFrame:
+    return web.representative_sample(read(spark, d, "events").select("user_id", "event_id"), "user_id", "event_id", 12)
+
+
+def row_digests(spark: SparkSession, d: str) -> DataFrame:
+    return web.row_digest(read(spark, d, "orders"), ["o_orderstatus"], ["o_orderkey", "o_custkey"]).select("o_orderstatus", "n")
+
+
+def integrity_report(spark: SparkSession, d: str) -> DataFrame:
+    o, c = read(spark, d, "orders"), read(spark, d, "customer").where("c_custkey % 4 > 0")
+    lost = web.orphans(o.select(F.col("o_custkey").alias("k")), c, "k", "c_custkey").agg(F.count("*").alias("n"))
+    twice = web.duplicates(o, ["o_custkey", "o_orderstatus"]).agg(F.count("*").alias("n"))
+    return lost.select(F.lit("orphans").alias("what"), "n").unionByName(twice.select(F.lit("duplicates").alias("what"), "n"))
+
+
+def identity_facts(spark: SparkSession, d: str) -> DataFrame:
+    said = F.concat(F.element_at(F.array(*(F.lit(x) for x in ("my name is ", "maybe call me ", "i prefer metric units ", "my wife said my name is ", "hello "))), (F.col("turn") % 5 + 1).cast("int")), F.col("role"))
+    return read(spark, d, "conversations").select("conv_id", "turn", facts.identity_fact(said).alias("f")).where("f is not null").select("conv_id", "turn", "f.predicate", "f.value")
+
+
+def memory_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    turns = read(spark, d, "conversations").withColumn("said", F.concat(F.element_at(F.array(*(F.lit(x) for x in ("he ", "I think ", "password: abcdef ", "I like "))), (F.col("turn") % 4 + 1).cast("int")), F.left("text", F.lit(5))))
+    return turns.select("conv_id", "turn", facts.memory_verdict("said", F.col("turn") / 6, F.col("role") == "user").alias("verdict"))
+
+
+def exact_calculator(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(["What is 2+2?", "2024-2025", "123-45-6789", "(3 + 4) * 2", "2^10", "7 // 2", "1/0", "none"])], "k long, t string")
+    return rows.select("k", facts.calculated(facts.expression_in("t")).alias("value"))
+
+
+def index_stats(spark: SparkSession, d: str) -> DataFrame:
+    o = read(spark, d, "orders")
+    ready, fit = F.col("o_orderstatus") == "O", F.col("o_orderpriority") < "4"
+    rows = o.groupBy((F.col("o_custkey") % 50).alias("owner")).agg(F.count("*").alias("n_files"), F.count_if(fit).alias("eligible"), F.count_if(fit & ready).alias("ready"), F.count_if(~fit & (F.col("o_orderstatus") == "F")).alias("failed"))
+    return rows.withColumn("percent", F.when(F.greatest("eligible", "ready") > 0, F.floor(F.col("ready") * 100 / F.greatest("eligible", "ready"))).otherwise(0).cast("long"))
+
+
+def sentence_union(spark: SparkSession, d: str) -> DataFrame:
+    lines = read(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+    key = F.lower(F.regexp_replace("line", "[.!?]+$", ""))
+    return lines.groupBy(F.sha2(key, 256).alias("key")).agg(F.countDistinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc")).where("n_docs > 2")
+
+
+def nearest_dates(spark: SparkSession, d: str) -> DataFrame:
+    o, day = read(spark, d, "orders"), F.col("o_orderdate").cast("date")
+    return o.select("o_orderkey", scores.nearest_year_date(F.month(day), F.day(day), F.lit("2023-03-01"), True).alias("ahead"), scores.nearest_year_date(F.month(day), F.day(day), F.lit("2023-03-01"), False).alias("back"))
+
+
+def grade_report(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events").groupBy("event_type").agg(F.round(F.avg((F.col("value") >= 20).cast("double")) * 100, 4).alias("rate"))
+    return e.withColumn("grade", F.when(F.col("rate") >= 90, "A").when(F.col("rate") >= 75, "B").when(F.col("rate") >= 60, "C").otherwise("D"))
+
+
 QUERIES = {f.__name__: f for f in (
     hybrid_vector_topk, hybrid_blend, literal_pin, rare_term_pin, file_scope_cap, scoped_representation, discovery_floor, rerank_floor, eligible_chunks,
     account_counts, storage_rollup, tree_rollup, tree_paths, tag_histogram, paged_list, latest_per_group, semi_has_reply, pair_complete_turns, history_budget,
     heal_stale, diverse_pick, canonical_url_dedupe, boilerplate_flags, page_elements, keyword_gate, exact_duplicates, redact_text, sensitive_screen, token_counts,
     normalized_texts, chunk_counts, text_elements, doc_classify, ngram_topics, extractive_summary, fingerprint_upsert, supersede_latest, drift_report, two_hop_related,
-    memory_recall, session_activity, queue_order, job_state_fold, date_math, evidence_scores, extracted_facts, ungrounded_claims, mutual_pairs, word_stems, route_files, changed_rows,
+    memory_recall, session_activity, queue_order, job_state_fold, date_math, evidence_scores, extracted_facts, ungrounded_claims, mutual_pairs, word_stems, route_files, changed_rows, lexical_leg, merge_legs, web_order, envelopes,
+    evidence_registry, keep_files, relevance_pool, rescue_rows, representative_sample, row_digests, integrity_report, identity_facts, memory_verdicts, exact_calculator,
+    index_stats, sentence_union, nearest_dates, grade_report,
 )}
