@@ -202,16 +202,16 @@ SELECT l_suppkey, rank, min(rank) OVER (PARTITION BY l_suppkey) AS file_rank,
 WITH r AS (SELECT user_id, CASE WHEN event_id % 2 = 0 THEN 'V' ELSE 'W' END AS kind, floor(value)::BIGINT AS item, min(event_id) AS first FROM events GROUP BY ALL),
 n AS (SELECT *, row_number() OVER (PARTITION BY user_id, kind ORDER BY first, item) AS n FROM r) SELECT user_id, item, kind || n AS label FROM n WHERE n <= 40""",
     "keep_files": """
-WITH li AS (SELECT *, l_linenumber * 1000000 + l_partkey AS place FROM lineitem), n AS (SELECT l_orderkey, l_returnflag, place, row_number() OVER (PARTITION BY l_orderkey ORDER BY place) AS n FROM li),
+WITH li AS (SELECT *, l_linenumber::BIGINT * 1000000000 + l_partkey * 1000 + l_suppkey % 1000 AS place FROM lineitem), n AS (SELECT l_orderkey, l_returnflag, place, row_number() OVER (PARTITION BY l_orderkey ORDER BY place) AS n FROM li),
 h AS (SELECT * FROM n WHERE n <= 3), b AS (SELECT l_orderkey, l_returnflag, min(place) AS place FROM n GROUP BY ALL),
 v AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.l_orderkey = b.l_orderkey AND h.l_returnflag = b.l_returnflag)),
 l AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY place DESC) = 1)
 SELECT l_orderkey, l_returnflag, place FROM h WHERE n < 3 OR l_orderkey NOT IN (SELECT l_orderkey FROM l) UNION ALL SELECT * FROM l""",
     "relevance_pool": """
-WITH li AS (SELECT *, l_linenumber * 1000000 + l_partkey AS place FROM lineitem), n AS (SELECT l_orderkey, place, l_returnflag = 'R' AS flag, bool_or(l_returnflag = 'R') OVER (PARTITION BY l_orderkey) AS a,
+WITH li AS (SELECT *, l_linenumber::BIGINT * 1000000000 + l_partkey * 1000 + l_suppkey % 1000 AS place FROM lineitem), n AS (SELECT l_orderkey, place, l_returnflag = 'R' AS flag, bool_or(l_returnflag = 'R') OVER (PARTITION BY l_orderkey) AS a,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_returnflag = 'R') DESC, place) AS n FROM li) SELECT l_orderkey, place, flag FROM n WHERE a AND n <= 3""",
     "rescue_rows": """
-WITH li AS (SELECT *, l_linenumber * 1000000 + l_partkey AS place FROM lineitem), n AS (SELECT *, l_returnflag = 'R' AS f, row_number() OVER (PARTITION BY l_orderkey, l_returnflag = 'R' ORDER BY place) AS n FROM li)
+WITH li AS (SELECT *, l_linenumber::BIGINT * 1000000000 + l_partkey * 1000 + l_suppkey % 1000 AS place FROM lineitem), n AS (SELECT *, l_returnflag = 'R' AS f, row_number() OVER (PARTITION BY l_orderkey, l_returnflag = 'R' ORDER BY place) AS n FROM li)
 SELECT l_orderkey, place, f OR (n <= 3 AND l_quantity / 50 >= 0.5) AS flag FROM n""",
     "representative_sample": """
 WITH n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)

@@ -314,17 +314,17 @@ def evidence_registry(spark: SparkSession, d: str) -> DataFrame:
 
 
 def keep_files(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "lineitem").select("l_orderkey", "l_returnflag", (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("place"))
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_returnflag", (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000).alias("place"))
     return web.keep_files(rows, "l_orderkey", "l_returnflag", "place", 3)
 
 
 def relevance_pool(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("place"), (F.col("l_returnflag") == "R").alias("flag"))
+    rows = read(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000).alias("place"), (F.col("l_returnflag") == "R").alias("flag"))
     return web.pool(rows, "l_orderkey", "flag", "place", 3)
 
 
 def rescue_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("place"), (F.col("l_returnflag") == "R").alias("flag"), "l_quantity")
+    rows = read(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000).alias("place"), (F.col("l_returnflag") == "R").alias("flag"), "l_quantity")
     return web.rescue(rows, "l_orderkey", "flag", "place", F.col("l_quantity") / 50).select("l_orderkey", "place", "flag")
 
 
