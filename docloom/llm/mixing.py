@@ -150,27 +150,53 @@ def fit_rates(soft: DataFrame, domains: int, weights: list[float], keep_all: boo
     return steps
 
 
+def chance(id_col: str, text_col: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
+def with_posteriors(rows: DataFrame, model: Classifier, words: str, names: list[str]) -> DataFrame:
+    """Posterior columns for a column of words, which goes; the sums are a column first, so that each is computed once."""
+    rows = rows.withColumn("_sums", F.array(*model.sums(features(F.col(words))), F.lit(0.0))).drop(words)
+    sums = [F.get("_sums", F.lit(k)) for k in range(len(names) - 1)]
+    return rows.withColumns(dict(zip(names, model.posterior(sums), strict=True))).drop("_sums")
+
+
+def rounded(rate: Column, draw: Column, keep_all: bool) -> Column:
+    copies = F.floor(rate + draw).cast("int")
+    return F.greatest(copies, F.lit(1)) if keep_all else copies
+
+
+def rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", keep_all: bool = False) -> DataFrame:
+    """(id, tokens, p_<domain>..., rate, copies) of each row, as mix() has them, from one pass over the texts."""
+    domains = list(weights)
+    model = fit_classifier(docs, labelled, domains, id_col, text_col, domain_col)
+    names = [f"p{k}" for k in range(len(domains))]
+    rows = docs.select(F.col(id_col).alias("_id"), chance(id_col, text_col).alias("_draw"), word_list(text_col).alias("_words")).withColumn("n", F.size("_words").cast("long"))
+    soft = settled(with_posteriors(rows, model, "_words", names))
+    steps = fit_rates(soft, len(domains), list(weights.values()), keep_all)
+    rate = stepped(F.lit(1.0), F.lit(1.0), [F.col(x) for x in names], steps)["r"]
+    out = soft.withColumn("rate", rate)
+    return out.select(F.col("_id").alias(id_col), F.col("n").alias("tokens"), *(F.col(x).alias(f"p_{d}") for x, d in zip(names, domains, strict=True)), "rate", rounded(F.col("rate"), F.col("_draw"), keep_all).alias("copies"))
+
+
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", keep_all: bool = False) -> DataFrame:
     """The documents with columns tokens, p_<domain>..., rate and copies; replaced where docs has such names.
 
     copies is the rate rounded down or up by a hash of id and text, so that copies are rates on average; with
     ``keep_all`` it is 1 at least. Tokens are words between spaces and line feeds. Null or empty texts have no tokens,
-    the prior as posterior, and rates like any other; repeated rows get equal rates and copies; null ids take part. No
-    rows give no rows. Posteriors are computed twice, once for the fit and once for the result, so that no text is
-    shuffled.
+    the posterior of a text without known words, and rates like any other; repeated rows get equal rates and copies;
+    null ids take part. No rows give no rows. Posteriors are computed twice, once for the fit and once for the result,
+    so that no text is shuffled; where the texts aren't wanted, rates() reads them once.
     """
     domains = list(weights)
     model = fit_classifier(docs, labelled, domains, id_col, text_col, domain_col)
-    words = word_list(text_col)
-    soft = settled(docs.select(F.size(words).alias("n"), *(p.alias(f"p{k}") for k, p in enumerate(model.posterior(model.sums(features(words)))))))
-    steps = fit_rates(soft, len(domains), list(weights.values()), keep_all)
-    out = docs.withColumn("_words", words).withColumn("tokens", F.size("_words").cast("long"))
-    out = out.withColumn("_sums", F.array(*model.sums(features(F.col("_words"))), F.lit(0.0))).drop("_words")
-    out = out.withColumns({f"p_{d}": p for d, p in zip(domains, model.posterior([F.get("_sums", F.lit(k)) for k in range(len(domains) - 1)]), strict=True)})
+    names = [f"p{k}" for k in range(len(domains))]
+    words = docs.select(word_list(text_col).alias("_words")).withColumn("n", F.size("_words").cast("long"))
+    steps = fit_rates(settled(with_posteriors(words, model, "_words", names)), len(domains), list(weights.values()), keep_all)
+    out = docs.withColumn("_words", word_list(text_col)).withColumn("tokens", F.size("_words").cast("long"))
+    out = with_posteriors(out, model, "_words", [f"p_{d}" for d in domains])
     out = out.withColumn("rate", stepped(F.lit(1.0), F.lit(1.0), [F.col(f"p_{d}") for d in domains], steps)["r"])
-    chance = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    copies = F.floor(F.col("rate") + chance).cast("int")
-    return out.withColumn("copies", F.greatest(copies, F.lit(1)) if keep_all else copies).drop("_sums")
+    return out.withColumn("copies", rounded(F.col("rate"), chance(id_col, text_col), keep_all))
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:

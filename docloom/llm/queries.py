@@ -33,8 +33,7 @@ def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    found = mixing.mix(docs, mixing.quality_domains(labels), {"good": 0.82, "poor": 0.09, "toxic": 0.09})
-    return found.select("doc_id", "tokens", "p_good", "p_poor", "p_toxic", "rate", "copies")
+    return mixing.rates(docs, mixing.quality_domains(labels), {"good": 0.82, "poor": 0.09, "toxic": 0.09})
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -278,6 +278,8 @@ def test_mixing_of_odd_rows(spark):
     docs = frame(spark, ODD).withColumn("rate", F.lit("mine")).withColumn("n", F.lit(1))
     got = mixing.mix(docs, labels, {"a": 0.6, "b": 0.4}, keep_all=True).collect()
     assert len(got) == len(ODD) and all(r["rate"] >= 0 and r["copies"] >= 1 and abs(r["p_a"] + r["p_b"] - 1) < 1e-9 for r in got)
+    same = mixing.rates(docs, labels, {"a": 0.6, "b": 0.4}, keep_all=True).collect()
+    assert Counter((r["doc_id"], r["tokens"], round(r["rate"], 9), r["copies"]) for r in got) == Counter((r["doc_id"], r["tokens"], round(r["rate"], 9), r["copies"]) for r in same)
     assert mixing.mix(frame(spark, []), labels, {"a": 1.0, "b": 1.0}).count() == 0
     assert mixing.mix(frame(spark, ODD), labels.limit(0), {"a": 1.0, "b": 1.0}).count() == len(ODD)
 
