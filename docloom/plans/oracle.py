@@ -240,4 +240,32 @@ SELECT o_orderkey, CASE WHEN b >= DATE '2023-03-01' THEN b ELSE c END AS ahead,
     "grade_report": """
 WITH r AS (SELECT event_type, round(avg((value >= 20)::INT::DOUBLE) * 100, 4) AS rate FROM events GROUP BY event_type)
 SELECT *, CASE WHEN rate >= 90 THEN 'A' WHEN rate >= 75 THEN 'B' WHEN rate >= 60 THEN 'C' ELSE 'D' END AS grade FROM r""",
+    "claim_atoms": r"""
+SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(list_transform(regexp_extract_all(text, '\p{Lu}[\p{L}\p{N}]+(?: \p{Lu}[\p{L}\p{N}]+)+'), lambda x: lower(x)),
+  list_transform(regexp_extract_all(text, '\b[0-9][0-9,]*(?:\.[0-9]+)?'), lambda x: CASE WHEN contains(x, '.') THEN regexp_replace(replace(x, ',', ''), '\.?0+$', '') ELSE replace(x, ',', '') END)))), '|') AS atoms FROM documents""",
+    "folded_tags": f"""
+WITH w AS (SELECT conv_id, turn, ({words('text')})[1:4] AS w FROM conversations),
+t AS (SELECT conv_id, turn, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS t, unnest(range(len(w) + greatest(len(w) - 1, 0))) AS i FROM w),
+u AS (SELECT conv_id, turn, trim(lower(t)) AS t, min(i) AS i FROM t GROUP BY conv_id, turn, trim(lower(t)) HAVING trim(lower(t)) <> '' AND length(trim(lower(t))) <= 40),
+k AS (SELECT a.*, row_number() OVER (PARTITION BY a.conv_id, a.turn ORDER BY a.i) AS r FROM u a WHERE NOT EXISTS (SELECT 1 FROM u b WHERE b.conv_id = a.conv_id AND b.turn = a.turn AND b.t <> a.t
+  AND list_has_all(string_split(b.t, ' '), string_split(a.t, ' ')) AND len(string_split(b.t, ' ')) > len(string_split(a.t, ' '))))
+SELECT w.conv_id, w.turn, coalesce(string_agg(k.t, '|' ORDER BY k.i), '') AS tags FROM w LEFT JOIN k ON k.conv_id = w.conv_id AND k.turn = w.turn AND k.r <= 6 GROUP BY w.conv_id, w.turn""",
+    "tags_evidenced": f"""
+WITH w AS (SELECT conv_id, turn, ' ' || array_to_string({words('text')}, ' ') || ' ' AS t FROM conversations) SELECT conv_id, turn FROM w WHERE contains(t, ' is the ')""",
+    "pairing_mismatches": """
+WITH s AS (SELECT DISTINCT l_orderkey % 40 AS file, l_suppkey AS entity, l_quantity AS number FROM lineitem WHERE l_linenumber > 1),
+a AS (SELECT DISTINCT l_orderkey % 40 AS file, l_suppkey AS entity, l_quantity AS number FROM lineitem WHERE l_linenumber = 1)
+SELECT file, entity, number FROM a WHERE (file, entity) IN (SELECT (file, entity) FROM s) AND NOT EXISTS (SELECT 1 FROM s WHERE s.file = a.file AND s.entity = a.entity AND s.number = a.number)""",
+    "enqueue_revisions": """
+WITH f AS (SELECT event_id, user_id, min(event_id) OVER (PARTITION BY user_id, floor(value)) AS first FROM events)
+SELECT event_id, dense_rank() OVER (PARTITION BY user_id ORDER BY first) AS revision, event_id > first AS reused FROM f""",
+    "claim_states": """
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'cancelled' WHEN o_custkey % 4 >= 3 THEN 'exhausted' WHEN o_orderkey % 2 = 0 AND o_orderdate > TIMESTAMP '1996-01-01' THEN 'leased' ELSE 'claimable' END AS state FROM orders""",
+    "summary_states": """
+WITH n AS (SELECT user_id, max(event_id) AS now FROM events WHERE user_id % 7 > 0 GROUP BY user_id), t AS (SELECT user_id, max(event_id) AS old FROM events WHERE event_id % 3 = 0 AND user_id % 5 > 0 GROUP BY user_id)
+SELECT coalesce(n.user_id, t.user_id) AS user_id, CASE WHEN now IS NULL THEN 'empty' WHEN old IS NULL THEN 'missing' WHEN old < now THEN 'stale' ELSE 'fresh' END AS state FROM n FULL JOIN t ON n.user_id = t.user_id""",
+    "fenced_results": "SELECT event_id FROM events QUALIFY ts::DATE = max(ts::DATE) OVER (PARTITION BY user_id)",
+    "resolved_scopes": """
+WITH p AS (SELECT o_custkey, list_sort(list(o_orderkey)) AS f FROM orders GROUP BY o_custkey), s AS (SELECT o_custkey, list_filter(f[1:5], lambda x: x % 3 > 0) AS s FROM p)
+SELECT o_custkey, CASE WHEN len(s) > 0 THEN array_to_string(s, ',') END AS scope FROM s""",
 }

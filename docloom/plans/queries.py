@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.functions import facts, scores, text
-from docloom.operators import chunks, evidence, library, memory, retrieval, web
+from docloom.functions import facts, questions, scores, text
+from docloom.operators import chunks, evidence, grounding, jobs, library, memory, retrieval, web
 from docloom.sources import readers, sinks
 
 HINTS = {"letter": ["the", "and"], "note": ["que", "les"], "report": ["der", "und"], "sheet": ["%%%", "***"]}
@@ -381,6 +381,66 @@ def grade_report(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumn("grade", F.when(F.col("rate") >= 90, "A").when(F.col("rate") >= 75, "B").when(F.col("rate") >= 60, "C").otherwise("D"))
 
 
+def claim_atoms(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", F.array_join(grounding.claim_atoms("text"), "|").alias("atoms"))
+
+
+def grounding_texts(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", F.sha2(grounding.grounding_text("text"), 256).alias("sha"))
+
+
+def folded_tags(spark: SparkSession, d: str) -> DataFrame:
+    words = text.normalized_words("text")
+    tags = F.concat(F.slice(words, 1, 4), text.ngrams(F.slice(words, 1, 4), 2))
+    return read(spark, d, "conversations").select("conv_id", "turn", F.array_join(grounding.fold_tags(tags), "|").alias("tags"))
+
+
+def tags_evidenced(spark: SparkSession, d: str) -> DataFrame:
+    t = read(spark, d, "conversations").withColumn("w", text.normalized_words("text"))
+    return t.where(grounding.tag_is_evidenced(F.lit("is the"), F.col("w"))).select("conv_id", "turn")
+
+
+def pairing_mismatches(spark: SparkSession, d: str) -> DataFrame:
+    li = read(spark, d, "lineitem")
+    shown = li.where("l_linenumber > 1").select((F.col("l_orderkey") % 40).alias("file"), F.col("l_suppkey").alias("entity"), F.col("l_quantity").alias("number"))
+    said = li.where("l_linenumber = 1").select((F.col("l_orderkey") % 40).alias("file"), F.col("l_suppkey").alias("entity"), F.col("l_quantity").alias("number")).distinct()
+    return grounding.pairing_mismatches(said, shown, "file")
+
+
+def recall_terms(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "conversations").select("conv_id", "turn", F.array_join(questions.recall_terms("text"), " ").alias("terms"), F.array_join(questions.rare_words("text"), " ").alias("rare"))
+
+
+def enqueue_revisions(spark: SparkSession, d: str) -> DataFrame:
+    found = jobs.enqueue(read(spark, d, "events").withColumn("key", F.floor("value")), "user_id", "key", "event_id")
+    return found.select("event_id", F.col("revision").cast("long").alias("revision"), "reused")
+
+
+def claim_states(spark: SparkSession, d: str) -> DataFrame:
+    o = read(spark, d, "orders")
+    state = jobs.claim_state(F.col("o_custkey") % 4, F.lit(3), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderdate")), F.lit("1996-01-01").cast("timestamp_ntz"), F.col("o_orderstatus") == "P")
+    return o.select("o_orderkey", state.alias("state"))
+
+
+def summary_states(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events")
+    seen = e.where("event_id % 3 = 0").groupBy("user_id").agg(F.max("event_id").alias("rev")).where("user_id % 5 > 0")
+    return jobs.summary_state(seen, e.where("user_id % 7 > 0").select("user_id", F.col("event_id").alias("rev")), "user_id", "rev")
+
+
+def fenced_results(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events").withColumn("generation", F.to_date("ts"))
+    current = e.groupBy("user_id").agg(F.max("generation").alias("generation"))
+    return jobs.fenced(e, current, "user_id", "generation").select("event_id")
+
+
+def resolved_scopes(spark: SparkSession, d: str) -> DataFrame:
+    per = read(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("files"))
+    allowed = F.filter("files", lambda x: x % 3 > 0)
+    scope = jobs.resolve_scope(F.slice("files", 1, 2), F.filter(F.slice("files", 3, 1), lambda x: x % 3 > 0), F.slice("files", 4, 2), allowed)
+    return per.select("o_custkey", F.array_join(scope, ",").alias("scope"))
+
+
 QUERIES = {f.__name__: f for f in (
     hybrid_vector_topk, hybrid_blend, literal_pin, rare_term_pin, file_scope_cap, scoped_representation, discovery_floor, rerank_floor, eligible_chunks,
     account_counts, storage_rollup, tree_rollup, tree_paths, tag_histogram, paged_list, latest_per_group, semi_has_reply, pair_complete_turns, history_budget,
@@ -388,5 +448,6 @@ QUERIES = {f.__name__: f for f in (
     normalized_texts, chunk_counts, text_elements, doc_classify, ngram_topics, extractive_summary, fingerprint_upsert, supersede_latest, drift_report, two_hop_related,
     memory_recall, session_activity, queue_order, job_state_fold, date_math, evidence_scores, extracted_facts, ungrounded_claims, mutual_pairs, word_stems, route_files, changed_rows, lexical_leg, merge_legs, web_order, envelopes,
     evidence_registry, keep_files, relevance_pool, rescue_rows, representative_sample, row_digests, integrity_report, identity_facts, memory_verdicts, exact_calculator,
-    index_stats, sentence_union, nearest_dates, grade_report,
+    index_stats, sentence_union, nearest_dates, grade_report, claim_atoms, grounding_texts, folded_tags, tags_evidenced, pairing_mismatches, recall_terms,
+    enqueue_revisions, claim_states, summary_states, fenced_results, resolved_scopes,
 )}

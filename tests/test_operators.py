@@ -128,3 +128,93 @@ def test_registry_numbers_items_once(spark, tmp_path):
     rows = [[("r", 0, "a"), ("r", 1, "b")], [("r", 2, "a"), ("r", 3, "c")]]
     got = run_stream(spark, tmp_path, rows, "run_id string, seq long, item_key string", state.evidence_registry, "registry")
     assert sorted(r["item_key"] for r in got) == ["a", "b", "c"] and sorted(r["label"] for r in got) == ["V1", "V2", "V3"]
+
+
+def frame(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+@pytest.mark.parametrize(
+    ("given", "expected"),
+    [("2+2", 4.0), ("(3 + 4) * 2", 14.0), ("2^10", 1024.0), ("7//2", 3.0), ("-5 % 3", 1.0), ("1/0", None), ("2**99", None), ("a+1", None), ("", None), (None, None), ("+".join("1" * 70), None)],
+)
+def test_arithmetic(given, expected):
+    from docloom.functions.facts import arithmetic
+
+    assert arithmetic(given) == expected
+
+
+@pytest.mark.parametrize(("given", "expected"), [("what is 2+2?", "2+2"), ("in 2024-2025", None), ("id 123-45-6789", None), ("none", None)])
+def test_expression_in(spark, given, expected):
+    from docloom.functions.facts import expression_in
+
+    assert one(spark, expression_in, given) == expected
+
+
+def test_spelling_is_only_set_right_when_clear(spark):
+    from docloom.functions.facts import spelled
+
+    fix = spelled(["retrieval", "evidence", "document"])
+    assert one(spark, fix, "Documnt of evidance") == "Document of evidance"
+    assert one(spark, fix, "cats") == "cats"
+
+
+def test_acronyms_are_expanded_once(spark):
+    from docloom.functions.facts import expand_acronyms
+
+    got = one(spark, lambda c: expand_acronyms(c, {"RAG": "retrieval augmented generation"}), "RAG helps")
+    assert got == "RAG (retrieval augmented generation) helps"
+
+
+@pytest.mark.parametrize(("given", "expected"), [("My name is Ann", ("name", "Ann")), ("maybe call me Ann", None), ("my wife said my name is Ann", None), ("I prefer metric units", ("units", "metric")), (None, None)])
+def test_identity_fact(spark, given, expected):
+    from docloom.functions.facts import identity_fact
+
+    got = one(spark, identity_fact, given)
+    assert (tuple(got) if got else None) == expected
+
+
+def test_entities_pair_with_their_nearest_number(spark):
+    from docloom.operators import grounding
+
+    rows = frame(spark, [(1, "Acme sold 20 units while Zeta sold 35 units.")], "id int, t string")
+    assert sorted(tuple(r) for r in grounding.entity_numbers(rows, "id", "t").collect()) == [(1, "Acme", "20"), (1, "Zeta", "35")]
+
+
+def test_relations_decimals_and_refusals(spark):
+    from docloom.operators import grounding
+
+    assert one(spark, grounding.relation_triples, "Ann Lee is the head of sales. nothing here.") == ["Ann Lee|the head of sales"]
+    assert [one(spark, grounding.decimal_form, x) for x in ("142.70", "1,000", "3.00", "10")] == ["142.7", "1000", "3", "10"]
+    rows = frame(spark, [("how many?", 1, 2), ("who?", 1, 2), ("who?", 0, 2), ("who?", 0, 0)], "q string, k int, t int")
+    assert [r[0] for r in rows.select(grounding.refuses_number(F.col("q"), F.col("k"), F.col("t"))).collect()] == [True, False, True, False]
+
+
+def test_summaries_must_be_grounded(spark):
+    from docloom.operators import grounding
+
+    rows = frame(spark, [("The invoice lists 120 items.", "an invoice that lists 120 items"), ("The invoice lists 130 items.", "an invoice that lists 120 items"), ("Penguins conquered Rome.", "an invoice")], "s string, e string")
+    assert [r[0] for r in rows.select(grounding.summary_is_grounded("s", "e")).collect()] == [True, False, False]
+
+
+def test_questions(spark):
+    from docloom.functions import questions
+
+    assert one(spark, questions.parts, "Who is it? what then; last and then more") == ["Who is it", "what then", "last", "more"]
+    assert [one(spark, questions.needs_web, x) for x in ("latest news", "2+2?", "convert 3 km to miles today", "my notes")] == [True, False, False, False]
+    assert one(spark, questions.topics, 'On "deep nets" by Ada Lovelace at NASA') == ["deep nets", "Ada Lovelace", "NASA"]
+    assert [one(spark, questions.literal_phrase, x) for x in ("ab", "word", "two words", "a-1")] == [None, None, "two words", "a-1"]
+    rows = frame(spark, [("what about it", "solar panels"), ("cats purr", "solar panels"), ("solar panels cost", "solar panels"), ("x", None)], "q string, b string")
+    assert [r[0] for r in rows.select(questions.turn_kind("q", "b")).collect()] == ["follow_up", "new_topic", "follow_up", "new_topic"]
+
+
+def test_scopes(spark):
+    from docloom.operators import jobs
+
+    rows = frame(spark, [([1], [2], [3, 1], [1, 2, 3]), ([1], [9], None, [1]), (None, None, [7], [1])], "s array<long>, e array<long>, f array<long>, a array<long>")
+    assert [r[0] for r in rows.select(jobs.resolve_scope(F.col("s"), F.col("e"), F.col("f"), F.col("a"))).collect()] == [[1, 2, 3], [], None]
+
+
+def test_pages_lose_their_furniture(spark):
+    html = "<html><head><title> A  b </title></head><body><nav>menu</nav><script>x<1</script><p>One &amp; two</p><!-- c --><footer>f</footer></body></html>"
+    assert one(spark, readers.page_title, html) == "A b" and one(spark, readers.page_text, html) == "One & two"
