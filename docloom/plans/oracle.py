@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from docloom.functions.questions import STOP
 from docloom.functions.text import FURNITURE, PROMO_URL_PARTS, SECRET_LABELS
 from docloom.plans.queries import HINTS, PHRASE, RARE, STATES
 
@@ -268,4 +269,7 @@ SELECT coalesce(n.user_id, t.user_id) AS user_id, CASE WHEN now IS NULL THEN 'em
     "resolved_scopes": """
 WITH p AS (SELECT o_custkey, list_sort(list(o_orderkey)) AS f FROM orders GROUP BY o_custkey), s AS (SELECT o_custkey, list_filter(f[1:5], lambda x: x % 3 > 0) AS s FROM p)
 SELECT o_custkey, CASE WHEN len(s) > 0 THEN array_to_string(s, ',') END AS scope FROM s""",
+    "recall_terms": f"""
+SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter({words('text')}, lambda w: length(w) >= 3 AND regexp_full_match(w, '[\\p{{L}}]+') AND NOT list_contains([{quoted(STOP)}], w)))), ' ') AS terms,
+  len(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 3)))::BIGINT AS n_rare FROM conversations""",
 }

@@ -408,7 +408,7 @@ def pairing_mismatches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recall_terms(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "conversations").select("conv_id", "turn", F.array_join(questions.recall_terms("text"), " ").alias("terms"), F.array_join(questions.rare_words("text"), " ").alias("rare"))
+    return read(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(questions.recall_terms("text")), " ").alias("terms"), F.size(questions.rare_words("text", 1000)).cast("long").alias("n_rare"))
 
 
 def enqueue_revisions(spark: SparkSession, d: str) -> DataFrame:

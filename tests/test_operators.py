@@ -218,3 +218,13 @@ def test_scopes(spark):
 def test_pages_lose_their_furniture(spark):
     html = "<html><head><title> A  b </title></head><body><nav>menu</nav><script>x<1</script><p>One &amp; two</p><!-- c --><footer>f</footer></body></html>"
     assert one(spark, readers.page_title, html) == "A b" and one(spark, readers.page_text, html) == "One & two"
+
+
+def test_grounding_text_and_summary(spark):
+    from docloom.operators import grounding
+
+    assert one(spark, grounding.grounding_text, "Sold 1,234  units (5%) on the 3rd") == "sold 1234 units (5) on the 3"
+    body = "Ok. This first sentence counts. Hm! So does this second one. And the third one too. Not a fourth one."
+    assert one(spark, text.extractive_summary, body) == "This first sentence counts. So does this second one. And the third one too."
+    assert one(spark, text.extractive_summary, "Too short. No.") is None
+    assert one(spark, lambda c: text.cut_at_word(c, 12), "alpha beta gamma") == "alpha beta"
