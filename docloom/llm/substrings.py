@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,13 +50,23 @@ def short(keys: np.ndarray, bits: int, width: int) -> np.ndarray:
 
 
 def packed(keys: np.ndarray, width: int) -> bytes:
-    return keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :].tobytes()
+    """Ascending keys of ``width`` bytes, as the compressed byte planes of their steps."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype(">u8").view(np.uint8).reshape(-1, 8)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps[:, 8 - width :].T).tobytes())
 
 
 def opened(blob: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(blob) // width, 8), np.uint8)
-    out[:, 8 - width :] = np.frombuffer(blob, np.uint8).reshape(-1, width)
-    return out.view(">u8").ravel().astype(np.uint64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(width, -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, 8 - width :] = planes.T
+    return np.cumsum(steps.view(">u8").ravel().astype(np.uint64), dtype=np.uint64)
+
+
+def among(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which keys a sorted table holds."""
+    if not len(table):
+        return np.zeros(len(keys), bool)
+    return table[np.minimum(np.searchsorted(table, keys), len(table) - 1)] == keys
 
 
 def cut(keys: np.ndarray, bits: int, width: int) -> Iterator[tuple[int, bytes]]:
@@ -74,13 +85,20 @@ def joined(bucket: int, blob: bytes, bits: int, width: int) -> np.ndarray:
     return opened(blob, width) | np.uint64(bucket << (min(64, bits + 8 * width) - bits) if bits else 0)
 
 
+def squeeze(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The texts compressed, as they are shuffled."""
+    tool = zstandard.ZstdCompressor(level=3)
+    for pdf in batches:
+        yield pdf.assign(body=[tool.compress(b) for b in pdf["body"]])
+
+
 class Block:
     """The documents of a block in order of id, as one stretch of bytes."""
 
     def __init__(self, docs: pd.DataFrame, skip: set[tuple[int, bytes]]):
         docs = docs.sort_values(["ord", "digest"], kind="stable")
         self.docs = docs
-        self.bodies = list(docs["body"])
+        self.bodies = [zstandard.ZstdDecompressor().decompress(b) for b in docs["body"]]
         self.copies = np.array([(o, d) in skip for o, d in zip(docs["ord"], docs["digest"], strict=True)], bool)
         sizes = np.array([len(b) for b in self.bodies], np.int64)
         self.ends = np.cumsum(sizes)
@@ -103,7 +121,7 @@ class Block:
     def suffixes(self, ranked: np.ndarray, bits: int, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and fingerprints of the windows with a ranked cover sample at one of their first places."""
         at, h = self.samples()
-        held = at[np.isin(short(h, bits, width), ranked)] if len(ranked) else at[:0]
+        held = at[among(short(h, bits, width), ranked)]
         total = len(self.data) - 8
         near = np.zeros(total + 1, np.int32)
         np.add.at(near, np.maximum(held - (PERIOD - 1), 0), 1)
@@ -121,7 +139,7 @@ class Block:
         """(bytes removed, runs, digest of the rest) of each document."""
         pos, h = self.suffixes(ranked, *sample)
         key = short(h, *suffix)
-        gone = np.isin(key, earlier) if len(earlier) else np.zeros(len(pos), bool)
+        gone = among(key, earlier)
         if len(pos):
             rank = self.rank[self.doc[pos]]
             order = np.lexsort((rank, key))
@@ -206,8 +224,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         blobs = [opened(x, sample_width) for x in mine["blob"]]
         keys = np.sort(np.concatenate([*blobs, *(opened(x, sample_width) for x in pdf.loc[pdf["kind"] == 2, "blob"])]))
         again = np.unique(keys[1:][keys[1:] == keys[:-1]])
-        out = [(b, x[np.isin(x, again)]) for b, x in zip(mine["block"], blobs, strict=True)]
-        return answers(out, 3, bucket, sample_width)
+        return answers([(b, x[among(x, again)]) for b, x in zip(mine["block"], blobs, strict=True)], 3, bucket, sample_width)
 
     def answers(out: list[tuple[int, np.ndarray]], kind: int, bucket: int, width: int) -> pd.DataFrame:
         out = [(b, packed(x, width)) for b, x in out if len(x)]
@@ -240,7 +257,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         ids = block.docs["ord"].astype("Int64").mask(block.docs["ord"] == LAST).array
         return pd.DataFrame({"id": ids, "n_bytes": sizes, "n_removed": [x[0] for x in found], "n_spans": [x[1] for x in found], "kept_sha256": [x[2] for x in found]})
 
-    texts = named.select("block", "ord", "digest", "body").groupBy("block")
+    texts = named.select("block", "ord", "digest", "body").mapInPandas(squeeze, "block int, ord long, digest binary, body binary").groupBy("block")
     told = lambda df: df.select("block", "kind", F.lit(None).cast("long").alias("of"), "bucket", "blob")
     with_notes = lambda df, f, schema: texts.cogroup(df.groupBy("block")).applyInPandas(f, schema)
     # one plan from here on, so that Spark shuffles the texts and the samples once and reuses both
