@@ -104,29 +104,36 @@ def calibrated_visits(tree: Tree, sample: np.ndarray, k: int, recall: float, che
     return int(np.quantile(needed, recall, method="higher")) + 1
 
 
-def nearest(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, vector id, score) of the k best of each query but itself; ties to smaller ids."""
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    scores = q @ x.T
-    for i in range(len(q)):
-        s = np.where(x_id == q_id[i], -np.inf, scores[i])
-        if len(s) > k:
-            least = np.partition(s, len(s) - k)[len(s) - k]
-            idx = np.flatnonzero(s >= least - 1e-9 * (1 + abs(least)) if np.isfinite(least) else s > -np.inf)
-        else:
-            idx = np.flatnonzero(s > -np.inf)
-        exact = (x[idx] * q[i]).sum(axis=1)  # one order of summing, so that equal vectors score alike
-        best = np.lexsort((x_id[idx], -exact))[:k]
-        out.append((np.full(len(best), q_id[i]), x_id[idx][best], exact[best]))
-    return tuple(map(np.concatenate, zip(*out, strict=True)))
+def nearest(q: np.ndarray, q_id: int, x: np.ndarray, x_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(id, score) of the k best of a query but itself; ties to smaller ids."""
+    s = np.where(x_id == q_id, -np.inf, x @ q)
+    idx = np.flatnonzero(s > -np.inf)
+    if len(idx) > k:
+        least = np.partition(s, len(s) - k)[len(s) - k]
+        idx = np.flatnonzero(s >= least - 1e-9 * (1 + abs(least)))
+    exact = (x[idx] * q).sum(axis=1)  # one order of summing, so that equal vectors score alike
+    best = np.lexsort((x_id[idx], -exact))[:k]
+    return x_id[idx][best], exact[best]
+
+
+def shards_of(held: dict[int, int], size: int) -> tuple[dict[int, int], dict[int, int]]:
+    """(shard of each leaf, parts of each shard): neighbouring leaves together up to ``size`` vectors, larger ones alone in parts."""
+    shard, parts, at, filled = {}, {}, -1, size
+    for leaf in sorted(held):
+        if filled + held[leaf] > size:
+            at, filled = at + 1, 0
+        shard[leaf], filled = at, filled + held[leaf]
+        parts[at] = -(-filled // size)
+    return shard, parts
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row its k nearest among all other ids, by inner product in doubles.
 
     The tree comes from a bounded sample in hash order; every vector is dealt to its leaf, and a query goes to as many
-    best bins as calibration on the sample asks for, and on until they hold k others at least. Leaves are cut into
-    shards, so a leaf with a third of all vectors is many tasks' work. Vectors null, zero, with null or non-finite
+    best bins as calibration on the sample asks for, and on until they hold k others at least. Neighbouring leaves share
+    a shard, which returns k rows for each query; a larger leaf is cut into parts, so one with a third of all vectors is
+    many tasks' work. Vectors null, zero, with null or non-finite
     components, without an id, or of another length than most take no part. Repeated ids are separate candidates, and
     queries if they are; none is its own neighbour. Fewer candidates than k: all of them. No rows give no rows.
     """
@@ -147,31 +154,40 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
 
     dealt = settled(rows.mapInPandas(deal, "id long, v array<double>, q boolean, leaf int"))
     held = dict(dealt.groupBy("leaf").count().collect())  # as many rows as the tree has leaves
-    shards = {b: -(-m // SHARD) for b, m in held.items()}
+    shard, parts = shards_of(held, SHARD)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for q_id, v in zip(pdf["id"], pdf["v"], strict=True):
-                seen = others = 0
+                seen, others, bins = 0, 0, {}
                 for b in tree.best_bins(v):
                     if seen >= visits and others > k:
                         break
                     seen, others = seen + 1, others + held.get(b, 0)
-                    out += [(q_id, v, b, s) for s in range(shards.get(b, 0))]
-            yield pd.DataFrame(out, columns=["q_id", "q_v", "leaf", "shard"])
+                    if b in shard:
+                        bins.setdefault(shard[b], []).append(b)
+                out += [(q_id, v, s, part, sorted(leaves)) for s, leaves in bins.items() for part in range(parts[s])]
+            yield pd.DataFrame(out, columns=["q_id", "q_v", "shard", "part", "leaves"])
 
-    count = F.create_map(*(F.lit(x) for pair in shards.items() for x in pair))
-    candidates = dealt.select("id", "v", "leaf", F.pmod(F.xxhash64("id"), F.element_at(count, F.col("leaf"))).cast("int").alias("shard"))
-    queries = dealt.where("q").select("id", "v").mapInPandas(route, "q_id long, q_v array<double>, leaf int, shard int")
+    literal = lambda d: F.create_map(*(F.lit(x) for pair in d.items() for x in pair))
+    placed = dealt.withColumn("shard", F.element_at(literal(shard), F.col("leaf")))
+    candidates = placed.select("id", "v", "leaf", "shard", F.pmod(F.xxhash64("id"), F.element_at(literal(parts), F.col("shard"))).cast("int").alias("part"))
+    queries = dealt.where("q").select("id", "v").mapInPandas(route, "q_id long, q_v array<double>, shard int, part int, leaves array<int>")
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        found = nearest(np.stack(left["q_v"].to_numpy()), left["q_id"].to_numpy(), np.stack(right["v"].to_numpy()), right["id"].to_numpy(), k)
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
-
-    keys = ["leaf", "shard"]
+        right = right.sort_values("leaf")
+        x, x_id, leaf = np.stack(right["v"].to_numpy()), right["id"].to_numpy(), right["leaf"].to_numpy()
+        out = []
+        for q_id, q, leaves in zip(left["q_id"], left["q_v"], left["leaves"], strict=True):
+            idx = np.flatnonzero(np.isin(leaf, leaves))
+            ids, scores = nearest(np.asarray(q), q_id, x[idx], x_id[idx], k)
+            out.append((np.full(len(ids), q_id), ids, scores))
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    keys = ["shard", "part"]
     found = queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
