@@ -80,9 +80,15 @@ def cut(keys: np.ndarray, bits: int, width: int) -> Iterator[tuple[int, bytes]]:
             yield b, packed(low[i:j], width)
 
 
-def joined(bucket: int, blob: bytes, bits: int, width: int) -> np.ndarray:
-    """The shortened keys that cut() put in a bucket."""
-    return opened(blob, width) | np.uint64(bucket << (min(64, bits + 8 * width) - bits) if bits else 0)
+def held(keys: np.ndarray, answers: Iterator[tuple[int, bytes]], bits: int, width: int) -> np.ndarray:
+    """The shortened keys, ascending, that (bucket, bit for each key that cut() put there) answers mark."""
+    keys = np.unique(short(keys, bits, width))
+    rest = min(64, bits + 8 * width) - bits
+    edges = [*(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(rest)) if bits else [0]), len(keys)]
+    marks = np.zeros(len(keys), bool)
+    for b, blob in answers:
+        marks[edges[b] : edges[b + 1]] = np.unpackbits(np.frombuffer(blob, np.uint8), count=edges[b + 1] - edges[b])
+    return keys[marks]
 
 
 def squeeze(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,14 +124,13 @@ class Block:
         at = np.concatenate(found) if found else np.empty(0, np.int64)
         return at, fingerprints(self.data, at, SAMPLE) if len(at) else np.empty(0, np.uint64)
 
-    def suffixes(self, ranked: np.ndarray, bits: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    def suffixes(self, at: np.ndarray, ranked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions and fingerprints of the windows with a ranked cover sample at one of their first places."""
-        at, h = self.samples()
-        held = at[among(short(h, bits, width), ranked)]
+        held_at = at[ranked]
         total = len(self.data) - 8
         near = np.zeros(total + 1, np.int32)
-        np.add.at(near, np.maximum(held - (PERIOD - 1), 0), 1)
-        np.add.at(near, held + 1, -1)
+        np.add.at(near, np.maximum(held_at - (PERIOD - 1), 0), 1)
+        np.add.at(near, held_at + 1, -1)
         open_ = np.cumsum(near[:total]) > 0
         # this reaches into the text before, where windows so near the end are too short anyway
         room = np.where(self.copies, 0, np.maximum(0, self.ends - self.starts - LENGTH + 1))
@@ -135,10 +140,8 @@ class Block:
         pos = np.flatnonzero(open_ & (np.cumsum(inside[:total]) > 0))
         return pos, fingerprints(self.data, pos, LENGTH) if len(pos) else np.empty(0, np.uint64)
 
-    def removed(self, ranked: np.ndarray, earlier: np.ndarray, sample: tuple[int, int], suffix: tuple[int, int]) -> list[tuple[int, int, str]]:
+    def removed(self, pos: np.ndarray, key: np.ndarray, earlier: np.ndarray) -> list[tuple[int, int, str]]:
         """(bytes removed, runs, digest of the rest) of each document."""
-        pos, h = self.suffixes(ranked, *sample)
-        key = short(h, *suffix)
         gone = among(key, earlier)
         if len(pos):
             rank = self.rank[self.doc[pos]]
@@ -198,10 +201,13 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     no_bucket = F.lit(None).cast("int").alias("bucket")
     notes = copies.select(F.col("block").alias("block"), "kind", "of", no_bucket, "blob")
 
-    def parts(notes_: pd.DataFrame, kind: int, bits: int, width: int) -> np.ndarray:
+    def marked(keys: np.ndarray, notes_: pd.DataFrame, kind: int, bits: int, width: int) -> np.ndarray:
         mine = notes_[notes_["kind"] == kind] if len(notes_) else pd.DataFrame({"bucket": [], "blob": []})
-        found = [joined(int(b), x, bits, width) for b, x in zip(mine["bucket"], mine["blob"], strict=True)]
-        return np.sort(np.concatenate(found)) if found else np.empty(0, np.uint64)
+        return held(keys, zip(mine["bucket"].astype(int), mine["blob"], strict=True), bits, width)
+
+    def suffixes_of(block: Block, notes_: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        at, h = block.samples()
+        return block.suffixes(at, among(short(h, sample_bits, sample_width), marked(h, notes_, 3, sample_bits, sample_width)))
 
     def block_of(docs_: pd.DataFrame, notes_: pd.DataFrame) -> Block:
         mine = notes_[notes_["kind"] == 0] if len(notes_) else pd.DataFrame({"of": [], "blob": []})
@@ -224,16 +230,16 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         blobs = [opened(x, sample_width) for x in mine["blob"]]
         keys = np.sort(np.concatenate([*blobs, *(opened(x, sample_width) for x in pdf.loc[pdf["kind"] == 2, "blob"])]))
         again = np.unique(keys[1:][keys[1:] == keys[:-1]])
-        return answers([(b, x[among(x, again)]) for b, x in zip(mine["block"], blobs, strict=True)], 3, bucket, sample_width)
+        return answers([(b, among(x, again)) for b, x in zip(mine["block"], blobs, strict=True)], 3, bucket)
 
-    def answers(out: list[tuple[int, np.ndarray]], kind: int, bucket: int, width: int) -> pd.DataFrame:
-        out = [(b, packed(x, width)) for b, x in out if len(x)]
+    def answers(out: list[tuple[int, np.ndarray]], kind: int, bucket: int) -> pd.DataFrame:
+        out = [(b, np.packbits(x).tobytes()) for b, x in out if x.any()]
         return pd.DataFrame({"block": [b for b, _ in out], "kind": kind, "bucket": bucket, "blob": [x for _, x in out]}).astype({"block": "int32", "kind": "int32", "bucket": "int32"})
 
     def send_suffixes(docs_: pd.DataFrame, notes_: pd.DataFrame) -> pd.DataFrame:
         if docs_.empty:
             return sent(0, np.empty(0, np.uint64), 4, suffix_bits, suffix_width)
-        _, h = block_of(docs_, notes_).suffixes(parts(notes_, 3, sample_bits, sample_width), sample_bits, sample_width)
+        _, h = suffixes_of(block_of(docs_, notes_), notes_)
         return sent(int(docs_["block"].iloc[0]), h, 4, suffix_bits, suffix_width)
 
     def sort_suffixes(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -246,13 +252,14 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         later = np.zeros(len(keys), bool)
         later[order[1:]] = k[1:] == k[:-1]
         ends = np.cumsum([len(x) for x in blobs])
-        return answers([(b, x[later[e - len(x) : e]]) for b, x, e in zip(pdf["block"], blobs, ends, strict=True)], 5, bucket, suffix_width)
+        return answers([(b, later[e - len(x) : e]) for b, x, e in zip(pdf["block"], blobs, ends, strict=True)], 5, bucket)
 
     def finish(docs_: pd.DataFrame, notes_: pd.DataFrame) -> pd.DataFrame:
         if docs_.empty:
             return pd.DataFrame({"id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []})
         block = block_of(docs_, notes_)
-        found = block.removed(parts(notes_, 3, sample_bits, sample_width), parts(notes_, 5, suffix_bits, suffix_width), (sample_bits, sample_width), (suffix_bits, suffix_width))
+        pos, h = suffixes_of(block, notes_)
+        found = block.removed(pos, short(h, suffix_bits, suffix_width), marked(h, notes_, 5, suffix_bits, suffix_width))
         sizes = [len(b) for b in block.bodies]
         ids = block.docs["ord"].astype("Int64").mask(block.docs["ord"] == LAST).array
         return pd.DataFrame({"id": ids, "n_bytes": sizes, "n_removed": [x[0] for x in found], "n_spans": [x[1] for x in found], "kept_sha256": [x[2] for x in found]})
