@@ -28,20 +28,25 @@ COVER = (1, 5, 11, 24, 25, 27)  # a perfect difference set: each residue but 0 i
 SAMPLE = LENGTH - PERIOD + 1  # bytes of a window that lie beyond any shift
 BLOCK_BYTES = 4_000_000  # of text a block should hold
 BUCKET_BYTES = 24_000_000  # of fingerprints a bucket should hold
+PIECE = 1 << 14  # positions that are fingerprinted at a time
 LAST = (1 << 63) - 1
 
 MULTIPLIERS = [np.uint64(int.from_bytes(hashlib.sha256(f"substring {k}".encode()).digest()[:8], "little") | 1) for k in range(16)]
 
 
-def fingerprints(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """64-bit fingerprints of the strings of ``length`` bytes (8 or more) at positions ``at``."""
-    words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
-    h = np.full(len(at), length, np.uint64)
-    for k, shift in enumerate([*range(0, length - 8, 8), length - 8]):
-        h = (h ^ words[at + shift]) * MULTIPLIERS[k]
-        h ^= h >> np.uint64(29 + k)
-    h *= MULTIPLIERS[15]
-    return h ^ (h >> np.uint64(32))
+def fingerprints(words: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """64-bit fingerprints of the strings of ``length`` bytes (8 or more) at positions ``at``; words holds the 8 bytes
+    from each position. Pieces of the positions stay in the processor's cache."""
+    out = np.full(len(at), length, np.uint64)
+    for j in range(0, len(at), PIECE):
+        h, here = out[j : j + PIECE], at[j : j + PIECE]
+        for k, shift in enumerate([*range(0, length - 8, 8), length - 8]):
+            h ^= words[here + shift]
+            h *= MULTIPLIERS[k]
+            h ^= h >> np.uint64(29 + k)
+        h *= MULTIPLIERS[15]
+        h ^= h >> np.uint64(32)
+    return out
 
 
 def short(keys: np.ndarray, bits: int, width: int) -> np.ndarray:
@@ -80,15 +85,27 @@ def cut(keys: np.ndarray, bits: int, width: int) -> Iterator[tuple[int, bytes]]:
             yield b, packed(low[i:j], width)
 
 
-def held(keys: np.ndarray, answers: Iterator[tuple[int, bytes]], bits: int, width: int) -> np.ndarray:
-    """The shortened keys, ascending, that (bucket, bit for each key that cut() put there) answers mark."""
-    keys = np.unique(short(keys, bits, width))
+def held(keys: np.ndarray, answers: Iterator[tuple[int, bytes]], bits: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, group, mark): the order that sorts the shortened keys, where each group of equal ones begins in it, and
+    whether (bucket, bit for each key that cut() put there) answers mark the group."""
+    keys = short(keys, bits, width)
+    order = np.argsort(keys)
+    keys = keys[order]
+    group = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    keys = keys[group]
     rest = min(64, bits + 8 * width) - bits
     edges = [*(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(rest)) if bits else [0]), len(keys)]
     marks = np.zeros(len(keys), bool)
     for b, blob in answers:
         marks[edges[b] : edges[b + 1]] = np.unpackbits(np.frombuffer(blob, np.uint8), count=edges[b + 1] - edges[b])
-    return keys[marks]
+    return order, group, marks
+
+
+def spread(order: np.ndarray, group: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The values of groups, as held() makes them, for each key in its place."""
+    out = np.empty(len(order), values.dtype)
+    out[order] = np.repeat(values, np.diff(group, append=len(order)))
+    return out
 
 
 def squeeze(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,6 +127,7 @@ class Block:
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
         self.data = np.frombuffer(b"".join(self.bodies) + bytes(8), np.uint8)
+        self.words = np.ndarray((len(self.data) - 7,), "<u8", self.data, strides=(1,)).copy()
         self.doc = np.repeat(np.arange(len(sizes)), sizes)  # of each byte
         self.rank = (docs["ord"] != docs["ord"].shift()).cumsum().to_numpy()  # equal ids have equal ranks
 
@@ -122,15 +140,17 @@ class Block:
             base = base[base < n]
             found.append(base + s)
         at = np.concatenate(found) if found else np.empty(0, np.int64)
-        return at, fingerprints(self.data, at, SAMPLE) if len(at) else np.empty(0, np.uint64)
+        return at, fingerprints(self.words, at, SAMPLE)
 
     def suffixes(self, at: np.ndarray, ranked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions and fingerprints of the windows with a ranked cover sample at one of their first places."""
         held_at = at[ranked]
         total = len(self.data) - 8
         near = np.zeros(total + 1, np.int32)
-        np.add.at(near, np.maximum(held_at - (PERIOD - 1), 0), 1)
-        np.add.at(near, held_at + 1, -1)
+        early = int(np.searchsorted(held_at, PERIOD - 1))
+        near[0] = early
+        near[held_at[early:] - (PERIOD - 1)] += 1  # positions differ from each other
+        near[held_at + 1] -= 1
         open_ = np.cumsum(near[:total]) > 0
         # this reaches into the text before, where windows so near the end are too short anyway
         room = np.where(self.copies, 0, np.maximum(0, self.ends - self.starts - LENGTH + 1))
@@ -138,22 +158,18 @@ class Block:
         np.add.at(inside, self.starts[room > 0], 1)
         np.add.at(inside, (self.starts + room)[room > 0], -1)
         pos = np.flatnonzero(open_ & (np.cumsum(inside[:total]) > 0))
-        return pos, fingerprints(self.data, pos, LENGTH) if len(pos) else np.empty(0, np.uint64)
+        return pos, fingerprints(self.words, pos, LENGTH)
 
-    def removed(self, pos: np.ndarray, key: np.ndarray, earlier: np.ndarray) -> list[tuple[int, int, str]]:
-        """(bytes removed, runs, digest of the rest) of each document."""
-        gone = among(key, earlier)
+    def removed(self, pos: np.ndarray, order: np.ndarray, group: np.ndarray, earlier: np.ndarray) -> list[tuple[int, int, str]]:
+        """(bytes removed, runs, digest of the rest) of each document; equal strings form groups, as held() gives them."""
+        gone = np.zeros(len(pos), bool)
         if len(pos):
             rank = self.rank[self.doc[pos]]
-            order = np.lexsort((rank, key))
-            k, r = key[order], rank[order]
-            first = np.concatenate([[True], k[1:] != k[:-1]])
-            least = r[np.flatnonzero(first)[np.cumsum(first) - 1]]
-            gone[order] |= r > least
+            gone = rank > spread(order, group, np.where(earlier, -1, np.minimum.reduceat(rank[order], group)))
         total = len(self.data) - 8
         marks = np.zeros(total + 1, np.int32)
-        np.add.at(marks, pos[gone], 1)
-        np.add.at(marks, pos[gone] + LENGTH, -1)
+        marks[pos[gone]] += 1  # positions differ from each other
+        marks[pos[gone] + LENGTH] -= 1
         covered = np.cumsum(marks[:total]) > 0
         out = []
         for k, (a, b) in enumerate(zip(self.starts, self.ends, strict=True)):
@@ -201,13 +217,13 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     no_bucket = F.lit(None).cast("int").alias("bucket")
     notes = copies.select(F.col("block").alias("block"), "kind", "of", no_bucket, "blob")
 
-    def marked(keys: np.ndarray, notes_: pd.DataFrame, kind: int, bits: int, width: int) -> np.ndarray:
+    def marked(keys: np.ndarray, notes_: pd.DataFrame, kind: int, bits: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         mine = notes_[notes_["kind"] == kind] if len(notes_) else pd.DataFrame({"bucket": [], "blob": []})
         return held(keys, zip(mine["bucket"].astype(int), mine["blob"], strict=True), bits, width)
 
     def suffixes_of(block: Block, notes_: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         at, h = block.samples()
-        return block.suffixes(at, among(short(h, sample_bits, sample_width), marked(h, notes_, 3, sample_bits, sample_width)))
+        return block.suffixes(at, spread(*marked(h, notes_, 3, sample_bits, sample_width)))
 
     def block_of(docs_: pd.DataFrame, notes_: pd.DataFrame) -> Block:
         mine = notes_[notes_["kind"] == 0] if len(notes_) else pd.DataFrame({"of": [], "blob": []})
@@ -259,7 +275,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             return pd.DataFrame({"id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []})
         block = block_of(docs_, notes_)
         pos, h = suffixes_of(block, notes_)
-        found = block.removed(pos, short(h, suffix_bits, suffix_width), marked(h, notes_, 5, suffix_bits, suffix_width))
+        found = block.removed(pos, *marked(h, notes_, 5, suffix_bits, suffix_width))
         sizes = [len(b) for b in block.bodies]
         ids = block.docs["ord"].astype("Int64").mask(block.docs["ord"] == LAST).array
         return pd.DataFrame({"id": ids, "n_bytes": sizes, "n_removed": [x[0] for x in found], "n_spans": [x[1] for x in found], "kept_sha256": [x[2] for x in found]})
