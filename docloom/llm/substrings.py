@@ -200,8 +200,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     total = int(size[0] or 0)
     blocks = max(1, math.ceil(total / block_bytes))
     bounds = rows.agg(F.percentile_approx("ord", [k / blocks for k in range(1, blocks)], F.lit(max(10_000, 20 * blocks)))).first()[0] if blocks > 1 and size[1] else []
-    edges = F.array(*(F.lit(int(x)) for x in sorted(set(bounds)))) if bounds else F.array().cast("array<long>")
-    rows = rows.withColumn("block", F.size(F.filter(edges, lambda e: e < F.col("ord"))))
+    bounds = sorted({int(x) for x in bounds})
+    step = max(1, math.isqrt(len(bounds)))
+    edges = F.array(*map(F.lit, bounds)).cast("array<long>")
+    coarse = F.size(F.filter(F.array(*map(F.lit, bounds[::step])).cast("array<long>"), lambda e: e < F.col("ord")))
+    low = F.greatest(coarse - 1, F.lit(0)) * step  # of every step-th edge below, the last; those after it are looked through
+    rows = rows.withColumn("block", low + F.size(F.filter(F.slice(edges, low + 1, step), lambda e: e < F.col("ord"))))
     named = rows.withColumn("digest", F.unhex(F.sha2("body", 256)))
 
     samples = total * len(COVER) / PERIOD
