@@ -20,6 +20,7 @@ from docloom.llm.common import settled
 CAPACITY = 1024
 END_ID = 2
 WORDS_KEPT = 600_000  # words whose ids a Python worker remembers
+LONG_WORD = 20_000  # characters of a word from which ``tokenizers`` encodes it: tiktoken overflows its stack at a million of white space
 
 # Fixed value: the pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -28,15 +29,15 @@ _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
 class WordIds(dict):
-    """Ids, as little-endian 32-bit bytes, of a word after ``lead``; encodes each word once.
+    """Ids, as little-endian 32-bit bytes, of a word after ``lead``; encodes each word once, but long ones each time."""
 
-    """
-
-    def __init__(self, encode, lead: str):
+    def __init__(self, encode, encode_long, lead: str):
         super().__init__()
-        self.encode, self.lead = encode, lead
+        self.encode, self.encode_long, self.lead = encode, encode_long, lead
 
     def __missing__(self, word: str) -> bytes:
+        if len(word) >= LONG_WORD:
+            return array("I", self.encode_long(self.lead + word)).tobytes()
         ids = array("I", self.encode(self.lead + word)).tobytes()
         if len(self) >= WORDS_KEPT:
             self.clear()
@@ -61,6 +62,21 @@ def byte_bpe(path: str):
     return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
+def library_bpe(path: str):
+    """The ``tokenizers`` library itself, loaded at the first text; special tokens' strings are ordinary text here too."""
+    found = []
+
+    def encode(text: str) -> list[int]:
+        if not found:
+            from tokenizers import Tokenizer
+
+            found.append(Tokenizer.from_file(path))
+            found[0].encode_special_tokens = True
+        return found[0].encode(text, add_special_tokens=False).ids
+
+    return encode
+
+
 class Encoder:
     """Texts to ids, as little-endian 32-bit bytes.
 
@@ -69,8 +85,8 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        encode = byte_bpe(path)
-        self.first, self.next = WordIds(encode, ""), WordIds(encode, " ")
+        encode, encode_long = byte_bpe(path), library_bpe(path)
+        self.first, self.next = WordIds(encode, encode_long, ""), WordIds(encode, encode_long, " ")
 
     def words(self, words: list[str]) -> bytes:
         return self.first[words[0]] + b"".join(map(self.next.__getitem__, words[1:]))

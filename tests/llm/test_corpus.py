@@ -374,6 +374,12 @@ def test_sequences_join_their_pieces(spark):
     assert sorted(row["ids"]) == sorted(reference_ids("a b c") + reference_ids("d"))
 
 
+@pytest.mark.parametrize("body", [" " * 1_100_000, "a b" + "\n" * 2_000_000 + "c d", "x " + " \t" * 700_000 + "y"])
+def test_long_white_space_is_encoded(body):
+    want = np.array(reference_ids(body)[:-1], "<u4").tobytes()
+    assert packing.Encoder(tokenizer_path())(body) == want
+
+
 # ---- the pipeline
 
 def test_pipeline_keeps_what_it_says(spark, sf_dir):
