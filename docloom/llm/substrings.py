@@ -4,8 +4,8 @@ Documents lie in blocks of consecutive ids. A text falls under the cover at the
 perfect difference set: for any two places of a string of 50 bytes some shift below 31 brings both under the cover, with
 20 bytes of the string or more to go. So a suffix can repeat only if one of the cover samples among its first 31 places
 occurs again as a sample. The samples are sorted first, a bucket at a time, over all documents; those that occur once
-get no rank, and only suffixes near a ranked sample are sorted. Suffixes are told apart in 50 bytes by fingerprints, so order
-within a bucket is that of fingerprints; equal windows meet, which is all that matters here.
+get no rank, and only suffixes near a ranked sample are sorted. Suffixes are told apart in 50 bytes by two fingerprints,
+so hashed windows replace the order of suffixes; equal windows meet, which is all that matters here.
 """
 
 from __future__ import annotations
@@ -31,20 +31,21 @@ BUCKET_BYTES = 24_000_000  # of fingerprints a bucket should hold
 PIECE = 1 << 14  # positions that are fingerprinted at a time
 LAST = (1 << 63) - 1
 
-MULTIPLIERS = [np.uint64(int.from_bytes(hashlib.sha256(f"substring {k}".encode()).digest()[:8], "little") | 1) for k in range(16)]
+MULTIPLIERS = [np.uint64(int.from_bytes(hashlib.sha256(f"substring {k}".encode()).digest()[:8], "little") | 1) for k in range(32)]
 
 
-def fingerprints(words: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+def fingerprints(words: np.ndarray, at: np.ndarray, length: int, second: bool = False) -> np.ndarray:
     """64-bit fingerprints of the strings of ``length`` bytes (8 or more) at positions ``at``; words holds the 8 bytes
-    from each position. Pieces of the positions stay in the processor's cache."""
+    from each position. Pieces of the positions stay in the processor's cache. The second ones have their own multipliers."""
     out = np.full(len(at), length, np.uint64)
+    by = MULTIPLIERS[16:] if second else MULTIPLIERS
     for j in range(0, len(at), PIECE):
         h, here = out[j : j + PIECE], at[j : j + PIECE]
         for k, shift in enumerate([*range(0, length - 8, 8), length - 8]):
             h ^= words[here + shift]
-            h *= MULTIPLIERS[k]
+            h *= by[k]
             h ^= h >> np.uint64(29 + k)
-        h *= MULTIPLIERS[15]
+        h *= by[15]
         h ^= h >> np.uint64(32)
     return out
 
@@ -74,25 +75,54 @@ def among(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, keys), len(table) - 1)] == keys
 
 
-def cut(keys: np.ndarray, bits: int, width: int) -> Iterator[tuple[int, bytes]]:
-    """(bucket, its distinct shortened keys without the bucket's bits)."""
-    keys = np.unique(short(keys, bits, width))
+def in_order(keys: np.ndarray, second: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(order, fresh): the stable order that sorts keys and second keys, and where in it a new pair begins."""
+    order = np.argsort(keys, kind="stable")
+    k = keys[order]
+    fresh = np.concatenate([np.ones(min(1, len(k)), bool), k[1:] != k[:-1]])
+    if second is not None and len(k):
+        s = second[order]
+        other = np.concatenate([[False], s[1:] != s[:-1]])
+        if (other & ~fresh).any():  # only where different strings share their first key
+            order = np.lexsort((second, keys))
+            k, s = keys[order], second[order]
+            fresh[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
+    return order, fresh
+
+
+def joined(first: bytes, second: np.ndarray) -> bytes:
+    """Packed keys with their second keys after them."""
+    return len(first).to_bytes(4, "little") + first + second.astype("<u8").tobytes()
+
+
+def parted(blob: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    end = 4 + int.from_bytes(blob[:4], "little")
+    return opened(blob[4:end], width), np.frombuffer(blob, "<u8", offset=end)
+
+
+def cut(keys: np.ndarray, bits: int, width: int, second: np.ndarray | None = None) -> Iterator[tuple[int, bytes]]:
+    """(bucket, its distinct shortened keys without the bucket's bits, and second keys if given)."""
+    keys = short(keys, bits, width)
+    if second is None:
+        keys = np.unique(keys)
+    else:
+        order, fresh = in_order(keys, second)
+        keys, second = keys[order[fresh]], second[order[fresh]]
     rest = min(64, bits + 8 * width) - bits
     edges = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(rest)) if bits else np.array([0])
     low = keys & np.uint64((1 << rest) - 1)
     for b, (i, j) in enumerate(zip(edges, [*edges[1:], len(keys)], strict=True)):
         if j > i:
-            yield b, packed(low[i:j], width)
+            yield b, packed(low[i:j], width) if second is None else joined(packed(low[i:j], width), second[i:j])
 
 
-def held(keys: np.ndarray, answers: Iterator[tuple[int, bytes]], bits: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def held(keys: np.ndarray, answers: Iterator[tuple[int, bytes]], bits: int, width: int, second: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, group, mark): the order that sorts the shortened keys, where each group of equal ones begins in it, and
     whether (bucket, bit for each key that cut() put there) answers mark the group."""
     keys = short(keys, bits, width)
-    order = np.argsort(keys)
-    keys = keys[order]
-    group = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    keys = keys[group]
+    order, fresh = in_order(keys, second)
+    group = np.flatnonzero(fresh)
+    keys = keys[order[group]]
     rest = min(64, bits + 8 * width) - bits
     edges = [*(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(rest)) if bits else [0]), len(keys)]
     marks = np.zeros(len(keys), bool)
@@ -142,8 +172,8 @@ class Block:
         at = np.concatenate(found) if found else np.empty(0, np.int64)
         return at, fingerprints(self.words, at, SAMPLE)
 
-    def suffixes(self, at: np.ndarray, ranked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and fingerprints of the windows with a ranked cover sample at one of their first places."""
+    def suffixes(self, at: np.ndarray, ranked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions and both fingerprints of the windows with a ranked cover sample at one of their first places."""
         held_at = at[ranked]
         total = len(self.data) - 8
         near = np.zeros(total + 1, np.int32)
@@ -158,7 +188,7 @@ class Block:
         np.add.at(inside, self.starts[room > 0], 1)
         np.add.at(inside, (self.starts + room)[room > 0], -1)
         pos = np.flatnonzero(open_ & (np.cumsum(inside[:total]) > 0))
-        return pos, fingerprints(self.words, pos, LENGTH)
+        return pos, fingerprints(self.words, pos, LENGTH), fingerprints(self.words, pos, LENGTH, second=True)
 
     def removed(self, pos: np.ndarray, order: np.ndarray, group: np.ndarray, earlier: np.ndarray) -> list[tuple[int, int, str]]:
         """(bytes removed, runs, digest of the rest) of each document; equal strings form groups, as held() gives them."""
@@ -209,8 +239,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named = rows.withColumn("digest", F.unhex(F.sha2("body", 256)))
 
     samples = total * len(COVER) / PERIOD
-    plan = lambda n, spare: (b := max(0, math.ceil(math.log2(max(1, n * 8 / bucket_bytes)))), min(8, max(1, math.ceil((math.log2(max(2, n)) + spare - b) / 8))))
-    (sample_bits, sample_width), (suffix_bits, suffix_width) = plan(samples, 9), plan(samples, math.log2(max(2, samples)) + 10)
+    plan = lambda n, spare, size: (b := max(0, math.ceil(math.log2(max(1, n * size / bucket_bytes)))), min(8, max(1, math.ceil((math.log2(max(2, n)) + spare - b) / 8))))
+    (sample_bits, sample_width), (suffix_bits, suffix_width) = plan(samples, 9, 8), plan(samples, math.log2(max(2, samples)) + 10, 16)
 
     digests = named.where(F.length("body") >= LENGTH).select("block", "ord", "digest")
     first = digests.groupBy("digest").agg(F.min("ord").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
@@ -221,11 +251,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     no_bucket = F.lit(None).cast("int").alias("bucket")
     notes = copies.select(F.col("block").alias("block"), "kind", "of", no_bucket, "blob")
 
-    def marked(keys: np.ndarray, notes_: pd.DataFrame, kind: int, bits: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def marked(keys: np.ndarray, notes_: pd.DataFrame, kind: int, bits: int, width: int, second: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         mine = notes_[notes_["kind"] == kind] if len(notes_) else pd.DataFrame({"bucket": [], "blob": []})
-        return held(keys, zip(mine["bucket"].astype(int), mine["blob"], strict=True), bits, width)
+        return held(keys, zip(mine["bucket"].astype(int), mine["blob"], strict=True), bits, width, second)
 
-    def suffixes_of(block: Block, notes_: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    def suffixes_of(block: Block, notes_: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at, h = block.samples()
         return block.suffixes(at, spread(*marked(h, notes_, 3, sample_bits, sample_width)))
 
@@ -233,8 +263,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         mine = notes_[notes_["kind"] == 0] if len(notes_) else pd.DataFrame({"of": [], "blob": []})
         return Block(docs_, set(zip(mine["of"].astype("int64"), mine["blob"], strict=True)))
 
-    def sent(block: int, keys: np.ndarray, kind: int, bits: int, width: int) -> pd.DataFrame:
-        pieces = list(cut(keys, bits, width))
+    def sent(block: int, keys: np.ndarray, kind: int, bits: int, width: int, second: np.ndarray | None = None) -> pd.DataFrame:
+        pieces = list(cut(keys, bits, width, second))
         return pd.DataFrame({"block": block, "kind": kind, "bucket": [b for b, _ in pieces], "blob": [x for _, x in pieces]}).astype({"block": "int32", "kind": "int32", "bucket": "int32"})
 
     def send_samples(docs_: pd.DataFrame, notes_: pd.DataFrame) -> pd.DataFrame:
@@ -259,18 +289,17 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def send_suffixes(docs_: pd.DataFrame, notes_: pd.DataFrame) -> pd.DataFrame:
         if docs_.empty:
             return sent(0, np.empty(0, np.uint64), 4, suffix_bits, suffix_width)
-        _, h = suffixes_of(block_of(docs_, notes_), notes_)
-        return sent(int(docs_["block"].iloc[0]), h, 4, suffix_bits, suffix_width)
+        _, h, second = suffixes_of(block_of(docs_, notes_), notes_)
+        return sent(int(docs_["block"].iloc[0]), h, 4, suffix_bits, suffix_width, second)
 
     def sort_suffixes(pdf: pd.DataFrame) -> pd.DataFrame:
         """A later block learns which of its strings an earlier one holds too."""
         pdf, bucket = pdf.sort_values("block"), int(pdf["bucket"].iloc[0])
-        blobs = [opened(x, suffix_width) for x in pdf["blob"]]
-        keys = np.concatenate(blobs)
-        order = np.argsort(keys, kind="stable")  # of equal strings the earliest block's comes first
-        k = keys[order]
-        later = np.zeros(len(keys), bool)
-        later[order[1:]] = k[1:] == k[:-1]
+        pairs = [parted(x, suffix_width) for x in pdf["blob"]]
+        blobs = [x for x, _ in pairs]
+        order, fresh = in_order(np.concatenate(blobs), np.concatenate([x for _, x in pairs]))  # of equal strings the earliest block's comes first
+        later = np.zeros(len(order), bool)
+        later[order] = ~fresh
         ends = np.cumsum([len(x) for x in blobs])
         return answers([(b, later[e - len(x) : e]) for b, x, e in zip(pdf["block"], blobs, ends, strict=True)], 5, bucket)
 
@@ -278,8 +307,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         if docs_.empty:
             return pd.DataFrame({"id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []})
         block = block_of(docs_, notes_)
-        pos, h = suffixes_of(block, notes_)
-        found = block.removed(pos, *marked(h, notes_, 5, suffix_bits, suffix_width))
+        pos, h, second = suffixes_of(block, notes_)
+        found = block.removed(pos, *marked(h, notes_, 5, suffix_bits, suffix_width, second))
         sizes = [len(b) for b in block.bodies]
         ids = block.docs["ord"].astype("Int64").mask(block.docs["ord"] == LAST).array
         return pd.DataFrame({"id": ids, "n_bytes": sizes, "n_removed": [x[0] for x in found], "n_spans": [x[1] for x in found], "kept_sha256": [x[2] for x in found]})

@@ -94,6 +94,20 @@ def test_substrings_of_odd_rows(spark):
     assert substrings.dedup_substrings(frame(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("block", [4_000_000, 60])
+def test_strings_of_one_first_fingerprint_are_told_apart(spark, block):
+    a = bytes(range(50))
+    mixed = lambda w: (h := (int.from_bytes(w, "little") ^ 50) * int(substrings.MULTIPLIERS[0]) % 2**64) ^ h >> 29
+    head = b"differ!!"
+    b = head + (mixed(a[:8]) ^ mixed(head) ^ int.from_bytes(a[8:16], "little")).to_bytes(8, "little") + a[16:]
+    words = [np.frombuffer(x[k : k + 8], "<u8")[0] for x in (a, b) for k in range(43)]
+    h = substrings.fingerprints(np.array(words), np.array([0, 43]), 50)
+    assert a != b and h[0] == h[1]
+    docs = spark.createDataFrame([(1, bytearray(a)), (2, bytearray(b)), (3, bytearray(a + b"x"))], "doc_id long, text binary")
+    got = {r["doc_id"]: r["n_removed"] for r in substrings.dedup_substrings(docs, block_bytes=block).collect()}
+    assert got == {1: 0, 2: 0, 3: 50}
+
+
 def test_cover_meets_every_pair():
     cover = set(substrings.COVER)
     for i in range(substrings.PERIOD):
