@@ -19,6 +19,9 @@ SHARPNESS = (0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 1.0, 1.5)
 RIDGE = 0.02  # keeps the weight of a domain's miss bounded where posteriors hardly tell it apart
 ROUNDS = 60
 TOLERANCE = 1e-4  # of all tokens, by which a domain's expected total may miss its target
+CELLS = 50  # steps of a posterior in the summary by which the scale of the targets is chosen
+GROWTH = tuple(1.1**k for k in range(16))  # of that scale over the least one at which no domain has to shrink
+REACHED = 1e-3  # of the scale, by which a domain's total may miss its target there
 EVERY = 8  # rounds between checkpoints of the rates
 
 
@@ -98,28 +101,59 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], id_
     return Classifier(model.domains, prior, model.odds, model.absent, min(zip(losses, SHARPNESS, strict=True))[1])
 
 
-def stepped(rate: Column, ahead: Column, posterior: list[Column], steps: list[tuple[list[float], float]]) -> Column:
-    """(rate, ahead) after projected-gradient steps: rate = max(0, ahead - posterior . gap), ahead = rate plus momentum."""
+def stepped(rate: Column, ahead: Column, posterior: list[Column], steps: list[tuple[list[float], float]], least: float = 0.0) -> Column:
+    """(rate, ahead) after projected-gradient steps: rate = max(least, ahead - posterior . gap), ahead = rate plus momentum."""
     start = F.struct(rate.cast("double").alias("r"), ahead.cast("double").alias("y"))
     if not steps:
         return start
     moves = F.array(*(F.struct(*(F.lit(float(x)).alias(f"e{k}") for k, x in enumerate(gap)), F.lit(float(beta)).alias("b")) for gap, beta in steps))
 
     def step(s: Column, m: Column) -> Column:
-        new = F.greatest(F.lit(0.0), s["y"] - sum((p * m[f"e{k}"] for k, p in enumerate(posterior)), F.lit(0.0)))
+        new = F.greatest(F.lit(least), s["y"] - sum((p * m[f"e{k}"] for k, p in enumerate(posterior)), F.lit(0.0)))
         return F.struct(new.alias("r"), (new + m["b"] * (new - s["r"])).alias("y"))
 
     return F.aggregate(moves, start, step)
 
 
+def fitted_totals(n: np.ndarray, p: np.ndarray, whiten: np.ndarray, targets: np.ndarray, rounds: int) -> np.ndarray:
+    """The totals by domain that fit_rates() comes to with rates of 1 at least, for shares ``n`` of the tokens at posteriors ``p``."""
+    rate, ahead, moment = np.ones(len(n)), np.ones(len(n)), 1.0
+    for _ in range(rounds):
+        grown = (1 + math.sqrt(1 + 4 * moment * moment)) / 2
+        new = np.maximum(1.0, ahead - p @ (whiten @ ((n * ahead) @ p - targets)))
+        rate, ahead, moment = new, new + (moment - 1) / grown * (new - rate), grown
+    return (n * rate) @ p
+
+
+def reachable_scale(soft: DataFrame, whiten: np.ndarray, share: np.ndarray, now: np.ndarray, rounds: int) -> float:
+    """The least scale of GROWTH at which rates of 1 at least meet the targets; else the one with the nearest shares.
+
+    Rates depend on posteriors alone, so a summary by rounded posteriors, whose size doesn't grow with the corpus, will do.
+    """
+    domains = len(share)
+    p = [F.col(f"p{k}") for k in range(domains)]
+    cells = soft.groupBy(*(F.round(x * CELLS).alias(f"c{k}") for k, x in enumerate(p[1:]))).agg(F.sum("n"), *(F.sum(F.col("n") * x) for x in p)).collect()
+    table = np.array([[float(x or 0) for x in r[domains - 1 :]] for r in cells])
+    table = table[table[:, 0] > 0]
+    n, p = table[:, 0] / table[:, 0].sum(), table[:, 1:] / table[:, :1]
+    first = max([1.0, *(now / np.where(share > 0, share, np.inf))])
+    misses = []
+    for scale in (first * g for g in GROWTH):
+        got = fitted_totals(n, p, whiten, scale * share, rounds)
+        if np.abs(got - scale * share).max() <= REACHED * scale:
+            return scale
+        misses.append((np.abs(got / got.sum() - share).max(), scale))
+    return min(misses)[1]
+
+
 def fit_rates(soft: DataFrame, domains: int, weights: list[float], keep_all: bool = False, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> list[tuple[list[float], float]]:
-    """The steps that lead from rate 1 to nonnegative rates with expected domain totals at their targets.
+    """The steps that lead from rate 1 to nonnegative rates, or rates of 1 at least with ``keep_all``, with expected domain totals at their targets.
 
     ``soft``: n (tokens), p0, p1, ... of every document. Least squares over totals by accelerated projected gradient;
     the misses are weighted by the inverse of the domains' second moments (plus a ridge), so that domains that posteriors
     hardly tell apart converge about as fast as others. Targets out of reach get the nearest totals. Each round is one aggregate of ``domains`` sums over all documents, and since a rate depends on the posterior and
     the sums alone, the steps describe the rates of all documents. Targets share out the present tokens by ``weights``;
-    ``keep_all`` raises them together until no domain has to shrink.
+    ``keep_all`` raises them together until rates of 1 at least meet them.
     """
     p = [F.col(f"p{k}") for k in range(domains)]
     first = soft.agg(F.sum("n"), *(F.sum(F.col("n") * x) for x in p), *(F.sum(F.col("n") * x * y) for x in p for y in p)).first()
@@ -130,12 +164,14 @@ def fit_rates(soft: DataFrame, domains: int, weights: list[float], keep_all: boo
     whiten = np.linalg.inv(moments + RIDGE * np.eye(domains))
     before = np.full(domains, np.inf)
     share = [w / sum(weights) for w in weights]
-    scale = max([1.0, *(float(a) / total / s for a, s in zip(first[1 : 1 + domains], share, strict=True) if s)]) if keep_all else 1.0
+    held = np.array(first[1 : 1 + domains], dtype=float) / total
+    scale = reachable_scale(soft, whiten, np.array(share), held, rounds) if keep_all else 1.0
+    least = 1.0 if keep_all else 0.0
     now = settled(soft.select("n", *p, F.lit(1.0).alias("r"), F.lit(1.0).alias("y")))
     steps: list[tuple[list[float], float]] = []
     done, moment = 0, 1.0
     for _ in range(rounds):
-        s = now.select("n", *p, stepped(F.col("r"), F.col("y"), p, steps[done:]).alias("s"))
+        s = now.select("n", *p, stepped(F.col("r"), F.col("y"), p, steps[done:], least).alias("s"))
         sums = s.agg(*(F.sum(F.col("n") * F.col("s.y") * x) for x in p), *(F.sum(F.col("n") * F.col("s.r") * x) for x in p)).first()
         gaps = [float(a) / total - scale * w for a, w in zip(sums, [*share, *share], strict=True)]
         if max(map(abs, gaps[domains:])) <= tolerance or np.abs(before - gaps[domains:]).max() <= tolerance / 10:
@@ -145,7 +181,7 @@ def fit_rates(soft: DataFrame, domains: int, weights: list[float], keep_all: boo
         steps.append(((whiten @ gaps[:domains]).tolist(), (moment - 1) / grown))
         moment = grown
         if len(steps) - done == EVERY:
-            s = now.select("n", *p, stepped(F.col("r"), F.col("y"), p, steps[done:]).alias("s"))
+            s = now.select("n", *p, stepped(F.col("r"), F.col("y"), p, steps[done:], least).alias("s"))
             now, done = settled(s.select("n", *p, F.col("s.r").alias("r"), F.col("s.y").alias("y"))), len(steps)
     return steps
 
@@ -161,9 +197,8 @@ def with_posteriors(rows: DataFrame, model: Classifier, words: str, names: list[
     return rows.withColumns(dict(zip(names, model.posterior(sums), strict=True))).drop("_sums")
 
 
-def rounded(rate: Column, draw: Column, keep_all: bool) -> Column:
-    copies = F.floor(rate + draw).cast("int")
-    return F.greatest(copies, F.lit(1)) if keep_all else copies
+def rounded(rate: Column, draw: Column) -> Column:
+    return F.floor(rate + draw).cast("int")
 
 
 def rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", keep_all: bool = False) -> DataFrame:
@@ -174,16 +209,16 @@ def rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_co
     rows = docs.select(F.col(id_col).alias("_id"), chance(id_col, text_col).alias("_draw"), word_list(text_col).alias("_words")).withColumn("n", F.size("_words").cast("long"))
     soft = settled(with_posteriors(rows, model, "_words", names))
     steps = fit_rates(soft, len(domains), list(weights.values()), keep_all)
-    rate = stepped(F.lit(1.0), F.lit(1.0), [F.col(x) for x in names], steps)["r"]
+    rate = stepped(F.lit(1.0), F.lit(1.0), [F.col(x) for x in names], steps, 1.0 if keep_all else 0.0)["r"]
     out = soft.withColumn("rate", rate)
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("tokens"), *(F.col(x).alias(f"p_{d}") for x, d in zip(names, domains, strict=True)), "rate", rounded(F.col("rate"), F.col("_draw"), keep_all).alias("copies"))
+    return out.select(F.col("_id").alias(id_col), F.col("n").alias("tokens"), *(F.col(x).alias(f"p_{d}") for x, d in zip(names, domains, strict=True)), "rate", rounded(F.col("rate"), F.col("_draw")).alias("copies"))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", keep_all: bool = False) -> DataFrame:
     """The documents with columns tokens, p_<domain>..., rate and copies; replaced where docs has such names.
 
     copies is the rate rounded down or up by a hash of id and text, so that copies are rates on average; with
-    ``keep_all`` it is 1 at least. Tokens are words between spaces and line feeds. Null or empty texts have no tokens,
+    ``keep_all`` rates, and so copies, are 1 at least. Tokens are words between spaces and line feeds. Null or empty texts have no tokens,
     the posterior of a text without known words, and rates like any other; repeated rows get equal rates and copies;
     null ids take part. No rows give no rows. Posteriors are computed twice, once for the fit and once for the result,
     so that no text is shuffled; where the texts aren't wanted, rates() reads them once.
@@ -195,8 +230,8 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col:
     steps = fit_rates(settled(with_posteriors(words, model, "_words", names)), len(domains), list(weights.values()), keep_all)
     out = docs.withColumn("_words", word_list(text_col)).withColumn("tokens", F.size("_words").cast("long"))
     out = with_posteriors(out, model, "_words", [f"p_{d}" for d in domains])
-    out = out.withColumn("rate", stepped(F.lit(1.0), F.lit(1.0), [F.col(f"p_{d}") for d in domains], steps)["r"])
-    return out.withColumn("copies", rounded(F.col("rate"), chance(id_col, text_col), keep_all))
+    out = out.withColumn("rate", stepped(F.lit(1.0), F.lit(1.0), [F.col(f"p_{d}") for d in domains], steps, 1.0 if keep_all else 0.0)["r"])
+    return out.withColumn("copies", rounded(F.col("rate"), chance(id_col, text_col)))
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:

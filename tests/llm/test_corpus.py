@@ -287,6 +287,18 @@ def test_rates_match_targets(spark):
     assert (rates >= 0).all() and np.abs((n * rates) @ p / n.sum() - weights).max() < 1e-3
 
 
+@pytest.mark.parametrize(("poor", "least"), [(0.15, 0.03), (0.3, 0.03), (0.2, 0.08)])
+def test_rows_of_the_mixing_stage_match_weights(spark, sf_dir, monkeypatch, poor, least):
+    import corpus_pipeline
+
+    chance = lambda words: F.when(F.array_contains(words, "bad"), 0.9).when(F.array_contains(words, "fair"), least).otherwise(0.05)
+    monkeypatch.setattr(mixing, "with_posteriors", lambda rows, model, words, names: rows.withColumns({names[0]: 1 - chance(F.col(words)), names[1]: chance(F.col(words))}).drop(words))
+    docs = frame(spark, [(k, ("bad" if k < 3000 * poor else "fair" if k % 2 else "good") + f" w{k} a b") for k in range(3000)])
+    out = corpus_pipeline.mixing_stage(spark, docs, sf_dir)
+    q, ids = out.agg(F.avg(chance(F.split("text", " "))), F.count_distinct("doc_id")).first()
+    assert ids == 3000 and abs(q - corpus_pipeline.WEIGHTS["poor"]) < 0.005
+
+
 def test_mixing_of_odd_rows(spark):
     labels = frame(spark, [(1, "a"), (3, "b"), (6, "b"), (8, "a"), (None, "a"), (9, None)], "doc_id long, domain string")
     docs = frame(spark, ODD).withColumn("rate", F.lit("mine")).withColumn("n", F.lit(1))
