@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoints go to the shared folder in ``spark.checkpoint.dir``; a folder of our own only where none is set."""
+    """Checkpoints go to the shared folder in ``spark.checkpoint.dir``, else below the warehouse; never to a folder that a
+    single machine sees: outside local mode one of the two must be set."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-"))
+    if sc.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -27,8 +30,31 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def private(df: DataFrame, *names: str) -> list[str]:
+    """The names with underscores before them until none is a column of ``df``, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        found.append(name)
+    return found
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: list[str], least: int = 10_000, hot_keys: int = 10_000) -> DataFrame:
+    """Left join on ``key`` with a ``right`` that has one row for each key at most, salted for keys of many rows.
+
+    A key is hot with more than ``least`` rows and more than one in ``hot_keys`` of all; so there are ``hot_keys`` such
+    keys at most, which are broadcast. Their left rows are dealt to salts by a hash of the columns ``by``, their right rows
+    are repeated for each salt.
+    """
+    limit = max(least, left.count() // hot_keys)
+    hot = left.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
+    hot = F.broadcast(settled(hot.select(key, F.ceil(F.col("_n") / F.lit(limit)).cast("long").alias("_salts"))))
+    salt = F.pmod(F.xxhash64(*by), F.coalesce("_salts", F.lit(1).cast("long")))
+    salted = left.join(hot, key, "left").withColumn("_salt", salt).drop("_salts")
+    spread = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return salted.join(spread, [key, "_salt"], "left").drop("_salt")
 
 
 def merge_labels(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:

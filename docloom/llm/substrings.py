@@ -1,11 +1,15 @@
 """Exact substring dedup: blockwise suffix sorting with a difference cover, one bucket of suffixes at a time.
 
-Documents lie in blocks of consecutive ids. A text falls under the cover at the positions whose residue by 31 is in a
-perfect difference set: for any two places of a string of 50 bytes some shift below 31 brings both under the cover, with
-20 bytes of the string or more to go. So a suffix can repeat only if one of the cover samples among its first 31 places
-occurs again as a sample. The samples are sorted first, a bucket at a time, over all documents; those that occur once
-get no rank, and only suffixes near a ranked sample are sorted. Suffixes are told apart in 50 bytes by two fingerprints,
-so hashed windows replace the order of suffixes; equal windows meet, which is all that matters here.
+Distinct texts lie in blocks. A text falls under the cover at the positions whose residue by 31 is in a perfect
+difference set: for any two places of a string of 50 bytes some shift below 31 brings both under the cover, with 20 bytes
+of the string or more to go. So a suffix can repeat only if one of the cover samples among its first 31 places occurs
+again as a sample. Samples are counted first, by hashes, which can only let more through; suffixes near a sample that
+occurs again go on. A suffix belongs to the bucket of the least hash of the 20-byte strings in its first 50 bytes.
+Neighbours mostly share that, so a bucket gets stretches of text, and a byte travels about four times at most.
+
+A bucket is sorted by itself: by the suffixes' first 32 bytes, and longer ties by the ranks of the bucket's own cover
+samples, which are sorted beforehand: two tied suffixes are compared at the shift that brings both under the cover, where
+their ranks tell 20 bytes at once, and what is left of 50 bytes is compared as it is. No decision rests on a hash.
 """
 
 from __future__ import annotations
@@ -20,39 +24,42 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import settled
+from docloom.llm.common import settled, spread_join
 
 LENGTH = 50
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)  # a perfect difference set: each residue but 0 is one difference of two members
 SAMPLE = LENGTH - PERIOD + 1  # bytes of a window that lie beyond any shift
+HEAD = 32  # bytes by which suffixes are sorted before ties go to ranks
+REST = (32, 40, 42)  # where the words begin that hold the rest of a window
+SEGMENT = 1_000_000  # bytes after which a text is cut, with LENGTH - 1 bytes more
 BLOCK_BYTES = 4_000_000  # of text a block should hold
-BUCKET_BYTES = 24_000_000  # of fingerprints a bucket should hold
-PIECE = 1 << 14  # positions that are fingerprinted at a time
+BUCKET_BYTES = 12_000_000  # of text a bucket of suffixes should hold if all suffixes go on
+SPREAD = 4.1  # times that a byte of text is then sent
+SEEN = 500_000  # texts that a task remembers to have sent
+PIECE = 1 << 14  # positions that are hashed at a time
 LAST = (1 << 63) - 1
 
-MULTIPLIERS = [np.uint64(int.from_bytes(hashlib.sha256(f"substring {k}".encode()).digest()[:8], "little") | 1) for k in range(32)]
+MULTIPLIERS = [np.uint64(int.from_bytes(hashlib.sha256(f"substring {k}".encode()).digest()[:8], "little") | 1) for k in range(16)]
+SHIFT = np.array([[next(d for d in range(PERIOD) if (i + d) % PERIOD in COVER and (j + d) % PERIOD in COVER) for j in range(PERIOD)] for i in range(PERIOD)])
 
 
-def fingerprints(words: np.ndarray, at: np.ndarray, length: int, second: bool = False) -> np.ndarray:
-    """64-bit fingerprints of the strings of ``length`` bytes (8 or more) at positions ``at``; words holds the 8 bytes
-    from each position. Pieces of the positions stay in the processor's cache. The second ones have their own multipliers."""
+def fingerprints(words: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """64-bit hashes of the strings of ``length`` bytes (8 or more) at positions ``at``; words holds the 8 bytes from each
+    position. Pieces of the positions stay in the processor's cache."""
     out = np.full(len(at), length, np.uint64)
-    by = MULTIPLIERS[16:] if second else MULTIPLIERS
     for j in range(0, len(at), PIECE):
         h, here = out[j : j + PIECE], at[j : j + PIECE]
         for k, shift in enumerate([*range(0, length - 8, 8), length - 8]):
             h ^= words[here + shift]
-            h *= by[k]
+            h *= MULTIPLIERS[k]
             h ^= h >> np.uint64(29 + k)
-        h *= by[15]
+        h *= MULTIPLIERS[15]
         h ^= h >> np.uint64(32)
     return out
 
 
-def short(keys: np.ndarray, bits: int, width: int) -> np.ndarray:
-    """The leading bits of 64-bit keys that are kept: ``bits`` for the bucket and ``width`` bytes, 64 at most."""
-    return keys >> np.uint64(max(0, 64 - bits - 8 * width))
+# ---- samples: hashes, shortened, and which of them occur again
 
 
 def packed(keys: np.ndarray, width: int) -> bytes:
@@ -75,249 +82,372 @@ def among(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, keys), len(table) - 1)] == keys
 
 
-def in_order(keys: np.ndarray, second: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(order, fresh): the stable order that sorts keys and second keys, and where in it a new pair begins."""
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
+def edges(keys: np.ndarray, bits: int, rest: int) -> np.ndarray:
+    """Where each of the 2**bits buckets begins among ascending keys that have ``rest`` bits below the bucket's, and the end."""
+    return np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(rest)) if bits else 0, len(keys))
+
+
+class Samples:
+    """How a block's sample hashes are shortened and dealt out to buckets: leading bits, then ``width`` bytes."""
+
+    def __init__(self, total: int, bucket_bytes: int):
+        n = max(1, total * len(COVER) / PERIOD)
+        self.bits = max(0, math.ceil(math.log2(max(1, n * 8 / bucket_bytes))))
+        self.width = min(8, max(1, math.ceil((math.log2(max(2, n)) + 9 - self.bits) / 8)))
+        self.rest = min(64, self.bits + 8 * self.width) - self.bits
+
+    def short(self, h: np.ndarray) -> np.ndarray:
+        return h >> np.uint64(64 - self.bits - self.rest)
+
+    def cut(self, h: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        keys = np.unique(self.short(h))
+        at = edges(keys, self.bits, self.rest)
+        low = keys & np.uint64((1 << self.rest) - 1)
+        return ((b, packed(low[i:j], self.width)) for b, (i, j) in enumerate(zip(at, at[1:], strict=False)) if j > i)
+
+    def again(self, h: np.ndarray, answers: list[tuple[int, bytes]]) -> np.ndarray:
+        """Which hashes occur again, from (bucket, bits of the keys that cut() put there)."""
+        keys, back = np.unique(self.short(h), return_inverse=True)
+        at, marks = edges(keys, self.bits, self.rest), np.zeros(len(keys), bool)
+        for b, blob in answers:
+            marks[at[b] : at[b + 1]] = np.unpackbits(np.frombuffer(blob, np.uint8), count=at[b + 1] - at[b])
+        return marks[back]
+
+
+# ---- suffixes: stretches of text, sorted bucket by bucket
+
+
+def same_strings(words: np.ndarray, pos: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, fresh): positions put together by their 50 bytes, those of one string ascending, and where a new string begins.
+
+    Hashes bring equal strings together; the bytes of neighbours are compared, and if any differ, bytes alone decide.
+    """
+    order = np.argsort(h, kind="stable")
+    k, p = h[order], pos[order]
     fresh = np.concatenate([np.ones(min(1, len(k)), bool), k[1:] != k[:-1]])
-    if second is not None and len(k):
-        s = second[order]
-        other = np.concatenate([[False], s[1:] != s[:-1]])
-        if (other & ~fresh).any():  # only where different strings share their first key
-            order = np.lexsort((second, keys))
-            k, s = keys[order], second[order]
-            fresh[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
+    at = np.flatnonzero(~fresh)
+    shifts = [*range(0, LENGTH - 8, 8), LENGTH - 8]
+    if any((words[p[at] + s] != words[p[at - 1] + s]).any() for s in shifts):
+        order = np.lexsort([words[pos + s] for s in shifts])
+        p = pos[order]
+        fresh[1:] = np.logical_or.reduce([words[p[1:] + s] != words[p[:-1] + s] for s in shifts])
     return order, fresh
 
 
-def joined(first: bytes, second: np.ndarray) -> bytes:
-    """Packed keys with their second keys after them."""
-    return len(first).to_bytes(4, "little") + first + second.astype("<u8").tobytes()
-
-
-def parted(blob: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
-    end = 4 + int.from_bytes(blob[:4], "little")
-    return opened(blob[4:end], width), np.frombuffer(blob, "<u8", offset=end)
-
-
-def cut(keys: np.ndarray, bits: int, width: int, second: np.ndarray | None = None) -> Iterator[tuple[int, bytes]]:
-    """(bucket, its distinct shortened keys without the bucket's bits, and second keys if given)."""
-    keys = short(keys, bits, width)
-    if second is None:
-        keys = np.unique(keys)
-    else:
-        order, fresh = in_order(keys, second)
-        keys, second = keys[order[fresh]], second[order[fresh]]
-    rest = min(64, bits + 8 * width) - bits
-    edges = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(rest)) if bits else np.array([0])
-    low = keys & np.uint64((1 << rest) - 1)
-    for b, (i, j) in enumerate(zip(edges, [*edges[1:], len(keys)], strict=True)):
-        if j > i:
-            yield b, packed(low[i:j], width) if second is None else joined(packed(low[i:j], width), second[i:j])
-
-
-def held(keys: np.ndarray, answers: Iterator[tuple[int, bytes]], bits: int, width: int, second: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, group, mark): the order that sorts the shortened keys, where each group of equal ones begins in it, and
-    whether (bucket, bit for each key that cut() put there) answers mark the group."""
-    keys = short(keys, bits, width)
-    order, fresh = in_order(keys, second)
-    group = np.flatnonzero(fresh)
-    keys = keys[order[group]]
-    rest = min(64, bits + 8 * width) - bits
-    edges = [*(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(rest)) if bits else [0]), len(keys)]
-    marks = np.zeros(len(keys), bool)
-    for b, blob in answers:
-        marks[edges[b] : edges[b + 1]] = np.unpackbits(np.frombuffer(blob, np.uint8), count=edges[b + 1] - edges[b])
-    return order, group, marks
-
-
-def spread(order: np.ndarray, group: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """The values of groups, as held() makes them, for each key in its place."""
-    out = np.empty(len(order), values.dtype)
-    out[order] = np.repeat(values, np.diff(group, append=len(order)))
-    return out
+def window_buckets(words: np.ndarray, pos: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
+    """The bucket of the window at each position: by the least hash, among ``h`` of all positions, of its 20-byte strings."""
+    if not bits:
+        return np.zeros(len(pos), np.int64)
+    low = h.copy()
+    for k in (1, 2, 4, 8):
+        np.minimum(low[:-k], low[k:], out=low[:-k])
+    low = np.minimum(low[pos], low[pos + 15])
+    return (low * MULTIPLIERS[15] >> np.uint64(64 - bits)).astype(np.int64)
+
 
+def stretches(data: np.ndarray, pos: np.ndarray, bucket: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(bucket, compressed text of its windows): positions that follow each other in one bucket are one stretch.
 
-def squeeze(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The texts compressed, as they are shuffled."""
+    ``pos`` ascends within each bucket, buckets ascend; owner is the rank of each window's document.
+    """
+    if not len(pos):
+        return
+    first = np.flatnonzero(np.concatenate([[True], (pos[1:] != pos[:-1] + 1) | (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1])]))
+    n = np.diff(first, append=len(pos))
+    at, size, whose, where = pos[first], n + LENGTH - 1, owner[first], bucket[first]
+    cuts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
     tool = zstandard.ZstdCompressor(level=3)
-    for pdf in batches:
-        yield pdf.assign(body=[tool.compress(b) for b in pdf["body"]])
+    for i, j in zip(cuts, [*cuts[1:], len(first)], strict=True):
+        ends = np.cumsum(size[i:j])
+        text = data[np.arange(ends[-1]) + np.repeat(at[i:j] - ends + size[i:j], size[i:j])]
+        yield int(where[i]), tool.compress(np.array([j - i], "<u4").tobytes() + n[i:j].astype("<u4").tobytes() + whose[i:j].astype("<i8").tobytes() + text.tobytes())
+
+
+def read_stretches(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, where each window begins in it, rank of its document)."""
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    m = int(np.frombuffer(raw, "<u4", 1)[0])
+    n, whose = np.frombuffer(raw, "<u4", m, 4).astype(np.int64), np.frombuffer(raw, "<i8", m, 4 + 4 * m)
+    text = np.frombuffer(raw, np.uint8, offset=4 + 12 * m)
+    before = np.cumsum(n) - n
+    return text, np.arange(n.sum()) + np.repeat(np.arange(m) * (LENGTH - 1), n), np.repeat(whose, n) if m else before
+
+
+def cover_ranks(text: np.ndarray, big: np.ndarray) -> np.ndarray:
+    """The rank, by its 20 bytes, of the string at each position that the cover holds; equal strings have equal ranks."""
+    at = np.flatnonzero(np.isin(np.arange(max(0, len(text) - SAMPLE + 1)) % PERIOD, COVER))
+    words = [big[at + s] for s in (0, 8, SAMPLE - 8)]
+    order = np.lexsort(words[::-1])
+    steps = np.zeros(len(at), bool)
+    for w in words:
+        w = w[order]
+        steps[1:] |= w[1:] != w[:-1]
+    ranks = np.zeros(len(text), np.int32)
+    ranks[at[order]] = np.cumsum(steps)
+    return ranks
+
+
+def compared(big: np.ndarray, ranks: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """-1, 0 or 1 as the window at i comes before, equals or follows that at j; their first 32 bytes are equal."""
+    d = SHIFT[i % PERIOD, j % PERIOD]
+    out = np.sign(ranks[i + d] - ranks[j + d])
+    for s in REST:
+        tied = np.flatnonzero(out == 0)
+        a, b = big[i[tied] + s], big[j[tied] + s]
+        out[tied] = (a > b).astype(np.int32) - (a < b)
+    return out
+
+
+def sorted_suffixes(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, fresh): the order of the suffixes at ``at`` by their first 50 bytes, equal ones in the order given, and
+    where in it a new string begins.
+
+    Ties of the first 32 bytes go to a quicksort of all tied groups at once: each is parted by comparison with its middle
+    member until all members equal it.
+    """
+    big = np.ndarray((max(0, len(text) - 7),), ">u8", np.ascontiguousarray(text), strides=(1,)).astype(np.uint64)
+    words = [big[at + s] for s in range(0, HEAD, 8)]
+    order = np.lexsort(words[::-1])
+    fresh = np.zeros(len(at), bool)
+    fresh[:1] = True
+    for w in words:
+        w = w[order]
+        fresh[1:] |= w[1:] != w[:-1]
+    del words
+    ranks = cover_ranks(text, big)
+    start = np.flatnonzero(fresh)
+    size = np.diff(start, append=len(at))
+    start, size = start[size > 1], size[size > 1]
+    while len(start):
+        idx = np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)  # all members of open groups, in order
+        group = np.repeat(np.arange(len(start)), size)
+        sign = compared(big, ranks, at[order[idx]], at[order[(start + size // 2)[group]]])
+        key = group * 3 + sign + 1
+        if sign.any():
+            by = np.argsort(key, kind="stable")
+            order[idx], key = order[idx[by]], key[by]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        fresh[idx[new]] = True
+        begin = np.flatnonzero(new)
+        n = np.diff(begin, append=len(key))
+        open_ = (n > 1) & (key[begin] % 3 != 1)
+        start, size = idx[begin[open_]], n[open_]
+    return order, fresh
 
 
 class Block:
-    """The documents of a block in order of id, as one stretch of bytes."""
-
-    def __init__(self, docs: pd.DataFrame, skip: set[tuple[int, bytes]]):
-        docs = docs.sort_values(["ord", "digest"], kind="stable")
-        self.docs = docs
-        self.bodies = [zstandard.ZstdDecompressor().decompress(b) for b in docs["body"]]
-        self.copies = np.array([(o, d) in skip for o, d in zip(docs["ord"], docs["digest"], strict=True)], bool)
-        sizes = np.array([len(b) for b in self.bodies], np.int64)
-        self.ends = np.cumsum(sizes)
-        self.starts = self.ends - sizes
-        self.data = np.frombuffer(b"".join(self.bodies) + bytes(8), np.uint8)
+    """The distinct texts of a block, or segments of texts, in order of their documents' ids, as one stretch of bytes."""
+
+    def __init__(self, docs: pd.DataFrame, key_bits: int):
+        least = docs.groupby(["digest", "seg"])["ord"].min()
+        docs = docs[docs["body"].notna()].drop_duplicates(["digest", "seg"])
+        docs = docs.assign(ord=least.loc[pd.MultiIndex.from_frame(docs[["digest", "seg"]])].to_numpy()).sort_values(["ord", "digest", "seg"])
+        self.docs, self.mask = docs, np.uint64((1 << key_bits) - 1)
+        bodies = [zstandard.ZstdDecompressor().decompress(b) for b in docs["body"]]
+        self.sizes = np.array([len(b) for b in bodies], np.int64)
+        self.ends = np.cumsum(self.sizes)
+        self.starts = self.ends - self.sizes
+        self.data = np.frombuffer(b"".join(bodies) + bytes(LENGTH), np.uint8)
         self.words = np.ndarray((len(self.data) - 7,), "<u8", self.data, strides=(1,)).copy()
-        self.doc = np.repeat(np.arange(len(sizes)), sizes)  # of each byte
-        self.rank = (docs["ord"] != docs["ord"].shift()).cumsum().to_numpy()  # equal ids have equal ranks
+        self.total = len(self.data) - LENGTH
+        self.grams = fingerprints(self.words, np.arange(self.total), SAMPLE) & self.mask
+        self.ords = docs["ord"].to_numpy(np.int64)
 
     def samples(self) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and fingerprints of the cover samples of documents that are no copies."""
-        room = np.where(self.copies, 0, np.maximum(0, self.ends - self.starts - SAMPLE + 1))
-        found = []
-        for s, n in zip(self.starts[room > 0], room[room > 0], strict=True):
-            base = np.arange(0, n, PERIOD)[:, None] + np.array(COVER)
-            base = base[base < n]
-            found.append(base + s)
-        at = np.concatenate(found) if found else np.empty(0, np.int64)
-        return at, fingerprints(self.words, at, SAMPLE)
-
-    def suffixes(self, at: np.ndarray, ranked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions and both fingerprints of the windows with a ranked cover sample at one of their first places."""
-        held_at = at[ranked]
-        total = len(self.data) - 8
-        near = np.zeros(total + 1, np.int32)
-        early = int(np.searchsorted(held_at, PERIOD - 1))
-        near[0] = early
-        near[held_at[early:] - (PERIOD - 1)] += 1  # positions differ from each other
-        near[held_at + 1] -= 1
-        open_ = np.cumsum(near[:total]) > 0
-        # this reaches into the text before, where windows so near the end are too short anyway
-        room = np.where(self.copies, 0, np.maximum(0, self.ends - self.starts - LENGTH + 1))
-        inside = np.zeros(total + 1, np.int32)
-        np.add.at(inside, self.starts[room > 0], 1)
-        np.add.at(inside, (self.starts + room)[room > 0], -1)
-        pos = np.flatnonzero(open_ & (np.cumsum(inside[:total]) > 0))
-        return pos, fingerprints(self.words, pos, LENGTH), fingerprints(self.words, pos, LENGTH, second=True)
-
-    def removed(self, pos: np.ndarray, order: np.ndarray, group: np.ndarray, earlier: np.ndarray) -> list[tuple[int, int, str]]:
-        """(bytes removed, runs, digest of the rest) of each document; equal strings form groups, as held() gives them."""
-        gone = np.zeros(len(pos), bool)
-        if len(pos):
-            rank = self.rank[self.doc[pos]]
-            gone = rank > spread(order, group, np.where(earlier, -1, np.minimum.reduceat(rank[order], group)))
-        total = len(self.data) - 8
-        marks = np.zeros(total + 1, np.int32)
-        marks[pos[gone]] += 1  # positions differ from each other
-        marks[pos[gone] + LENGTH] -= 1
-        covered = np.cumsum(marks[:total]) > 0
-        out = []
-        for k, (a, b) in enumerate(zip(self.starts, self.ends, strict=True)):
-            if self.copies[k] and b - a >= LENGTH:
-                out.append((int(b - a), 1, hashlib.sha256(b"").hexdigest()))
-                continue
-            c = covered[a:b]
-            n = int(c.sum())
-            runs = int((c & ~np.concatenate([[False], c[:-1]])).sum()) if n else 0
-            out.append((n, runs, hashlib.sha256(self.data[a:b][~c].tobytes() if n else self.bodies[k]).hexdigest()))
-        return out
-
-
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+        """Positions and hashes of the cover samples."""
+        found = [np.empty(0, np.int64)]
+        for s, n in zip(self.starts, self.sizes - SAMPLE + 1, strict=True):
+            if n > 0:
+                base = (np.arange(0, n, PERIOD)[:, None] + np.array(COVER)).ravel()
+                found.append(base[base < n] + s)
+        at = np.concatenate(found)
+        return at, self.grams[at]
+
+    def suffixes(self, at: np.ndarray) -> None:
+        """Windows with one of the samples ``at`` among their first places: positions, equal ones together, and buckets to be."""
+        near = np.zeros(self.total + 1, np.int32)
+        np.add.at(near, np.maximum(0, at - (PERIOD - 1)), 1)
+        near[at + 1] -= 1  # positions differ from each other
+        room = np.maximum(0, self.sizes - LENGTH + 1)
+        inside = np.zeros(self.total + 1, np.int32)
+        np.add.at(inside, self.starts, (room > 0).astype(np.int32))
+        np.add.at(inside, self.starts + room, -(room > 0).astype(np.int32))
+        # near reaches into the text before, where windows so near the end are too short anyway
+        self.pos = np.flatnonzero((np.cumsum(near[: self.total]) > 0) & (np.cumsum(inside[: self.total]) > 0))
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)[self.pos]
+        self.order, fresh = same_strings(self.words, self.pos, fingerprints(self.words, self.pos, LENGTH) & self.mask)
+        self.group = np.flatnonzero(fresh)
+
+    def sent(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which group, position, bucket) of each string's first window, by bucket and position."""
+        first = self.order[self.group]
+        bucket = window_buckets(self.words, self.pos[first], bits, self.grams)
+        by = np.lexsort((first, bucket))
+        return by, first[by], bucket[by]
+
+    def covered(self, earlier: np.ndarray) -> np.ndarray:
+        """Each byte: whether it goes. ``earlier`` tells of each group whether a document before its first one here holds it."""
+        gone = np.zeros(len(self.pos), bool)
+        if len(gone):
+            n = np.diff(self.group, append=len(self.order))
+            ord_ = self.ords[self.doc]
+            gone[self.order] = np.repeat(earlier, n) | (ord_[self.order] > np.repeat(ord_[self.order[self.group]], n))
+        marks = np.zeros(self.total + LENGTH + 1, np.int32)
+        marks[self.pos[gone]] += 1  # positions differ from each other
+        marks[self.pos[gone] + LENGTH] -= 1
+        return np.cumsum(marks[: self.total]) > 0
+
+
+def runs(gone: np.ndarray) -> np.ndarray:
+    """Begin and end of each stretch of true values, in turn."""
+    return np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
+
+
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, segment: int = SEGMENT, key_bits: int = 64) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of each row: bytes go that a 50-byte string covers which also
     starts in a document with a smaller id.
 
     Null texts are empty. Null ids come after all others and are alike among themselves; rows of one id never remove
-    each other's bytes; repeated rows stay. Other columns are not looked at. No rows give no rows.
-
-    Texts are shuffled once, into blocks; what else moves is a few bytes for each cover sample, then for each suffix
-    left. Whole-text copies are found by digest first and leave the sorting. A block sends a string once, however often
-    it holds it, and a bucket answers a block once, so neither hot strings nor groups of copies grow into one task.
+    each other's bytes; repeated rows stay. Other columns are not looked at. No rows give no rows. Texts of any length
+    are cut into segments that overlap, so that no task holds more than a block's worth of arrays; only the few texts of
+    more than one segment that lose bytes are read again, a text at a time. ``key_bits`` shortens hashes, for tests.
+
+    A task sends a text once however many copies there are; copies get their result by a join on the digest, salted for
+    digests that many rows share. What else moves is a few bytes for each cover sample, then stretches of text around
+    samples that occur again. A block sends a string once, however often it holds it, and a bucket answers a block once,
+    so a bucket holds at most one copy of a string for each block of 4 MB.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"))
-    rows = rows.withColumn("ord", F.coalesce("id", F.lit(LAST)))
-    size = rows.agg(F.sum(F.length("body")), F.count("*")).first()
-    total = int(size[0] or 0)
+    rows = rows.select("id", F.coalesce("id", F.lit(LAST)).alias("ord"), F.length("body").cast("long").alias("n"), F.sha2("body", 256).alias("sha"), "body")
+    ids = settled(rows.drop("body"))
+    total = int(ids.agg(F.sum("n")).first()[0] or 0)
     blocks = max(1, math.ceil(total / block_bytes))
-    bounds = rows.agg(F.percentile_approx("ord", [k / blocks for k in range(1, blocks)], F.lit(max(10_000, 20 * blocks)))).first()[0] if blocks > 1 and size[1] else []
-    bounds = sorted({int(x) for x in bounds})
-    step = max(1, math.isqrt(len(bounds)))
-    edges = F.array(*map(F.lit, bounds)).cast("array<long>")
-    coarse = F.size(F.filter(F.array(*map(F.lit, bounds[::step])).cast("array<long>"), lambda e: e < F.col("ord")))
-    low = F.greatest(coarse - 1, F.lit(0)) * step  # of every step-th edge below, the last; those after it are looked through
-    rows = rows.withColumn("block", low + F.size(F.filter(F.slice(edges, low + 1, step), lambda e: e < F.col("ord"))))
-    named = rows.withColumn("digest", F.unhex(F.sha2("body", 256)))
-
-    samples = total * len(COVER) / PERIOD
-    plan = lambda n, spare, size: (b := max(0, math.ceil(math.log2(max(1, n * size / bucket_bytes)))), min(8, max(1, math.ceil((math.log2(max(2, n)) + spare - b) / 8))))
-    (sample_bits, sample_width), (suffix_bits, suffix_width) = plan(samples, 9, 8), plan(samples, math.log2(max(2, samples)) + 10, 16)
-
-    digests = named.where(F.length("body") >= LENGTH).select("block", "ord", "digest")
-    first = digests.groupBy("digest").agg(F.min("ord").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    copies = digests.join(first, "digest").where("ord > first").select("block", F.lit(0).alias("kind"), F.col("ord").alias("of"), F.col("digest").alias("blob"))
-    copies = settled(copies.distinct())
-
-    text_schema = "block int, kind int, bucket int, blob binary"
-    no_bucket = F.lit(None).cast("int").alias("bucket")
-    notes = copies.select(F.col("block").alias("block"), "kind", "of", no_bucket, "blob")
-
-    def marked(keys: np.ndarray, notes_: pd.DataFrame, kind: int, bits: int, width: int, second: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        mine = notes_[notes_["kind"] == kind] if len(notes_) else pd.DataFrame({"bucket": [], "blob": []})
-        return held(keys, zip(mine["bucket"].astype(int), mine["blob"], strict=True), bits, width, second)
-
-    def suffixes_of(block: Block, notes_: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at, h = block.samples()
-        return block.suffixes(at, spread(*marked(h, notes_, 3, sample_bits, sample_width)))
+    samples = Samples(total, 2 * bucket_bytes)
+    bits = max(0, math.ceil(math.log2(max(1, total * SPREAD / bucket_bytes))))
+
+    def send_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tool, seen = zstandard.ZstdCompressor(level=3), {}
+        for pdf in batches:
+            out = []
+            for ord_, sha, body in zip(pdf["ord"], pdf["sha"], pdf["body"], strict=True):
+                digest = bytes.fromhex(sha)
+                if digest in seen and seen[digest] <= ord_:
+                    continue
+                for k, at in enumerate(range(0, len(body), segment)):
+                    block = int.from_bytes(hashlib.sha256(digest + at.to_bytes(8, "big")).digest()[:8], "big") % blocks
+                    out.append((block, digest, k, len(body), ord_, None if digest in seen else tool.compress(body[at : at + segment + LENGTH - 1])))
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen[digest] = ord_
+            yield pd.DataFrame(out, columns=["block", "digest", "seg", "size", "ord", "body"]).astype({"block": "int32", "seg": "int32", "size": "int64", "ord": "int64"})
+
+    note_schema = "block int, kind int, bucket int, blob binary"
+
+    def note(block: list[int] | int, kind: int, bucket: list[int] | int, blob: list[bytes]) -> pd.DataFrame:
+        return pd.DataFrame({"block": block, "kind": kind, "bucket": bucket, "blob": blob}).astype({"block": "int32", "kind": "int32", "bucket": "int32"})
 
-    def block_of(docs_: pd.DataFrame, notes_: pd.DataFrame) -> Block:
-        mine = notes_[notes_["kind"] == 0] if len(notes_) else pd.DataFrame({"of": [], "blob": []})
-        return Block(docs_, set(zip(mine["of"].astype("int64"), mine["blob"], strict=True)))
+    def answers(out: list[tuple[int, np.ndarray]], kind: int, bucket: int) -> pd.DataFrame:
+        out = [(b, np.packbits(x).tobytes()) for b, x in out if x.any()]
+        return note([b for b, _ in out], kind, bucket, [x for _, x in out])
 
-    def sent(block: int, keys: np.ndarray, kind: int, bits: int, width: int, second: np.ndarray | None = None) -> pd.DataFrame:
-        pieces = list(cut(keys, bits, width, second))
-        return pd.DataFrame({"block": block, "kind": kind, "bucket": [b for b, _ in pieces], "blob": [x for _, x in pieces]}).astype({"block": "int32", "kind": "int32", "bucket": "int32"})
+    def of_kind(notes: pd.DataFrame, kind: int) -> list[tuple[int, bytes]]:
+        mine = notes[notes["kind"] == kind] if len(notes) else notes
+        return list(zip(mine["bucket"].astype(int), mine["blob"], strict=True)) if len(mine) else []
 
-    def send_samples(docs_: pd.DataFrame, notes_: pd.DataFrame) -> pd.DataFrame:
-        if docs_.empty:
-            return sent(0, np.empty(0, np.uint64), 1, sample_bits, sample_width)
-        h = np.sort(block_of(docs_, notes_).samples()[1])
+    def send_samples(texts: pd.DataFrame) -> pd.DataFrame:
+        h = np.sort(Block(texts, key_bits).samples()[1])
         twice = h[1:][h[1:] == h[:-1]]
-        block = int(docs_["block"].iloc[0])
-        return pd.concat([sent(block, h, 1, sample_bits, sample_width), sent(block, twice, 2, sample_bits, sample_width)])
+        pieces = [(1, *x) for x in samples.cut(h)] + [(2, *x) for x in samples.cut(twice)]
+        return note(int(texts["block"].iloc[0]), [k for k, _, _ in pieces], [b for _, b, _ in pieces], [x for _, _, x in pieces])
 
-    def rank_samples(pdf: pd.DataFrame) -> pd.DataFrame:
+    def count_samples(pdf: pd.DataFrame) -> pd.DataFrame:
         mine, bucket = pdf[pdf["kind"] == 1], int(pdf["bucket"].iloc[0])
-        blobs = [opened(x, sample_width) for x in mine["blob"]]
-        keys = np.sort(np.concatenate([*blobs, *(opened(x, sample_width) for x in pdf.loc[pdf["kind"] == 2, "blob"])]))
+        blobs = [opened(x, samples.width) for x in mine["blob"]]
+        keys = np.sort(np.concatenate([*blobs, *(opened(x, samples.width) for x in pdf.loc[pdf["kind"] == 2, "blob"])]))
         again = np.unique(keys[1:][keys[1:] == keys[:-1]])
         return answers([(b, among(x, again)) for b, x in zip(mine["block"], blobs, strict=True)], 3, bucket)
 
-    def answers(out: list[tuple[int, np.ndarray]], kind: int, bucket: int) -> pd.DataFrame:
-        out = [(b, np.packbits(x).tobytes()) for b, x in out if x.any()]
-        return pd.DataFrame({"block": [b for b, _ in out], "kind": kind, "bucket": bucket, "blob": [x for _, x in out]}).astype({"block": "int32", "kind": "int32", "bucket": "int32"})
+    def block_of(texts: pd.DataFrame, notes: pd.DataFrame) -> Block:
+        block = Block(texts, key_bits)
+        at, h = block.samples()
+        block.suffixes(at[samples.again(h, of_kind(notes, 3))])
+        return block
 
-    def send_suffixes(docs_: pd.DataFrame, notes_: pd.DataFrame) -> pd.DataFrame:
-        if docs_.empty:
-            return sent(0, np.empty(0, np.uint64), 4, suffix_bits, suffix_width)
-        _, h, second = suffixes_of(block_of(docs_, notes_), notes_)
-        return sent(int(docs_["block"].iloc[0]), h, 4, suffix_bits, suffix_width, second)
+    def send_suffixes(texts: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
+        if texts.empty or notes.empty:
+            return note([], 4, [], [])
+        block = block_of(texts, notes)
+        _, first, bucket = block.sent(bits)
+        pieces = list(stretches(block.data, block.pos[first], bucket, block.ords[block.doc[first]]))
+        return note(int(texts["block"].iloc[0]), 4, [b for b, _ in pieces], [x for _, x in pieces])
 
     def sort_suffixes(pdf: pd.DataFrame) -> pd.DataFrame:
-        """A later block learns which of its strings an earlier one holds too."""
-        pdf, bucket = pdf.sort_values("block"), int(pdf["bucket"].iloc[0])
-        pairs = [parted(x, suffix_width) for x in pdf["blob"]]
-        blobs = [x for x, _ in pairs]
-        order, fresh = in_order(np.concatenate(blobs), np.concatenate([x for _, x in pairs]))  # of equal strings the earliest block's comes first
-        later = np.zeros(len(order), bool)
-        later[order] = ~fresh
-        ends = np.cumsum([len(x) for x in blobs])
-        return answers([(b, later[e - len(x) : e]) for b, x, e in zip(pdf["block"], blobs, ends, strict=True)], 5, bucket)
-
-    def finish(docs_: pd.DataFrame, notes_: pd.DataFrame) -> pd.DataFrame:
-        if docs_.empty:
-            return pd.DataFrame({"id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []})
-        block = block_of(docs_, notes_)
-        pos, h, second = suffixes_of(block, notes_)
-        found = block.removed(pos, *marked(h, notes_, 5, suffix_bits, suffix_width, second))
-        sizes = [len(b) for b in block.bodies]
-        ids = block.docs["ord"].astype("Int64").mask(block.docs["ord"] == LAST).array
-        return pd.DataFrame({"id": ids, "n_bytes": sizes, "n_removed": [x[0] for x in found], "n_spans": [x[1] for x in found], "kept_sha256": [x[2] for x in found]})
-
-    texts = named.select("block", "ord", "digest", "body").mapInPandas(squeeze, "block int, ord long, digest binary, body binary").groupBy("block")
-    told = lambda df: df.select("block", "kind", F.lit(None).cast("long").alias("of"), "bucket", "blob")
-    with_notes = lambda df, f, schema: texts.cogroup(df.groupBy("block")).applyInPandas(f, schema)
-    # one plan from here on, so that Spark shuffles the texts and the samples once and reuses both
-    ranked = with_notes(notes, send_samples, text_schema).groupBy("bucket").applyInPandas(rank_samples, text_schema)
-    earlier = with_notes(notes.unionByName(told(ranked)), send_suffixes, text_schema).groupBy("bucket").applyInPandas(sort_suffixes, text_schema)
-    out = with_notes(notes.unionByName(told(ranked)).unionByName(told(earlier)), finish, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return out.withColumnRenamed("id", id_col)
+        """Blocks learn which of their strings a document before the one they sent holds too."""
+        parts = [read_stretches(x) for x in pdf["blob"]]
+        ends = np.cumsum([len(t) for t, _, _ in parts])
+        at = np.concatenate([a + e - len(t) for (t, a, _), e in zip(parts, ends, strict=True)])
+        whose = np.concatenate([w for _, _, w in parts])
+        order, fresh = sorted_suffixes(np.concatenate([t for t, _, _ in parts]), at)
+        group = np.flatnonzero(fresh)
+        least = np.minimum.reduceat(whose[order], group)
+        earlier = np.zeros(len(at), bool)
+        earlier[order] = whose[order] > np.repeat(least, np.diff(group, append=len(at)))
+        until = np.cumsum([len(a) for _, a, _ in parts])
+        return answers([(b, earlier[e - len(a) : e]) for b, (_, a, _), e in zip(pdf["block"], parts, until, strict=True)], 5, int(pdf["bucket"].iloc[0]))
+
+    found_schema = "digest binary, seg int, size long, n_removed long, n_spans long, kept string, gone array<long>"
+
+    def finish(texts: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(texts) and len(notes):
+            block = block_of(texts, notes)
+            by, _, bucket = block.sent(bits)
+            at, marks = edges(bucket.astype(np.uint64), bits, 0), np.zeros(len(by), bool)
+            for b, blob in of_kind(notes, 5):
+                marks[at[b] : at[b + 1]] = np.unpackbits(np.frombuffer(blob, np.uint8), count=at[b + 1] - at[b])
+            earlier = np.zeros(len(by), bool)
+            earlier[by] = marks
+            covered = block.covered(earlier)
+            for digest, seg, size, a, b in zip(block.docs["digest"], block.docs["seg"], block.docs["size"], block.starts, block.ends, strict=True):
+                c = covered[a:b]
+                n = int(c.sum())
+                if n and size <= segment:
+                    out.append((digest, seg, size, n, len(runs(c)) // 2, hashlib.sha256(block.data[a:b][~c].tobytes()).hexdigest(), None))
+                elif n:
+                    out.append((digest, seg, size, None, None, None, runs(c) + seg * segment))
+        frame = pd.DataFrame(out, columns=["digest", "seg", "size", "n_removed", "n_spans", "kept", "gone"])
+        return frame.astype({"seg": "int32", "size": "int64", "n_removed": "Int64", "n_spans": "Int64"})
+
+    def finish_long(texts: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        """The results of a text of several segments, from the stretches that each of them loses."""
+        if texts.empty or parts.empty:
+            return pd.DataFrame({"sha": [], "n_removed": [], "n_spans": [], "kept": []})
+        body = texts["body"].iloc[0]
+        gone = np.zeros(len(body), bool)
+        for x in parts["gone"]:
+            for a, b in np.asarray(x).reshape(-1, 2):
+                gone[a:b] = True
+        rest = hashlib.sha256(np.frombuffer(body, np.uint8)[~gone].tobytes()).hexdigest()
+        return pd.DataFrame({"sha": [texts["sha"].iloc[0]], "n_removed": [int(gone.sum())], "n_spans": [len(runs(gone)) // 2], "kept": [rest]})
+
+    # one plan up to ``found``, so that Spark shuffles the texts and the samples once and reuses both
+    texts = rows.where(F.col("n") > 0).select("ord", "sha", "body").mapInPandas(send_texts, "block int, digest binary, seg int, size long, ord long, body binary").groupBy("block")
+    ranked = texts.applyInPandas(send_samples, note_schema).groupBy("bucket").applyInPandas(count_samples, note_schema)
+    earlier = texts.cogroup(ranked.groupBy("block")).applyInPandas(send_suffixes, note_schema).groupBy("bucket").applyInPandas(sort_suffixes, note_schema)
+    found = settled(texts.cogroup(ranked.unionByName(earlier).groupBy("block")).applyInPandas(finish, found_schema))
+    whole = found.where("gone is null").select(F.lower(F.hex("digest")).alias("sha"), "n_removed", "n_spans", "kept")
+    parts = found.where("gone is not null").select(F.lower(F.hex("digest")).alias("sha"), "gone")
+    bodies = rows.where(F.col("n") > segment).join(parts.select("sha").distinct(), "sha", "left_semi").groupBy("sha").agg(F.first("body").alias("body"))
+    long = bodies.groupBy("sha").cogroup(parts.groupBy("sha")).applyInPandas(finish_long, "sha string, n_removed long, n_spans long, kept string")
+    none = F.lit(None)
+    first = ids.groupBy("sha").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("last > first").select("sha", "first", none.cast("long").alias("n_removed"), none.cast("long").alias("n_spans"), none.cast("string").alias("kept"))
+    facts = first.unionByName(whole.unionByName(long).withColumn("first", none.cast("long"))).groupBy("sha").agg(*(F.max(c).alias(c) for c in ("first", "n_removed", "n_spans", "kept")))
+    out = spread_join(ids, facts, "sha", ["ord"])
+    copy = (F.col("ord") > F.col("first")) & (F.col("n") >= LENGTH)
+    return out.select(
+        F.col("id").alias(id_col),
+        F.col("n").alias("n_bytes"),
+        F.when(copy, F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(copy, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
+    )

@@ -79,13 +79,31 @@ def removed(rows):
     return out
 
 
-@pytest.mark.parametrize(("block", "bucket"), [(4_000_000, 24_000_000), (3_000, 2_000)])
-def test_substrings_equal_brute_force(spark, block, bucket):
+@pytest.mark.parametrize(("block", "bucket", "segment", "bits"), [(4_000_000, 12_000_000, 1_000_000, 64), (3_000, 1_000, 1_000_000, 64), (3_000, 1_000, 70, 64), (3_000, 1_000, 150, 8), (20_000, 1_000_000, 1_000_000, 8)])
+def test_substrings_equal_brute_force(spark, block, bucket, segment, bits):
     rows = texts(spark, 150) + [(1000 + k, "é" * 40 + str(k)) for k in range(3)] + [(2000, "z" * 49), (2001, "z" * 49), (2002, "z" * 300), (2003, "z" * 60)]
-    got = {r[0]: tuple(r)[1:] for r in substrings.dedup_substrings(frame(spark, rows), block_bytes=block, bucket_bytes=bucket).collect()}
+    got = {r[0]: tuple(r)[1:] for r in substrings.dedup_substrings(frame(spark, rows), block_bytes=block, bucket_bytes=bucket, segment=segment, key_bits=bits).collect()}
     assert got == removed(rows)
 
 
+def test_suffixes_are_sorted_by_their_bytes():
+    rng = np.random.default_rng(5)
+    text = np.concatenate([rng.integers(97, 99, 3000), np.tile(rng.integers(97, 100, 37), 60), np.full(400, 97), rng.integers(97, 99, 3000)]).astype(np.uint8)
+    at = rng.permutation(len(text) - 49)
+    order, fresh = substrings.sorted_suffixes(text, at)
+    found = [text[p : p + 50].tobytes() for p in at[order]]
+    assert found == sorted(found) and sorted(order.tolist()) == list(range(len(at)))
+    assert fresh.tolist() == [k == 0 or found[k] != found[k - 1] for k in range(len(found))]
+
+
+def test_substrings_of_long_and_repeated_texts(spark):
+    rng = random.Random(9)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(2_500_000))
+    rows = [(1, long[:1_000_100]), (2, long), (2, long), (3, long), (None, "x" + long[2_400_000:]), (4, long[999_970:1_000_030])]
+    got = Counter(tuple(r)[:4] for r in substrings.dedup_substrings(frame(spark, rows)).collect())
+    assert got == Counter([(1, 1_000_100, 0, 0), (2, 2_500_000, 1_000_100, 1), (2, 2_500_000, 1_000_100, 1), (3, 2_500_000, 2_500_000, 1), (None, 100_001, 100_000, 1), (4, 60, 60, 1)])
+
+
 def test_substrings_of_odd_rows(spark):
     got = substrings.dedup_substrings(frame(spark, ODD).withColumn("block", F.lit(1))).collect()
     assert len(got) == len(ODD)
