@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.llm.common import settled
+from docloom.llm.common import private, settled
 
 CAPACITY = 1024
 END_ID = 2
@@ -48,8 +48,8 @@ class WordIds(dict):
 def byte_bpe(path: str):
     """A byte-level BPE file of the ``tokenizers`` library, run by tiktoken: several times faster, and the same ids.
 
-    Ids below the special ones are in merge order, so they serve as ranks. The special tokens' strings count as
-    ordinary text. The file names its byte characters as all byte-level vocabularies do.
+    Ids below the special ones are in merge order, so they serve as ranks. Texts that hold an added token's string don't
+    come here whole. The file names its byte characters as all byte-level vocabularies do.
     """
     import tiktoken
 
@@ -63,7 +63,7 @@ def byte_bpe(path: str):
 
 
 def library_bpe(path: str):
-    """The ``tokenizers`` library itself, loaded at the first text; special tokens' strings are ordinary text here too."""
+    """The ``tokenizers`` library itself with its defaults, loaded at the first text."""
     found = []
 
     def encode(text: str) -> list[int]:
@@ -71,7 +71,6 @@ def library_bpe(path: str):
             from tokenizers import Tokenizer
 
             found.append(Tokenizer.from_file(path))
-            found[0].encode_special_tokens = True
         return found[0].encode(text, add_special_tokens=False).ids
 
     return encode
@@ -81,12 +80,15 @@ class Encoder:
     """Texts to ids, as little-endian 32-bit bytes.
 
     The pattern starts a new token at a space between two characters that are no white space, and makes a line feed
-    between two such characters a token of its own; so a text falls apart there without changing an id.
+    between two such characters a token of its own; so a text falls apart there without changing an id. The file's added
+    tokens are matched in the text before the pattern, as the ``tokenizers`` library does; texts that hold one are left to it.
     """
 
     def __init__(self, path: str):
-        encode, encode_long = byte_bpe(path), library_bpe(path)
-        self.first, self.next = WordIds(encode, encode_long, ""), WordIds(encode, encode_long, " ")
+        encode, self.library = byte_bpe(path), library_bpe(path)
+        self.first, self.next = WordIds(encode, self.library, ""), WordIds(encode, self.library, " ")
+        with open(path, encoding="utf-8") as f:
+            self.added = [x["content"] for x in json.load(f)["added_tokens"]]
 
     def words(self, words: list[str]) -> bytes:
         return self.first[words[0]] + b"".join(map(self.next.__getitem__, words[1:]))
@@ -94,6 +96,8 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
+        if any(x in text for x in self.added):
+            return array("I", self.library(text)).tobytes()
         if " ".join(text.split()) == text.replace("\n", " "):  # all white space is single spaces and line feeds, inside
             return self.first["\n"].join([self.words(line.split(" ")) for line in text.split("\n")])
         return self.words(_LONE_SPACE.split(text))
@@ -182,30 +186,40 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[in
     return slots
 
 
-def pack(pieces: DataFrame, keys: list[str], capacity: int = CAPACITY, salts: int = 64) -> DataFrame:
+def pack(pieces: DataFrame, keys: list[str], capacity: int = CAPACITY, rows_a_task: int = 200_000) -> DataFrame:
     """``pieces`` (with a column length, 1 to capacity) plus sequence_id and offset; all rows are placed.
 
-    Ranks within a length are row numbers within (length, salt) plus the counts of the salts before, so that a length
-    that many rows have is dealt out to many tasks. The driver sees counts by length, ``capacity`` at most, and the
-    plan is broadcast; both are bounded by the capacity. No rows give no rows. Rows alike in all ``keys`` are
-    interchangeable.
+    Ranks within a length are row numbers within (length, salt) plus the counts of the salts before. A length has as many
+    salts as its rows ask for, so that one that many rows have is dealt out to many tasks at any size. The driver sees
+    counts by length, ``capacity`` at most, and the plan is broadcast; both are bounded by the capacity. No rows give no
+    rows. Rows alike in all ``keys`` are interchangeable. Columns named sequence_id and offset are replaced, others kept.
     """
     spark = pieces.sparkSession
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(salts)))
-    counts = settled(salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n"))
-    total = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("_n")).collect()}
-    slots = spark.createDataFrame(plan_bins(total, capacity) or [(0, 0, 0, 1, 0, 0)], "length long, _rank long, _items long, _each long, _bin long, _at long")
-    numbered = salted.withColumn("_row", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*keys)) - 1)
-    ranked = numbered.join(before.select("length", "_salt", "_before"), ["length", "_salt"]).withColumn("_row", F.col("_row") + F.col("_before"))
-    inside = (F.col("_row") >= F.col("_rank")) & (F.col("_row") < F.col("_rank") + F.col("_items"))
-    placed = ranked.join(F.broadcast(slots.withColumnRenamed("length", "_length")), (F.col("length") == F.col("_length")) & inside)
-    k = F.col("_row") - F.col("_rank")
-    return placed.select(*pieces.columns, (F.col("_bin") + F.floor(k / F.col("_each"))).alias("sequence_id"), (F.col("_at") + k % F.col("_each") * F.col("length")).alias("offset"))
+    pieces = pieces.drop("sequence_id", "offset")
+    salt, salts, row, count, before = private(pieces, "salt", "salts", "row", "count", "before")
+    total = {r[0]: r[1] for r in pieces.groupBy("length").agg(F.count("*")).collect()}
+    spread = spark.createDataFrame([(n, -(-c // rows_a_task)) for n, c in total.items()] or [(0, 1)], f"length long, {salts} long")
+    slots = spark.createDataFrame(plan_bins(total, capacity) or [(0, 0, 0, 1, 0, 0)], "length long, rank long, items long, each long, bin long, at long")
+    slot = private(pieces.withColumns({x: F.lit(0) for x in (salt, row, before)}), "slot")[0]
+    slots = slots.select("length", F.struct("rank", "items", "each", "bin", "at").alias(slot))
+    salted = pieces.join(F.broadcast(spread), "length").withColumn(salt, F.pmod(F.xxhash64(*keys), F.col(salts))).drop(salts)
+    counts = settled(salted.groupBy("length", salt).agg(F.count("*").alias(count)))
+    sums = counts.select("length", salt, (F.sum(count).over(Window.partitionBy("length").orderBy(salt)) - F.col(count)).alias(before))
+    ranked = salted.withColumn(row, F.row_number().over(Window.partitionBy("length", salt).orderBy(*keys)) - 1).join(sums, ["length", salt])
+    ranked = ranked.withColumn(row, F.col(row) + F.col(before)).alias("r")
+    k = F.col(row) - F.col(slot)["rank"]
+    placed = ranked.join(F.broadcast(slots).alias("s"), (F.col("r.length") == F.col("s.length")) & (k >= 0) & (k < F.col(slot)["items"]))
+    own = [F.col(f"r.`{c}`") for c in pieces.columns]
+    place = F.col(slot)["at"] + k % F.col(slot)["each"] * F.col("r.length")
+    return placed.select(*own, (F.col(slot)["bin"] + F.floor(k / F.col(slot)["each"])).alias("sequence_id"), place.alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """All pieces of all documents with their places in sequences of at most ``capacity`` ids."""
+    """All pieces of all documents, as token_pieces() gives them, with their places in sequences of at most ``capacity`` ids.
+
+    Null texts are empty; null ids are kept; repeated rows give repeated pieces, each with its place. Texts may be of any
+    length. Other columns than the id and the text are not looked at. No rows give no rows.
+    """
     pieces = token_pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id, with_ids)
     return pack(settled(pieces), [id_col, "piece", "ids_crc32"], capacity)
 

@@ -366,7 +366,6 @@ def reference_ids(body):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path())
-    tok.encode_special_tokens = True
     return tok.encode(body or "", add_special_tokens=False).ids + [2]
 
 
@@ -412,6 +411,45 @@ def test_plan_places_every_item():
         assert len(used) <= least * 1.34 + 2
 
 
+def fewest_bins(items, capacity):
+    """By trying every bin for every item, largest first."""
+    items, best = sorted(items, reverse=True), len(items)
+
+    def place(k, gaps):
+        nonlocal best
+        if len(gaps) >= best:
+            return
+        if k == len(items):
+            best = len(gaps)
+            return
+        for j in {g: j for j, g in enumerate(gaps) if g >= items[k]}.values():
+            place(k + 1, [*gaps[:j], gaps[j] - items[k], *gaps[j + 1 :]])
+        place(k + 1, [*gaps, capacity - items[k]])
+
+    place(0, [])
+    return best
+
+
+def test_plans_are_near_the_optimum():
+    rng, over = random.Random(8), Counter()
+    for _ in range(300):
+        items = [rng.randint(1, rng.choice([30, 50, 100])) for _ in range(rng.randint(1, 9))]
+        slots = packing.plan_bins(Counter(items), 100)
+        bins = max(first + -(-n // each) for _, _, n, each, first, _ in slots)
+        over[bins - fewest_bins(items, 100)] += 1
+    assert set(over) <= {0, 1} and over[1] <= 15
+
+
+def test_a_common_length_is_dealt_to_many_tasks(spark):
+    rows = frame(spark, [(k % 7, 512 if k % 3 else 500, k) for k in range(3000)], "salt int, length long, k long").withColumn("row", F.lit(1)).withColumn("slot", F.lit("x"))
+    got = packing.pack(rows, ["k"], rows_a_task=100).collect()
+    used = defaultdict(list)
+    for r in got:
+        used[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert sorted(r["k"] for r in got) == list(range(3000)) and len(used) == 1500 and got[0]["slot"] == "x"
+    assert all(a == 0 and b == n for (a, n), (b, _) in (sorted(x) for x in used.values()))
+
+
 def test_sequences_join_their_pieces(spark):
     packed = packing.pack_documents(frame(spark, [(1, "a b c"), (2, "d")]), tokenizer_path(), with_ids=True)
     (row,) = packing.sequences(packed).collect()
