@@ -9,9 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from docloom.llm.common import connected_components, merge_labels, settled
+from docloom.llm.common import connected_components, merge_labels, settled, spread_join
 
 THRESHOLD = 0.9
 RECALL = 0.998  # of pairs just at the threshold that share a code in some table; nearer pairs share more
@@ -28,7 +27,7 @@ def usable(vector: str) -> F.Column:
 
 def layout(n: int, threshold: float, recall: float = RECALL, bucket: int = BUCKET) -> tuple[int, int]:
     """(tables, bits): bits grow with the logarithm of the number of vectors, tables so that the recall stays."""
-    bits = max(4, min(24, math.ceil(math.log2(max(2, n / bucket)))))
+    bits = max(4, min(60, math.ceil(math.log2(max(2, n / bucket)))))
     agree = (1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi) ** bits
     return max(1, math.ceil(math.log(1 - recall) / math.log(max(1e-9, 1 - agree)))) if agree < 1 else 1, bits
 
@@ -37,7 +36,7 @@ def codes(x: np.ndarray, tables: int, bits: int) -> np.ndarray:
     """The sign pattern of each vector in each table."""
     planes = np.random.default_rng([SEED, x.shape[1]]).standard_normal((x.shape[1], tables * bits))
     signs = (x @ planes > 0).reshape(len(x), tables, bits)
-    return (signs * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)
+    return (signs * (np.int64(1) << np.arange(bits))).sum(axis=2)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -70,58 +69,57 @@ def link_cell(x: np.ndarray, c: np.ndarray, n: np.ndarray, right: np.ndarray, sa
 def vector_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(id, n_links, component_id, kept) of each row.
 
-    Rows with equal components are one class, represented by its smallest id; the classes are hashed, so copies never
-    meet as pairs. A bucket is cut into blocks, and each pair of blocks is a cell of its own: a bucket of any size is
-    spread out. A cell returns the weights that its members gain and a spanning forest, not its pairs. A pair counts
-    in the first table that it shares, so links are counted once. Vectors of different lengths never link; unusable
-    ones have no links and are their own component, kept. Rows with null ids count as links of others but form no
-    links between classes of their own; their component is that of their class, null if it has no id. Repeated rows stay
-    separate rows. An id names one vector: of different ones under a smallest id the class with the smallest digest
-    takes part, the others link to their copies alone. Other columns are not looked at. No rows give no rows.
+    Rows with equal components are one class with a number of its own; the classes are hashed, so copies never meet as
+    pairs. A bucket is cut into blocks, and each pair of blocks is a cell of its own: a bucket of any size is spread out.
+    A cell returns the weights that its members gain and a spanning forest, not its pairs. A pair counts in the first
+    table that it shares, so links are counted once. Vectors of different lengths never link; unusable ones have no
+    links and are their own component, kept. Rows count as links whatever their ids; ids come in only when components are
+    named by their smallest one. A component without any id is null, and none of its rows is kept. Repeated rows stay
+    separate rows, also where one id names several vectors. Other columns are not looked at. No rows give no rows.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     rows = rows.withColumn("v", F.when(usable("v"), F.transform("v", lambda x: F.when(x == 0, F.abs(x)).otherwise(x))))  # no -0.0
     rows = settled(rows.withColumn("key", F.sha2(F.col("v").cast("string"), 256)))
-    classes = settled(rows.where("v is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")))
-    first = Window.partitionBy("rep").orderBy("key")
-    live = settled(classes.where("rep is not null").withColumn("_first", F.row_number().over(first)).where("_first = 1").drop("_first"))
+    classes = rows.where("v is not null").groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("v").alias("v"))
+    live = settled(classes.withColumn("cls", F.monotonically_increasing_id()))  # as written, so numbers stay
     tables, bits = layout(live.count(), threshold)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for dim, part in pdf.groupby(pdf["v"].map(len)):
                 c = codes(unit(np.stack(part["v"].to_numpy()).astype(np.float64)), tables, bits)
-                yield pd.DataFrame({"rep": np.repeat(part["rep"].to_numpy(), tables), "dim": dim, "t": np.tile(np.arange(tables), len(part)), "code": c.ravel()})
+                yield pd.DataFrame({"cls": np.repeat(part["cls"].to_numpy(), tables), "dim": dim, "t": np.tile(np.arange(tables), len(part)), "code": c.ravel()})
 
-    signed = settled(live.select("rep", "v").mapInPandas(sign, "rep long, dim int, t int, code int"))
+    signed = settled(live.select("cls", "v").mapInPandas(sign, "cls long, dim int, t int, code long"))
     sizes = signed.groupBy("dim", "t", "code").agg(F.count("*").alias("m")).where("m > 1")
     placed = signed.join(sizes, ["dim", "t", "code"]).withColumn("blocks", F.ceil(F.col("m") / F.lit(block)).cast("int"))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("rep", "dim", "t", "code", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("cls", "dim", "t", "code", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     shards = max(1, -(-placed.count() // (8 * block)))
     placed = placed.withColumn("shard", F.pmod(F.xxhash64("dim", "t", "code", "lo", "hi"), F.lit(shards)))
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["dim", "t", "code", "lo", "hi", "rep"])
+        pdf = pdf.sort_values(["dim", "t", "code", "lo", "hi", "cls"])
         cell = pdf[["dim", "t", "code", "lo", "hi"]].to_numpy()
         cuts = np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1
-        rep, n, own, vs, out = pdf["rep"].to_numpy(), pdf["n"].to_numpy(), pdf["own"].to_numpy(), pdf["v"].to_numpy(), []
+        cls, n, own, vs, out = pdf["cls"].to_numpy(), pdf["n"].to_numpy(), pdf["own"].to_numpy(), pdf["v"].to_numpy(), []
         for a, b in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
             _, t, _, lo, hi = cell[a]
             x = unit(np.stack(vs[a:b]).astype(np.float64))
             gain, parent = link_cell(x, codes(x, tables, bits), n[a:b], own[a:b] != lo, lo == hi, t, threshold)
             k = np.flatnonzero((gain > 0) | (parent != np.arange(b - a)))
-            out.append((rep[a:b][k], gain[k], rep[a:b][parent[k]]))
-        return pd.DataFrame(dict(zip(("rep", "gain", "root"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
-
-    met = placed.join(live.select("rep", "n", "v"), "rep").groupBy("shard").applyInPandas(meet, "rep long, gain long, root long")
-    found = settled(met.groupBy("rep", "root").agg(F.sum("gain").alias("gain")))
-    gains = found.groupBy("rep").agg(F.sum("gain").alias("gain"))
-    parts = connected_components(found.select("rep", "root"))
-    linked = live.select("key", "rep").join(gains, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left").select("key", "gain", "component")
-    named = classes.select("key", "rep", "n").join(linked, "key", "left")
-    named = named.select("key", (F.col("n") - 1 + F.coalesce("gain", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("part"))
-    out = rows.select("id", "key").join(named, "key", "left")
+            out.append((cls[a:b][k], gain[k], cls[a:b][parent[k]]))
+        return pd.DataFrame(dict(zip(("cls", "gain", "root"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    met = placed.join(live.select("cls", "n", "v"), "cls").groupBy("shard").applyInPandas(meet, "cls long, gain long, root long")
+    found = settled(met.groupBy("cls", "root").agg(F.sum("gain").alias("gain")))
+    gains = found.groupBy("cls").agg(F.sum("gain").alias("gain"))
+    parts = connected_components(found.select("cls", "root"))
+    joined = live.select("key", "cls", "least", "n").join(gains, "cls", "left").join(parts, F.col("cls") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cls"))
+    joined = settled(joined.select("key", "component", "least", (F.col("n") - 1 + F.coalesce("gain", F.lit(0))).alias("links")))
+    names = joined.groupBy("component").agg(F.min("least").alias("part"))
+    named = spread_join(joined.select("key", "component", "links"), names, "component", ["key"]).select("key", "links", "part")
+    out = spread_join(rows.select("id", "key"), named, "key", ["id"])
     part = F.when(F.col("links").isNull(), F.col("id")).otherwise(F.col("part"))
     out = out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), part.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))

@@ -292,6 +292,19 @@ def test_vector_links_of_odd_ids(spark):
     assert got == [(-1, 3, 3), (3, 3, 3), (3, 3, 3), (4, 3, 3)]
 
 
+def test_no_link_is_lost_between_rows_that_share_ids(spark):
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((40, 16))
+    rows = [(rng.choice([None, int(rng.integers(0, 12))]), [float(x) for x in base[rng.integers(0, 40)] + (0.05 * rng.standard_normal(16) if k % 2 else 0)], 0) for k in range(300)]
+    x = np.array([r[1] for r in rows], np.float32).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.9 - 1e-12) & ~np.eye(len(x), dtype=bool)
+    label = components(len(rows), [tuple(map(int, e)) for e in np.argwhere(np.triu(near))])
+    least = {c: min((rows[k][0] for k in range(len(rows)) if label[k] == c and rows[k][0] is not None), default=None) for c in label}
+    got = Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in neardup_vectors.vector_links(frame(spark, rows, VEC), block=16).collect())
+    assert got == Counter((rows[k][0], int(near[k].sum()), least[label[k]]) for k in range(len(rows)))
+
+
 # ---- 5: mixing
 
 def test_rates_match_targets(spark):
