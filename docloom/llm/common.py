@@ -41,20 +41,26 @@ def private(df: DataFrame, *names: str) -> list[str]:
     return found
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, by: list[str], least: int = 10_000, hot_keys: int = 10_000) -> DataFrame:
-    """Left join on ``key`` with a ``right`` that has one row for each key at most, salted for keys of many rows.
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: list[str], how: str = "left", counts: DataFrame | None = None, least: int = 10_000, hot_keys: int = 10_000) -> DataFrame:
+    """Join on ``key`` with a ``right`` that has one row for each key at most, salted for keys of many rows.
 
     A key is hot with more than ``least`` rows and more than one in ``hot_keys`` of all; so there are ``hot_keys`` such
     keys at most, which are broadcast. Their left rows are dealt to salts by a hash of the columns ``by``, their right rows
-    are repeated for each salt.
+    are repeated for each salt. ``counts`` (key, n) spares counting where the left rows of each key are known.
     """
-    limit = max(least, left.count() // hot_keys)
-    hot = left.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
-    hot = F.broadcast(settled(hot.select(key, F.ceil(F.col("_n") / F.lit(limit)).cast("long").alias("_salts"))))
-    salt = F.pmod(F.xxhash64(*by), F.coalesce("_salts", F.lit(1).cast("long")))
-    salted = left.join(hot, key, "left").withColumn("_salt", salt).drop("_salts")
-    spread = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
-    return salted.join(spread, [key, "_salt"], "left").drop("_salt")
+    spark = left.sparkSession
+    counts = left.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts.select(key, "n")
+    counts = settled(counts.where(F.col("n") > least))
+    limit = max(least, int(counts.agg(F.sum("n")).first()[0] or 0) // hot_keys)
+    salt, salts = private(left.join(right.limit(0), key), "salt", "salts")
+    hot = {r[0]: r[1] for r in counts.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / F.lit(limit))).collect()}
+    if not hot:
+        return left.join(right, key, how)
+    table = F.broadcast(spark.createDataFrame(list(hot.items()), f"{key} {right.schema[key].dataType.simpleString()}, {salts} long"))
+    one = F.coalesce(salts, F.lit(1).cast("long"))
+    salted = left.join(table, key, "left").withColumn(salt, F.pmod(F.xxhash64(*by), one)).drop(salts)
+    spread = right.join(table, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), one - 1))).drop(salts)
+    return salted.join(spread, [key, salt], how).drop(salt)
 
 
 def merge_labels(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:

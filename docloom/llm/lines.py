@@ -1,10 +1,12 @@
-"""Line dedup by winnowing: window minima of line hashes as fingerprints, extended to the runs around them."""
+"""Line dedup by winnowing: window minima of line hashes as fingerprints, joined and extended to the runs around them."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import private, settled, spread_join
+
 RUN = 2  # lines that a repeated run must have; also the winnowing window, so each such run holds a fingerprint
 LONG_WORDS = 50  # words from which one line is a run by itself
 
@@ -13,41 +15,49 @@ def line_count_words(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def runs_of_lines(docs: DataFrame, run: int, long_words: int) -> DataFrame:
-    """(id, tag, pos, size, seed, h1, h2): every run of ``run`` lines and every long line, with its fingerprint.
+def winnowed(lines: DataFrame, run: int, long_words: int, extended: bool) -> DataFrame:
+    """(id, tag, h) of each fingerprint, a line of ``lines`` (id, tag, lines) that has the least hash of some window of ``run`` lines.
 
-    The seed is the least line hash in the run, its window minimum; h1 and h2 hash the whole run, 96 bits together.
-    Runs of blank lines only are left out.
+    Of equal hashes in a window the first counts, so equal windows choose the same line. A line that several windows choose
+    is one fingerprint; one that only windows of blank lines choose is none; a long line is one by itself. ``extended`` adds
+    ``runs``: begin, size and SHA-256 of the windows that chose the line, which extend it to both sides.
     """
-    shown = docs.select("id", "tag", F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("a"), F.hash(x).alias("b"), (F.trim(x) == "").alias("blank"), (line_count_words(x) >= long_words).alias("long"))).alias("l"))
+    facts = F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("h"), (F.trim(x) == "").alias("blank"), (line_count_words(x) >= long_words).alias("long")))
     starts = F.when(F.size("l") >= run, F.sequence(F.lit(0), F.size("l") - run)).otherwise(F.array().cast("array<int>"))
 
-    def window(i: Column) -> Column:
-        part = [F.get("l", i + k) for k in range(run)]
-        seed = F.array_min(F.array(*(p["a"] for p in part)))
-        blank = F.forall(F.array(*(p["blank"] for p in part)), lambda x: x)
-        return F.struct(i.alias("pos"), F.lit(run).alias("size"), seed.alias("seed"), F.xxhash64(*(p["a"] for p in part)).alias("h1"), F.hash(*(p["b"] for p in part)).alias("h2"), blank.alias("blank"))
+    def chosen(i: Column) -> Column:
+        part = F.slice("l", i + 1, run)
+        h = F.transform(part, lambda x: x["h"])
+        return F.when(~F.forall(part, lambda x: x["blank"]), i + F.array_position(h, F.array_min(h)).cast("int") - 1)
 
-    def single(x: Column, i: Column) -> Column:
-        return F.struct(i.alias("pos"), F.lit(1).alias("size"), x["a"].alias("seed"), F.xxhash64(x["a"]).alias("h1"), x["b"].alias("h2"), (~x["long"] | x["blank"]).alias("blank"))
+    def digest(i: Column, size: int) -> Column:
+        return F.struct(i.alias("pos"), F.lit(size).alias("size"), F.unhex(F.sha2(F.array_join(F.slice("lines", i + 1, size), "\n"), 256)).alias("run"))
 
-    found = F.concat(F.transform(starts, window), F.transform("l", single))
-    return shown.select("id", "tag", F.inline(found)).where("not blank").drop("blank")
+    def fingerprint(x: Column, p: Column) -> Column:
+        alone = x["long"] & ~x["blank"]
+        windows = F.filter(F.sequence(F.greatest(p - (run - 1), F.lit(0)), p), lambda i: F.get("c", i) == p)
+        runs = [F.concat(F.transform(windows, lambda i: digest(i, run)), F.when(alone, F.array(digest(p, 1))).otherwise(F.array().cast("array<struct<pos:int,size:int,run:binary>>"))).alias("runs")] if extended else []
+        return F.when(alone | (F.size(windows) > 0), F.struct(x["h"].alias("h"), *runs))
 
+    shown = lines.withColumn("l", facts).withColumn("c", F.transform(starts, chosen))
+    found = F.filter(F.transform("l", fingerprint), lambda x: x.isNotNull())
+    return shown.select("id", "tag", F.inline(found))
 
-def repeated_lines(docs: DataFrame, id_col: str, text_col: str, run: int, long_words: int) -> tuple[DataFrame, DataFrame]:
-    """(documents with their lines, positions to delete by document)."""
-    body = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))).withColumn("_tag", F.xxhash64(body))
-    lines = keyed.select(F.col("_id").alias("id"), F.col("_tag").alias("tag"), F.split(body, "\n").alias("lines"))
-    runs = runs_of_lines(lines, run, long_words).distinct()
-    again = runs.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
+
+def repeated_lines(lines: DataFrame, run: int, long_words: int) -> DataFrame:
+    """(id, tag, gone): the positions to delete in each document of ``lines`` that has any.
+
+    Fingerprints are joined with the hashes that occur again; only what is left is extended. Runs are equal by SHA-256. A
+    run meets the first place of its text alone, never all others. Hashes and runs that many rows share are salted.
+    """
+    again = settled(winnowed(lines, run, long_words, False).groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    near = spread_join(winnowed(lines, run, long_words, True), again.select("h"), "h", ["id", "tag"], "inner", again)
+    near = settled(near.select("id", "tag", F.inline("runs")))
     place = F.struct("id", "tag", "pos")
-    near = runs.join(again, "seed", "left_semi").withColumn("place", place)
-    first = near.groupBy("h1", "h2", "size").agg(F.min("place").alias("first"))
-    later = near.join(first, ["h1", "h2", "size"]).where("place > first")
+    first = settled(near.groupBy("run").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    later = spread_join(near, first.drop("n"), "run", ["id", "tag", "pos"], "inner", first).where(place > F.col("first"))
     gone = later.select("id", "tag", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("size") - 1)).alias("pos"))
-    return keyed, gone.groupBy(F.col("id").alias("_id"), F.col("tag").alias("_tag")).agg(F.array_sort(F.collect_set("pos")).alias("_gone"))
+    return gone.groupBy("id", "tag").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, long_words: int = LONG_WORDS) -> DataFrame:
@@ -55,20 +65,25 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A run is ``run`` lines in a row, or one line of ``long_words`` words. The first place of a run, by (id, text hash,
     line), stays; the lines of each later one go, and with them all that overlapping later runs cover, so a match
-    reaches as far both ways as it holds. Fingerprints that occur once rule out their runs before any join; a run is
-    compared with its first place alone, never with all others. Lines end at a line feed. Null texts count as empty
+    reaches as far both ways as it holds. Every run holds a fingerprint, so none is missed; a single line of fewer words
+    that repeats without its neighbours stays. Lines end at a line feed and may be of any number and length. Null texts count as empty
     and stay null; blank lines alone are no run; null ids come last; rows that repeat an id and text are one
-    document and are treated alike. Other columns are kept; those named n_lines, n_removed or n_runs are replaced.
+    document and are treated alike. Other columns are kept, whatever their names; those named n_lines, n_removed or n_runs
+    are replaced. No rows give no rows.
     """
-    keyed, gone = repeated_lines(docs, id_col, text_col, run, long_words)
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    none = F.array().cast("array<int>")
-    joined = keyed.join(gone, ["_id", "_tag"], "left").withColumn("_gone", F.coalesce("_gone", none)).withColumn("n_lines", F.size(lines).cast("long"))
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    text = F.when(F.size("_gone") == 0, F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    runs = F.size(F.filter(F.col("_gone"), lambda x, i: (i == 0) | (F.get("_gone", i - 1) != x - 1)))
-    out = joined.withColumn("n_removed", F.size("_gone").cast("long")).withColumn("n_runs", runs.cast("long")).withColumn(text_col, text)
-    return out.drop("_id", "_tag", "_gone")
+    docs = docs.drop("n_lines", "n_removed", "n_runs")
+    key, tag, gone = private(docs, "key", "tag", "gone")
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    lines = F.split(body, "\n")
+    keyed = docs.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), tag: F.xxhash64(body)})
+    found = repeated_lines(keyed.select(F.col(key).alias("id"), F.col(tag).alias("tag"), lines.alias("lines")), run, long_words)
+    found = found.select(F.col("id").alias(key), F.col("tag").alias(tag), F.col("gone").alias(gone))
+    joined = keyed.join(found, [key, tag], "left").withColumn(gone, F.coalesce(gone, F.array().cast("array<int>")))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    text = F.when(F.size(gone) == 0, F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    runs = F.size(F.filter(F.col(gone), lambda x, i: (i == 0) | (F.get(gone, i - 1) != x - 1)))
+    counts = {"n_lines": F.size(lines), "n_removed": F.size(gone), "n_runs": runs}
+    return joined.withColumns({k: v.cast("long") for k, v in counts.items()}).withColumn(text_col, text).drop(key, tag, gone)
 
 
 def oracle_sql(run: int = RUN, long_words: int = LONG_WORDS) -> str:

@@ -174,6 +174,42 @@ def test_lines(spark):
     assert lines.dedup_lines(frame(spark, ODD)).count() == len(ODD)
 
 
+@pytest.mark.parametrize("run", [2, 3])
+def test_fingerprints_are_window_minima(spark, run):
+    rng = random.Random(2)
+    rows = [(k, 0, [rng.choice("abcdefghijkl") for _ in range(rng.randint(0, 30))]) for k in range(40)]
+    df = frame(spark, rows, "id long, tag int, lines array<string>")
+    h = dict(df.select(F.explode("lines").alias("x")).distinct().select("x", F.xxhash64("x")).collect())
+    want = set()
+    for k, _, x in rows:
+        for i in range(len(x) - run + 1):
+            want.add((k, min(range(i, i + run), key=lambda p: (h[x[p]], p))))
+    got = lines.winnowed(df, run, 50, True).collect()
+    assert Counter(r["id"] for r in got) == Counter(k for k, _ in want) and len(want) < sum(len(x) for _, _, x in rows)
+    assert sum(len(r["runs"]) for r in got) == sum(max(0, len(x) - run + 1) for _, _, x in rows)
+    for r in got:
+        x = rows[r["id"]][2]
+        assert all(r["h"] == min(h[c] for c in x[w["pos"] : w["pos"] + run]) and w["run"] == hashlib.sha256("\n".join(x[w["pos"] : w["pos"] + run]).encode()).digest() for w in r["runs"])
+
+
+def test_hot_keys_are_salted(spark):
+    from docloom.llm.common import spread_join
+
+    left = frame(spark, [("a" if k % 3 else f"b{k % 30}", k) for k in range(600)] + [(None, 999)], "key string, k long").withColumn("salt", F.lit(5))
+    right = frame(spark, [("a", 1), ("b0", 2), ("c", 3)], "key string, v int")
+    got = Counter((r["key"], r["k"], r["v"], r["salt"]) for r in spread_join(left, right, "key", ["k"], least=50).collect())
+    assert got == Counter((x, k, {"a": 1, "b0": 2}.get(x), 5) for x, k, _ in left.collect())
+    inner = spread_join(left, right, "key", ["k"], "inner", left.groupBy("key").agg(F.count("*").alias("n")), least=50)
+    assert inner.count() == 400 + 20
+
+
+def test_line_columns_may_clash(spark):
+    docs = frame(spark, ODD).withColumns({c: F.lit(c) for c in ("key", "tag", "gone", "_gone", "_id", "h", "run", "salt")})
+    got = lines.dedup_lines(docs)
+    assert got.columns == [*docs.columns, "n_lines", "n_removed", "n_runs"]
+    assert all(r[c] == c for r in got.collect() for c in docs.columns[2:])
+
+
 def test_chat_rotation(spark):
     rows = [(1, 0, "system", "S"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "bob", None), (2, None, None, "x"), (None, 1, "ann", "lost"), (3, 1, "system", "only")]
     got = chat.rotate_perspectives(frame(spark, rows, "conv_id long, turn long, role string, text string").withColumn("view", F.lit(1))).collect()
