@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import connected_components, merge_labels, settled
+from docloom.llm.common import connected_components, merge_labels, settled, spread_join
 
 SEED = 42
 MAX_BITS = 3
@@ -100,29 +102,99 @@ def link_shard(home: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndar
     return far, parent[far]
 
 
-def near_fingerprints(reps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Edges (a, b) between ids of ``reps`` (rep, fp distinct) that join all fingerprints within max_bits.
+HALVES = (lambda x: x & np.uint64(0xFFFFFFFF), lambda x: x >> np.uint64(32), lambda x: x)  # and the whole fingerprint
 
-    Two fingerprints that differ in at most 2r+1 bits differ in at most r bits in one of their 32-bit halves. One tree
-    for each half deals the fingerprints out to leaves; a fingerprint also visits each leaf that its ball of radius r
-    overlaps, so each near pair meets in the home leaf of either. A leaf compares all 64 bits and returns a spanning
-    forest, never all pairs. The trees come from a bounded sample; the number of leaves follows the number of rows.
+
+def deal(fp: np.ndarray, home: np.ndarray, tree: list[tuple[int, int, int, int]], part: int, max_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(leaf, point index, home): the leaves that a ball around each point may reach; a point is at home in one of them at most."""
+    x = HALVES[part](fp)
+    at = np.empty(len(fp), np.int32)
+    leaf, k = visit(tree, x, 0)
+    at[k] = leaf
+    leaf, k = visit(tree, x, max_bits if part == 2 else max_bits // 2)
+    return leaf, k, home[k] & (at[k] == leaf)
+
+
+def leaf_sizes(dealt: DataFrame) -> DataFrame:
+    return dealt.groupBy("shard").agg(F.count("*").alias("n"), F.count_if("home").alias("own"))
+
+
+def split_leaves(dealt: DataFrame, full: DataFrame, max_bits: int, leaf: int, sample: int) -> DataFrame:
+    """The points of over-full leaves ``full`` (shard, n, own), dealt to the leaves of trees of their own.
+
+    Each leaf's tree grows from a hashed sample of the points at home in it; a leaf that its half hardly tells apart gets a
+    tree over whole fingerprints. Points of a leaf are split by salts, and each salt gets the leaf's tree.
+    """
+    salts = F.ceil(F.col("n") / F.lit(100_000)).cast("long")
+    held = spread_join(dealt, full.select("shard", "own", salts.alias("salts")), "shard", ["fp"], "inner", full)
+    held = held.withColumn("salt", F.pmod(F.xxhash64("fp"), F.col("salts")))
+    drawn = held.where("home").where(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(1 << 30)) < F.least(F.lit(1.0), F.lit(float(sample)) / F.col("own")) * (1 << 30))
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        points, own, t = pdf["fp"].to_numpy().view(np.uint64), int(pdf["own"].iloc[0]), int(pdf["shard"].iloc[0].split(".")[0])
+        size = max(1, round(leaf * len(points) / own))
+        tree = grow_tree(HALVES[t](points), size)
+        if t < 2 and np.bincount(visit(tree, HALVES[t](points), 0)[0]).max() > max(2 * size, len(points) // 4):
+            t, tree = 2, grow_tree(points, size)
+        return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "salts": pdf["salts"].iloc[:1], "part": t, "tree": [pickle.dumps(tree)]})
+
+    trees = drawn.select("shard", "fp", "own", "salts").groupBy("shard").applyInPandas(grow, "shard string, salts long, part int, tree binary")
+    trees = trees.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+
+    def part_out(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty or own.empty:
+            return pdf[["shard", "rep", "fp", "home"]]
+        t, up = int(own["part"].iloc[0]), pdf["shard"].iloc[0].split(".", 1)[1]
+        found, k, home = deal(pdf["fp"].to_numpy().view(np.uint64), pdf["home"].to_numpy(), pickle.loads(own["tree"].iloc[0]), t, max_bits)
+        return pd.DataFrame({"shard": [f"{t}.{up}.{x}" for x in found], "rep": pdf["rep"].to_numpy()[k], "fp": pdf["fp"].to_numpy()[k], "home": home})
+
+    keys = ["shard", "salt"]
+    return held.groupBy(*keys).cogroup(trees.groupBy(*keys)).applyInPandas(part_out, DEALT)
+
+
+DEALT = "shard string, rep long, fp long, home boolean"
+
+
+def dealt_fingerprints(reps: DataFrame, max_bits: int, leaf: int, sample: int) -> DataFrame:
+    """(shard, rep, fp, home): the leaves that each fingerprint of ``reps`` visits, none with more than about 8 ``leaf`` at home.
+
+    The first trees come from a bounded sample on the driver; leaves that are over-full for lack of sample are split again
+    by trees of their own, grown where their points are, until none is left.
     """
     n = reps.count()
-    sample = np.array([r[0] for r in reps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < F.lit(min(1.0, SAMPLE / 2 / max(n, 1)) * (1 << 30))).select("fp").limit(SAMPLE).collect()], dtype=np.int64).view(np.uint64)
-    radius, low = max_bits // 2, np.uint64(0xFFFFFFFF)
-    halves = (lambda x: x & low, lambda x: x >> np.uint64(32))
-    trees = [grow_tree(half(sample), max(1, round(LEAF * len(sample) / max(n, 1)))) for half in halves]
+    drawn = np.array([r[0] for r in reps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < F.lit(min(1.0, sample / 2 / max(n, 1)) * (1 << 30))).select("fp").limit(sample).collect()], dtype=np.int64).view(np.uint64)
+    trees = [grow_tree(HALVES[t](drawn), max(1, round(leaf * len(drawn) / max(n, 1)))) for t in (0, 1)]
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fp = pdf["fp"].to_numpy().view(np.uint64)
-            for t, (tree, half) in enumerate(zip(trees, halves, strict=True)):
-                at = np.empty(len(fp), np.int32)
-                leaf, k = visit(tree, half(fp), 0)
-                at[k] = leaf
-                leaf, k = visit(tree, half(fp), radius)
-                yield pd.DataFrame({"shard": leaf.astype(np.int64) * 2 + t, "rep": pdf["rep"].to_numpy()[k], "fp": fp[k].view(np.int64), "home": at[k] == leaf})
+            for t, tree in enumerate(trees):
+                found, k, home = deal(fp, np.ones(len(fp), bool), tree, t, max_bits)
+                yield pd.DataFrame({"shard": [f"{t}.{x}" for x in found], "rep": pdf["rep"].to_numpy()[k], "fp": fp[k].view(np.int64), "home": home})
+
+    dealt, done = reps.mapInPandas(run, DEALT), []
+    if n <= leaf * len(trees[0]):  # leaves as the sample has them hold few
+        return dealt
+    before = None
+    while True:
+        dealt = settled(dealt)
+        sizes = settled(leaf_sizes(dealt).where(F.col("own") > 8 * leaf))
+        left = sizes.agg(F.count("*"), F.max("own")).first()
+        if not left[0] or tuple(left) == before:  # the same again: fingerprints that no tree tells apart any further
+            return reduce(DataFrame.unionByName, [*done, dealt])
+        before = tuple(left)
+        done.append(dealt.join(sizes.select("shard"), "shard", "left_anti"))
+        dealt = split_leaves(dealt, sizes, max_bits, leaf, sample)
+
+
+def near_fingerprints(reps: DataFrame, max_bits: int = MAX_BITS, leaf: int | None = None, sample: int = SAMPLE) -> DataFrame:
+    """Edges (a, b) between ids of ``reps`` (rep, fp distinct) that join all fingerprints within max_bits.
+
+    Two fingerprints that differ in at most 2r+1 bits differ in at most r bits in one of their 32-bit halves. One tree
+    for each half deals the fingerprints out to leaves; a fingerprint also visits each leaf that its ball of radius r
+    overlaps, so each near pair meets in the home leaf of either. A leaf compares all 64 bits and returns a spanning
+    forest, never all pairs. Leaves hold a bounded number of fingerprints at any size.
+    """
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep")
@@ -130,7 +202,7 @@ def near_fingerprints(reps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         i, root = link_shard(pdf["home"].to_numpy(), pdf["fp"].to_numpy().view(np.uint64), max_bits)
         return pd.DataFrame({"a": rep[i], "b": rep[root]})
 
-    return reps.mapInPandas(deal, "shard long, rep long, fp long, home boolean").groupBy("shard").applyInPandas(meet, "a long, b long")
+    return dealt_fingerprints(reps, max_bits, leaf or LEAF, sample).groupBy("shard").applyInPandas(meet, "a long, b long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
@@ -148,7 +220,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are the smallest id of their component; of rows that repeat an id and fingerprint all stay."""
+    """The documents that are the smallest id of their component.
+
+    Rows with one id are one document, which goes if any of its texts has a smaller neighbour; if none has, all stay. Rows
+    without an id have nothing to be told apart by and stay. Columns are kept, whatever their names. No rows give no rows.
+    """
     marks = simhash_components(docs, id_col, text_col)
     gone = marks.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
     return docs.join(gone, id_col, "left_anti")

@@ -258,6 +258,20 @@ def test_vantage_trees_lose_no_near_pair(spark, monkeypatch, leaf):
     assert components(len(fps), found) == components(len(fps), edges)
 
 
+@pytest.mark.parametrize("alike", [False, True])
+def test_full_leaves_are_split_by_their_own_points(spark, alike):
+    rng = random.Random(6)
+    fps = [rng.getrandbits(64) & (0xFFFFFFFF if alike and k % 3 else 2**64 - 1) for k in range(2500)]
+    fps += [fps[rng.randrange(2500)] ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 4))) for _ in range(500)]
+    fps = np.array(sorted(set(fps)), np.uint64)
+    reps = frame(spark, list(enumerate(fps.view(np.int64).tolist())), "rep long, fp long")
+    sizes = simhash.leaf_sizes(simhash.dealt_fingerprints(reps, 3, 10, 64)).collect()
+    assert max(r["own"] for r in sizes) <= 80 and sum(r["own"] for r in sizes) == 2 * len(fps)
+    edges = [(i, int(j)) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]) <= 3)]
+    found = [tuple(r) for r in simhash.near_fingerprints(reps, leaf=10, sample=64).collect()]
+    assert components(len(fps), found) == components(len(fps), edges)
+
+
 def test_simhash_of_odd_rows(spark):
     docs = frame(spark, ODD).withColumn("fp", F.lit(1)).withColumn("rep", F.lit(2))
     assert simhash.simhash_components(docs).count() == len(ODD)
