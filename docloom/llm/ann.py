@@ -20,6 +20,7 @@ LEAF = 400  # vectors that a leaf should hold
 RECALL = 0.97  # of the sample's own nearest that the sample's calibration queries must find
 CHECKS = 256  # calibration queries
 SHARD = 20_000  # vectors of a leaf that one task holds
+QUERIES = 5_000  # queries that one task has for a shard
 SEED = 11
 
 
@@ -133,9 +134,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     The tree comes from a bounded sample in hash order; every vector is dealt to its leaf, and a query goes to as many
     best bins as calibration on the sample asks for, and on until they hold k others at least. Neighbouring leaves share
     a shard, which returns k rows for each query; a larger leaf is cut into parts, so one with a third of all vectors is
-    many tasks' work. Vectors null, zero, with null or non-finite
-    components, without an id, or of another length than most take no part. Repeated ids are separate candidates, and
-    queries if they are; none is its own neighbour. Fewer candidates than k: all of them. No rows give no rows.
+    many tasks' work, and a shard that many queries ask for is asked in parts too. Vectors null, zero, with null or
+    non-finite components, without an id, or of another length than most take no part. Repeated ids are separate
+    candidates, and queries if they are; none is its own neighbour. Fewer candidates than k: all of them. Other columns are
+    not looked at, but for what ``is_query`` reads. No rows give no rows. The tree has no more leaves than the sample has
+    vectors: past ``sample`` times ``leaf`` rows leaves grow with the table, and a larger ``sample`` is called for.
     """
     rows = vectors.where(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q"))
     dim = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -167,27 +170,34 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
                     seen, others = seen + 1, others + held.get(b, 0)
                     if b in shard:
                         bins.setdefault(shard[b], []).append(b)
-                out += [(q_id, v, s, part, sorted(leaves)) for s, leaves in bins.items() for part in range(parts[s])]
-            yield pd.DataFrame(out, columns=["q_id", "q_v", "shard", "part", "leaves"])
-
-    literal = lambda d: F.create_map(*(F.lit(x) for pair in d.items() for x in pair))
-    placed = dealt.withColumn("shard", F.element_at(literal(shard), F.col("leaf")))
-    candidates = placed.select("id", "v", "leaf", "shard", F.pmod(F.xxhash64("id"), F.element_at(literal(parts), F.col("shard"))).cast("int").alias("part"))
-    queries = dealt.where("q").select("id", "v").mapInPandas(route, "q_id long, q_v array<double>, shard int, part int, leaves array<int>")
+                out += [(q_id, v, s, sorted(leaves)) for s, leaves in bins.items()]
+            yield pd.DataFrame(out, columns=["q_id", "q_v", "shard", "leaves"])
+
+    spark = vectors.sparkSession
+    queries = settled(dealt.where("q").select("id", "v").mapInPandas(route, "q_id long, q_v array<double>, shard int, leaves array<int>"))
+    asked = dict(queries.groupBy("shard").count().collect())
+    cuts = spark.createDataFrame([(s, parts[s], -(-asked.get(s, 0) // QUERIES)) for s in parts], "shard int, parts int, qparts int")
+    homes = spark.createDataFrame(list(shard.items()), "leaf int, shard int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    placed = dealt.join(F.broadcast(homes), "leaf").join(F.broadcast(cuts.where("qparts > 0")), "shard")
+    candidates = placed.select("id", "v", "leaf", "shard", F.pmod(F.xxhash64("id", "v"), F.col("parts")).cast("int").alias("part"), every("qparts").alias("qpart"))
+    queries = queries.join(F.broadcast(cuts), "shard").select("q_id", "q_v", "leaves", "shard", F.pmod(F.xxhash64("q_id", "q_v"), F.col("qparts")).cast("int").alias("qpart"), every("parts").alias("part"))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         right = right.sort_values("leaf")
         x, x_id, leaf = np.stack(right["v"].to_numpy()), right["id"].to_numpy(), right["leaf"].to_numpy()
+        here, begin = np.unique(leaf, return_index=True)
+        rows_of = dict(zip(here.tolist(), map(np.arange, begin, [*begin[1:], len(leaf)]), strict=True))
         out = []
         for q_id, q, leaves in zip(left["q_id"], left["q_v"], left["leaves"], strict=True):
-            idx = np.flatnonzero(np.isin(leaf, leaves))
+            idx = np.concatenate([np.empty(0, np.int64), *(rows_of[b] for b in leaves.tolist() if b in rows_of)])
             ids, scores = nearest(np.asarray(q), q_id, x[idx], x_id[idx], k)
             out.append((np.full(len(ids), q_id), ids, scores))
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
-    keys = ["shard", "part"]
+    keys = ["shard", "part", "qpart"]
     found = queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
