@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import settled
+from docloom.llm.common import private, settled
 
 BUCKETS = 16384  # hashed word beginnings, and as many hashed word endings, that the classifier knows
 SURE = 6.0  # standard errors by which a bucket's document frequency in a domain must differ from the first's to count
@@ -72,7 +72,7 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], id_
     """
     named = labelled.where(F.col(domain_col).isin(domains) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(domain_col).alias("_domain"))
     few = settled(named.orderBy(F.xxhash64("_id"), "_id").limit(rows))
-    texts = docs.join(F.broadcast(few), F.col(id_col) == F.col("_id")).select("_domain", features(word_list(text_col)).alias("_found"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(few), "_id").select("_domain", features(word_list("_text")).alias("_found"))
     texts = settled(texts)
     seen = texts.select("_domain", F.explode("_found").alias("b")).groupBy("_domain", "b").agg(F.count("*").alias("n")).collect()
     count = dict(texts.groupBy("_domain").count().collect())
@@ -192,9 +192,10 @@ def chance(id_col: str, text_col: str) -> Column:
 
 def with_posteriors(rows: DataFrame, model: Classifier, words: str, names: list[str]) -> DataFrame:
     """Posterior columns for a column of words, which goes; the sums are a column first, so that each is computed once."""
-    rows = rows.withColumn("_sums", F.array(*model.sums(features(F.col(words))), F.lit(0.0))).drop(words)
-    sums = [F.get("_sums", F.lit(k)) for k in range(len(names) - 1)]
-    return rows.withColumns(dict(zip(names, model.posterior(sums), strict=True))).drop("_sums")
+    (held,) = private(rows, "sums")
+    rows = rows.withColumn(held, F.array(*model.sums(features(F.col(words))), F.lit(0.0))).drop(words)
+    sums = [F.get(held, F.lit(k)) for k in range(len(names) - 1)]
+    return rows.withColumns(dict(zip(names, model.posterior(sums), strict=True))).drop(held)
 
 
 def rounded(rate: Column, draw: Column) -> Column:
@@ -228,8 +229,9 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col:
     names = [f"p{k}" for k in range(len(domains))]
     words = docs.select(word_list(text_col).alias("_words")).withColumn("n", F.size("_words").cast("long"))
     steps = fit_rates(settled(with_posteriors(words, model, "_words", names)), len(domains), list(weights.values()), keep_all)
-    out = docs.withColumn("_words", word_list(text_col)).withColumn("tokens", F.size("_words").cast("long"))
-    out = with_posteriors(out, model, "_words", [f"p_{d}" for d in domains])
+    (words,) = private(docs, "words")
+    out = docs.withColumn(words, word_list(text_col)).withColumn("tokens", F.size(words).cast("long"))
+    out = with_posteriors(out, model, words, [f"p_{d}" for d in domains])
     out = out.withColumn("rate", stepped(F.lit(1.0), F.lit(1.0), [F.col(f"p_{d}") for d in domains], steps, 1.0 if keep_all else 0.0)["r"])
     return out.withColumn("copies", rounded(F.col("rate"), chance(id_col, text_col)))
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
+from docloom.llm.common import private
+
 THRESHOLD = 0.3
 TRAIN_DOCS = 3000  # labelled documents of each class that training reads at most
 TRAIN_BYTES = 8_000_000  # and their bytes
@@ -183,5 +185,10 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows below the threshold, with their columns."""
-    return docs.withColumn("_toxicity", score(text_col, model)).where(F.col("_toxicity") < threshold).drop("_toxicity")
+    """The rows below the threshold, with their columns, whatever their names.
+
+    Null and empty texts score as texts without any window that tells; rows that are alike score alike, so repeated rows
+    stay or go together. Ids are not looked at. No rows give no rows.
+    """
+    (toxic,) = private(docs, "toxicity")
+    return docs.withColumn(toxic, score(text_col, model)).where(F.col(toxic) < threshold).drop(toxic)

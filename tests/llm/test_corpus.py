@@ -368,6 +368,51 @@ def test_rates_match_targets(spark):
     assert (rates >= 0).all() and np.abs((n * rates) @ p / n.sum() - weights).max() < 1e-3
 
 
+def nearest_nonnegative(a, b):
+    """Least squares over x >= 0 by an active set of columns."""
+    x, free = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
+    for _ in range(20 * a.shape[1]):
+        slope = a.T @ (b - a @ x)
+        if free.all() or slope[~free].max() <= 1e-9:
+            return x
+        free[np.flatnonzero(~free)[slope[~free].argmax()]] = True
+        while True:
+            z = np.zeros_like(x)
+            z[free] = np.linalg.lstsq(a[:, free], b, rcond=None)[0]
+            if (z[free] > -1e-12).all():
+                x = np.maximum(z, 0)
+                break
+            low = free & (z <= 0)
+            x = x + (x[low] / (x[low] - z[low])).min() * (z - x)
+            free &= x > 1e-12
+            x[~free] = 0
+    raise AssertionError("no solution")
+
+
+@pytest.mark.parametrize(("seed", "weights"), [(1, [0.5, 0.3, 0.2]), (2, [0.9, 0.08, 0.02])])
+def test_rates_equal_nonnegative_least_squares(spark, seed, weights):
+    rng = np.random.default_rng(seed)
+    p = 0.15 + 0.55 * rng.dirichlet([0.5, 0.5, 0.5], 60)  # no document is surely of one domain, so the last targets are out of reach
+    n = rng.integers(1, 500, 60).astype(float)
+    soft = frame(spark, [(int(a), *map(float, q)) for a, q in zip(n, p)], "n long, p0 double, p1 double, p2 double")
+    steps = mixing.fit_rates(soft, 3, weights, rounds=80, tolerance=1e-6)
+    rates = np.array([r[0] for r in soft.select(mixing.stepped(F.lit(1.0), F.lit(1.0), [F.col(f"p{k}") for k in range(3)], steps)["r"]).collect()])
+    moments = (p * n[:, None]).T @ p / n.sum()
+    root = np.linalg.cholesky(np.linalg.inv(moments + mixing.RIDGE * np.eye(3))).T
+    want = nearest_nonnegative(root @ (p * n[:, None]).T / n.sum(), root @ np.array(weights))
+    miss = lambda r: np.linalg.norm(root @ ((n * r) @ p / n.sum() - weights))
+    assert (rates >= 0).all() and np.abs((n * (rates - want)) @ p / n.sum()).max() < 2e-3 and miss(rates) <= miss(want) + 1e-3
+
+
+def test_columns_of_mixing_and_toxicity_may_clash(spark):
+    labels = frame(spark, [(1, "a"), (3, "b")], "doc_id long, domain string")
+    docs = frame(spark, ODD).withColumns({c: F.lit(c) for c in ("_id", "_domain", "_words", "_sums", "words", "sums", "_toxicity", "toxicity")})
+    got = mixing.mix(docs, labels, {"a": 0.6, "b": 0.4}).collect()
+    assert len(got) == len(ODD) and all(r[c] == c for r in got for c in docs.columns[2:])
+    kept = toxicity.drop_toxic(docs, toxicity.fit(docs, frame(spark, [], "doc_id long, toxic int")))
+    assert kept.columns == docs.columns and all(r[c] == c for r in kept.collect() for c in docs.columns[2:])
+
+
 @pytest.mark.parametrize(("poor", "least"), [(0.15, 0.03), (0.3, 0.03), (0.2, 0.08)])
 def test_rows_of_the_mixing_stage_match_weights(spark, sf_dir, monkeypatch, poor, least):
     import corpus_pipeline
