@@ -32,13 +32,16 @@ def held_out(id_col: str = "doc_id") -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, docs_a_class: int, bytes_a_class: int) -> tuple[list[tuple[bytes, int]], float]:
     """A bounded sample of labelled texts outside the held-out quarter, in hash order, and the toxic share of all labels there. Nulls count as no label."""
     named = labels.where(~held_out(id_col)).where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("_label")).where("_label in (0, 1)")
-    order = Window.partitionBy("_label").orderBy("_order", id_col)
     hashed = named.withColumn("_order", F.xxhash64(F.col(id_col).cast("long")))
     few = [hashed.where(F.col("_label") == k).orderBy("_order", id_col).limit(docs_a_class) for k in (0, 1)]
-    picked = few[0].unionByName(few[1])
-    texts = docs.select(id_col, F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("_body")).join(F.broadcast(picked), id_col)
-    size = F.sum(F.length("_body")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rows = texts.withColumn("_size", size).where(F.col("_size") <= bytes_a_class).select("_body", "_label", "_order", id_col)
+    texts = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("_body")).withColumn("_text", F.xxhash64("_body"))
+    # lengths first, so that only texts within the limits are ever moved; rows that repeat an id and text count once
+    order = ["_order", id_col, "_text"]
+    sizes = texts.select(id_col, "_text", F.length("_body").alias("_bytes")).join(F.broadcast(few[0].unionByName(few[1])), id_col).distinct()
+    sizes = [sizes.where(F.col("_label") == k).orderBy(*order).limit(docs_a_class) for k in (0, 1)]
+    until = F.sum("_bytes").over(Window.partitionBy("_label").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    within = sizes[0].unionByName(sizes[1]).withColumn("_until", until).where(F.col("_until") <= bytes_a_class)
+    rows = texts.join(F.broadcast(within.select(id_col, "_text", "_label", "_order")), [id_col, "_text"]).dropDuplicates([id_col, "_text"]).select("_body", "_label", "_order", id_col)
     share = named.agg(F.avg("_label")).first()[0] or 0.0
     return [(bytes(r[0]).lower(), r[1]) for r in sorted(rows.collect(), key=lambda r: (r[2], r[3], bytes(r[0])))], share
 
