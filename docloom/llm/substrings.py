@@ -75,6 +75,11 @@ def opened(blob: bytes, width: int) -> np.ndarray:
     return np.cumsum(steps.view(">u8").ravel().astype(np.uint64), dtype=np.uint64)
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Ascending keys without repeats; np.unique() hashes and is many times slower here."""
+    return keys[np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]])]
+
+
 def among(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Which keys a sorted table holds."""
     if not len(table):
@@ -100,49 +105,77 @@ class Samples:
         return h >> np.uint64(64 - self.bits - self.rest)
 
     def cut(self, h: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        keys = np.unique(self.short(h))
+        """(bucket, its keys) of ascending hashes."""
+        keys = distinct(self.short(h))
         at = edges(keys, self.bits, self.rest)
         low = keys & np.uint64((1 << self.rest) - 1)
         return ((b, packed(low[i:j], self.width)) for b, (i, j) in enumerate(zip(at, at[1:], strict=False)) if j > i)
 
     def again(self, h: np.ndarray, answers: list[tuple[int, bytes]]) -> np.ndarray:
         """Which hashes occur again, from (bucket, bits of the keys that cut() put there)."""
-        keys, back = np.unique(self.short(h), return_inverse=True)
+        h = self.short(h)
+        order = np.argsort(h)
+        fresh = np.concatenate([np.ones(min(1, len(h)), bool), np.diff(h[order]) > 0])
+        keys = h[order[fresh]]
         at, marks = edges(keys, self.bits, self.rest), np.zeros(len(keys), bool)
         for b, blob in answers:
             marks[at[b] : at[b + 1]] = np.unpackbits(np.frombuffer(blob, np.uint8), count=at[b + 1] - at[b])
-        return marks[back]
+        out = np.empty(len(h), bool)
+        out[order] = marks[np.cumsum(fresh) - 1]
+        return out
 
 
 # ---- suffixes: stretches of text, sorted bucket by bucket
 
 
-def same_strings(words: np.ndarray, pos: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, fresh): positions put together by their 50 bytes, those of one string ascending, and where a new string begins.
+def refined(order: np.ndarray, fresh: np.ndarray, at: np.ndarray, source: np.ndarray, shifts: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """An order and its group beginnings, with the groups put in order by the words of ``source`` at ``at`` plus shifts and parted.
 
-    Hashes bring equal strings together; the bytes of neighbours are compared, and if any differ, bytes alone decide.
+    Word by word, only groups whose members differ in the word are sorted.
     """
-    order = np.argsort(h, kind="stable")
-    k, p = h[order], pos[order]
-    fresh = np.concatenate([np.ones(min(1, len(k)), bool), k[1:] != k[:-1]])
-    at = np.flatnonzero(~fresh)
-    shifts = [*range(0, LENGTH - 8, 8), LENGTH - 8]
-    if any((words[p[at] + s] != words[p[at - 1] + s]).any() for s in shifts):
-        order = np.lexsort([words[pos + s] for s in shifts])
-        p = pos[order]
-        fresh[1:] = np.logical_or.reduce([words[p[1:] + s] != words[p[:-1] + s] for s in shifts])
+    place = at[order]
+    for s in shifts:
+        tied = np.flatnonzero(~fresh)
+        differs = tied[source[place[tied] + s] != source[place[tied - 1] + s]]
+        if not len(differs):
+            continue
+        group = np.cumsum(fresh, dtype=np.int32) - 1
+        mixed = np.zeros(int(group[-1]) + 1, bool)
+        mixed[group[differs]] = True
+        idx = np.flatnonzero(mixed[group])
+        word = source[place[idx] + s]
+        by = np.lexsort((word, group[idx]))
+        order[idx], place[idx], word = order[idx[by]], place[idx[by]], word[by]
+        fresh[idx[1:]] |= word[1:] != word[:-1]
     return order, fresh
 
 
-def window_buckets(words: np.ndarray, pos: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
-    """The bucket of the window at each position: by the least hash, among ``h`` of all positions, of its 20-byte strings."""
-    if not bits:
-        return np.zeros(len(pos), np.int64)
-    low = h.copy()
+def same_strings(words: np.ndarray, pos: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, fresh): positions put together by their 50 bytes, and where a new string begins.
+
+    The leading bits of hashes, with the index in the low bits, bring equal strings together by a plain sort; then bytes decide.
+    """
+    low = max(1, int(len(pos)).bit_length())
+    keys = np.sort((h >> np.uint64(low) << np.uint64(low)) | np.arange(len(pos), dtype=np.uint64))
+    top = keys >> np.uint64(low)
+    fresh = np.concatenate([np.ones(min(1, len(top)), bool), top[1:] != top[:-1]])
+    return refined((keys & np.uint64((1 << low) - 1)).astype(np.int64), fresh, pos, words, (*range(0, LENGTH - 8, 8), LENGTH - 8))
+
+
+def window_buckets(words: np.ndarray, pos: np.ndarray, bits: int, mask: np.uint64) -> np.ndarray:
+    """The bucket of the window at each of the ascending positions: by the least hash of its 20-byte strings."""
+    if not bits or not len(pos):
+        return np.zeros(len(pos), np.uint16)
+    wanted = np.zeros(int(pos[-1]) + PERIOD + 1, np.int32)
+    wanted[pos] += 1
+    wanted[pos + PERIOD] -= 1
+    need = np.flatnonzero(np.cumsum(wanted) > 0)
+    low = np.full(len(wanted) + PERIOD, np.iinfo(np.uint64).max, np.uint64)
+    low[need] = fingerprints(words, need, SAMPLE) & mask
     for k in (1, 2, 4, 8):
         np.minimum(low[:-k], low[k:], out=low[:-k])
     low = np.minimum(low[pos], low[pos + 15])
-    return (low * MULTIPLIERS[15] >> np.uint64(64 - bits)).astype(np.int64)
+    return (low * MULTIPLIERS[15] >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
 
 
 def stretches(data: np.ndarray, pos: np.ndarray, bucket: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -173,17 +206,21 @@ def read_stretches(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, np.arange(n.sum()) + np.repeat(np.arange(m) * (LENGTH - 1), n), np.repeat(whose, n) if m else before
 
 
+def by_words(at: np.ndarray, big: np.ndarray, shifts: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(order, fresh): positions sorted by their words at ``shifts``, and where in that order a new string begins."""
+    order = np.argsort(big[at])
+    first = big[at[order]]
+    return refined(order, np.concatenate([np.ones(min(1, len(at)), bool), first[1:] != first[:-1]]), at, big, shifts)
+
+
 def cover_ranks(text: np.ndarray, big: np.ndarray) -> np.ndarray:
     """The rank, by its 20 bytes, of the string at each position that the cover holds; equal strings have equal ranks."""
-    at = np.flatnonzero(np.isin(np.arange(max(0, len(text) - SAMPLE + 1)) % PERIOD, COVER))
-    words = [big[at + s] for s in (0, 8, SAMPLE - 8)]
-    order = np.lexsort(words[::-1])
-    steps = np.zeros(len(at), bool)
-    for w in words:
-        w = w[order]
-        steps[1:] |= w[1:] != w[:-1]
+    n = max(0, len(text) - SAMPLE + 1)
+    at = (np.arange(0, n, PERIOD)[:, None] + np.array(COVER)).ravel()
+    at = at[at < n]
+    order, fresh = by_words(at, big, (8, SAMPLE - 8))
     ranks = np.zeros(len(text), np.int32)
-    ranks[at[order]] = np.cumsum(steps)
+    ranks[at[order]] = np.cumsum(fresh)
     return ranks
 
 
@@ -199,21 +236,13 @@ def compared(big: np.ndarray, ranks: np.ndarray, i: np.ndarray, j: np.ndarray) -
 
 
 def sorted_suffixes(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, fresh): the order of the suffixes at ``at`` by their first 50 bytes, equal ones in the order given, and
-    where in it a new string begins.
+    """(order, fresh): the order of the suffixes at ``at`` by their first 50 bytes, and where in it a new string begins.
 
     Ties of the first 32 bytes go to a quicksort of all tied groups at once: each is parted by comparison with its middle
     member until all members equal it.
     """
     big = np.ndarray((max(0, len(text) - 7),), ">u8", np.ascontiguousarray(text), strides=(1,)).astype(np.uint64)
-    words = [big[at + s] for s in range(0, HEAD, 8)]
-    order = np.lexsort(words[::-1])
-    fresh = np.zeros(len(at), bool)
-    fresh[:1] = True
-    for w in words:
-        w = w[order]
-        fresh[1:] |= w[1:] != w[:-1]
-    del words
+    order, fresh = by_words(at, big, tuple(range(8, HEAD, 8)))
     ranks = cover_ranks(text, big)
     start = np.flatnonzero(fresh)
     size = np.diff(start, append=len(at))
@@ -250,7 +279,6 @@ class Block:
         self.data = np.frombuffer(b"".join(bodies) + bytes(LENGTH), np.uint8)
         self.words = np.ndarray((len(self.data) - 7,), "<u8", self.data, strides=(1,)).copy()
         self.total = len(self.data) - LENGTH
-        self.grams = fingerprints(self.words, np.arange(self.total), SAMPLE) & self.mask
         self.ords = docs["ord"].to_numpy(np.int64)
 
     def samples(self) -> tuple[np.ndarray, np.ndarray]:
@@ -261,7 +289,7 @@ class Block:
                 base = (np.arange(0, n, PERIOD)[:, None] + np.array(COVER)).ravel()
                 found.append(base[base < n] + s)
         at = np.concatenate(found)
-        return at, self.grams[at]
+        return at, fingerprints(self.words, at, SAMPLE) & self.mask
 
     def suffixes(self, at: np.ndarray) -> None:
         """Windows with one of the samples ``at`` among their first places: positions, equal ones together, and buckets to be."""
@@ -280,10 +308,13 @@ class Block:
 
     def sent(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(which group, position, bucket) of each string's first window, by bucket and position."""
-        first = self.order[self.group]
-        bucket = window_buckets(self.words, self.pos[first], bits, self.grams)
-        by = np.lexsort((first, bucket))
-        return by, first[by], bucket[by]
+        first = np.minimum.reduceat(self.order, self.group) if len(self.group) else self.group
+        group = np.empty(len(self.pos), np.int64)
+        group[first] = np.arange(len(first))
+        first = np.sort(first)
+        bucket = window_buckets(self.words, self.pos[first], bits, self.mask)
+        by = np.argsort(bucket, kind="stable")
+        return group[first[by]], first[by], bucket[by]
 
     def covered(self, earlier: np.ndarray) -> np.ndarray:
         """Each byte: whether it goes. ``earlier`` tells of each group whether a document before its first one here holds it."""
@@ -291,7 +322,7 @@ class Block:
         if len(gone):
             n = np.diff(self.group, append=len(self.order))
             ord_ = self.ords[self.doc]
-            gone[self.order] = np.repeat(earlier, n) | (ord_[self.order] > np.repeat(ord_[self.order[self.group]], n))
+            gone[self.order] = np.repeat(earlier, n) | (ord_[self.order] > np.repeat(np.minimum.reduceat(ord_[self.order], self.group), n))
         marks = np.zeros(self.total + LENGTH + 1, np.int32)
         marks[self.pos[gone]] += 1  # positions differ from each other
         marks[self.pos[gone] + LENGTH] -= 1
@@ -364,7 +395,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         mine, bucket = pdf[pdf["kind"] == 1], int(pdf["bucket"].iloc[0])
         blobs = [opened(x, samples.width) for x in mine["blob"]]
         keys = np.sort(np.concatenate([*blobs, *(opened(x, samples.width) for x in pdf.loc[pdf["kind"] == 2, "blob"])]))
-        again = np.unique(keys[1:][keys[1:] == keys[:-1]])
+        again = distinct(keys[1:][keys[1:] == keys[:-1]])
         return answers([(b, among(x, again)) for b, x in zip(mine["block"], blobs, strict=True)], 3, bucket)
 
     def block_of(texts: pd.DataFrame, notes: pd.DataFrame) -> Block:
