@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docloom.functions.text import col, consonants, normalized_words, plural_stem
+from docloom.functions.facts import PRIVATE
+from docloom.functions.text import col, consonants, holds_credentials, normalized_words, plural_stem
 
-# Words that say nothing about a question's subject.
+# Our own list: English function words that say nothing about a question's subject.
 STOP = ["a", "about", "an", "and", "are", "at", "be", "by", "can", "did", "do", "does", "for", "from", "has", "have", "how", "i", "in", "is", "it", "me", "my", "of", "on", "or", "that", "the", "this", "to", "was", "we", "were", "what", "when", "where", "which", "who", "why", "will", "with", "you", "your"]
 
 
@@ -28,9 +29,13 @@ def literal_phrase(c: Column | str) -> Column:
 
 
 def topics(c: Column | str, n: int = 5) -> Column:
-    """Quoted phrases, then capitalized phrases, then acronyms; different ones, n at most."""
+    """Quoted phrases, then capitalized phrases, then acronyms; different ones, n at most.
+
+    None of a question of under eight characters, or one that holds credentials or private matters of a person.
+    """
     found = F.concat(F.regexp_extract_all(col(c), F.lit('"([^"]{2,60})"'), F.lit(1)), F.regexp_extract_all(col(c), F.lit(r"\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)+"), F.lit(0)), F.regexp_extract_all(col(c), F.lit(r"\b\p{Lu}{2,6}\b"), F.lit(0)))
-    return F.slice(F.array_distinct(found), 1, n)
+    kept = (F.length(F.trim(col(c))) >= 8) & ~holds_credentials(c) & ~col(c).rlike(PRIVATE)
+    return F.when(kept, F.slice(F.array_distinct(found), 1, n)).otherwise(F.array().cast("array<string>"))
 
 
 def needs_web(c: Column | str) -> Column:

@@ -35,24 +35,35 @@ def classify(text: Column | str, hints: dict[str, list[str]], name: Column | Non
     return F.when(best["n"] > 0, best["kind"]).otherwise("other")
 
 
-def ngram_topics(segments: DataFrame, doc: str, segment: str, text: str, widths: tuple[int, ...] = (1, 2, 3), least: tuple[int, int] = (3, 2)) -> DataFrame:
-    """(doc, gram, width, hits): n-grams in enough different segments of a document, three for single words, else two."""
+def ngram_topics(segments: DataFrame, doc: str, segment: str, text: str, widths: tuple[int, ...] = (1, 2, 3, 4, 5), least: tuple[int, int] = (3, 2)) -> DataFrame:
+    """(doc, gram, width, hits): n-grams in enough different segments of a document, three for single words, else two.
+
+    ``segment`` names a segment within its document; grams are made distinct in it before they are counted.
+    """
     words = segments.select(doc, segment, normalized_words(text).alias("w"))
     grams = F.concat(*(F.transform(ngrams(F.col("w"), n), _wide(n)) for n in widths))
-    seen = words.select(doc, segment, F.inline(F.array_distinct(grams)))
-    hits = seen.groupBy(doc, "gram", "width").agg(F.countDistinct(segment).alias("hits"))
+    seen = words.select(doc, F.inline(F.array_distinct(grams)))
+    hits = seen.groupBy(doc, "gram", "width").agg(F.count("*").alias("hits"))
     return hits.where((F.col("hits") >= least[0]) | ((F.col("width") > 1) & (F.col("hits") >= least[1])))
 
 
+def ranked_topics(topics: DataFrame, doc: str, n: int = 12) -> DataFrame:
+    """Each document's first ``n`` topics, numbered: by hits times width, wider ones first, then by name."""
+    best = Window.partitionBy(doc).orderBy(F.desc(F.col("hits") * F.col("width")), F.desc("width"), "gram")
+    return topics.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+
+
 def _wide(n: int):
     return lambda g: F.struct(g.alias("gram"), F.lit(n).alias("width"))
 
 
 def ungrounded(atoms: DataFrame, evidence: DataFrame, run: str, atom: str, text: str) -> DataFrame:
-    """Claim atoms that no evidence text of their run contains."""
-    shown = evidence.groupBy(run).agg(F.collect_list(F.lower(F.col(text))).alias("_texts"))
-    held = F.exists("_texts", lambda t: F.contains(t, F.lower(F.col(atom))))
-    return atoms.join(shown, run, "left").where(~F.coalesce(held, F.lit(False))).drop("_texts")
+    """Claim atoms, single words or numbers, that no evidence text of their run has among its words.
+
+    Evidence is taken apart into distinct (run, word) rows before the join, so a run's texts never meet in one row.
+    """
+    words = evidence.select(run, F.explode(F.array_distinct(normalized_words(text))).alias("_atom")).distinct()
+    return atoms.withColumn("_atom", F.lower(F.col(atom))).join(words, [run, "_atom"], "left_anti").select(*atoms.columns)
 
 
 def mutual_pairs(distances: DataFrame, doc: str, left: str, right: str, distance: str) -> DataFrame:

@@ -7,28 +7,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def tree_paths(nodes: DataFrame, depth: int) -> DataFrame:
+def tree_paths(nodes: DataFrame, deepest: int = 200) -> DataFrame:
     """(id, ancestor, path): every node with each of its ancestors, itself included, and its path of names.
 
-    ``nodes`` has id, parent_id and name. One self-join for each level down to ``depth``, so a cycle ends there.
+    ``nodes`` has id, parent_id and name. One self-join for each level until no node has one left above; a tree deeper
+    than ``deepest``, as one with a cycle is, is an error.
     """
     step = nodes.select("id", F.col("id").alias("ancestor"), F.col("name").alias("path"), F.col("parent_id").alias("_up"))
     out = step
     parents = nodes.select(F.col("id").alias("_up"), F.col("name").alias("_name"), F.col("parent_id").alias("_next"))
-    for _ in range(depth - 1):
+    for _ in range(deepest):
         step = step.join(parents, "_up").select("id", F.col("_up").alias("ancestor"), F.concat_ws("/", "_name", "path").alias("path"), F.col("_next").alias("_up"))
+        step = step.checkpoint() if step.sparkSession.sparkContext.getCheckpointDir() else step
+        if step.isEmpty():
+            break
         out = out.unionByName(step)
+    else:
+        raise ValueError(f"nodes below themselves, or more than {deepest} levels")
     longest = F.max_by("path", F.length("path")).over(Window.partitionBy("id"))
     return out.select("id", "ancestor", longest.alias("path"))
 
 
-def tree_rollup(nodes: DataFrame, leaves: DataFrame, at: str, size: str, depth: int) -> DataFrame:
+def tree_rollup(nodes: DataFrame, leaves: DataFrame, at: str, size: str, deepest: int = 200) -> DataFrame:
     """(id, n_items, total_size) over each node's whole subtree; nodes without items count 0.
 
     Items are summed by their own node first, so the walk up handles one row for each node, not for each item.
     """
     own = leaves.groupBy(F.col(at).alias("id")).agg(F.count("*").alias("n"), F.sum(size).alias("s"))
-    up = tree_paths(nodes, depth).select("id", "ancestor").join(own, "id", "left")
+    up = tree_paths(nodes, deepest).select("id", "ancestor").join(own, "id", "left")
     return up.groupBy(F.col("ancestor").alias("id")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_items"), F.coalesce(F.sum("s"), F.lit(0.0)).alias("total_size"))
 
 

@@ -69,9 +69,12 @@ def file_scope_cap(rows: DataFrame, group: list[str], file: str, rank: str, file
 
 
 def diverse_pick(rows: DataFrame, engine: str, order: list[str], n: int) -> DataFrame:
-    """Round robin by engine: every engine's first, then every engine's second, up to n."""
+    """Round robin by engine: every engine's first, then every engine's second, up to n.
+
+    No engine gives more than n rows, a bound that Spark applies before the rows are shuffled.
+    """
     turn = F.row_number().over(Window.partitionBy(engine).orderBy(*order))
-    return rows.withColumn("turn", turn).orderBy("turn", engine).limit(n)
+    return rows.withColumn("turn", turn).where(F.col("turn") <= n).orderBy("turn", engine).limit(n)
 
 
 def scoped_representation(kept: DataFrame, pool: DataFrame, file: str, score: str, order: list[str], floor: float = RERANK_FLOOR) -> DataFrame:

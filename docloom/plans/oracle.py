@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from docloom.functions.questions import STOP
-from docloom.functions.text import FURNITURE, PROMO_URL_PARTS, SECRET_LABELS
+from docloom.functions.text import ENTRY_BODY, ENTRY_TITLE, FURNITURE, KEY_NAMES, PROMO_TITLES, PROMO_URL_PARTS, SECRET_LABELS
 from docloom.plans.queries import HINTS, PHRASE, RARE, STATES
 
 WORDS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{M}}\p{{N}}+#]+'), lambda w: w <> '')"
@@ -22,7 +22,7 @@ def plural_stem(w: str) -> str:
 
 
 def redacted(quoted_too: bool) -> str:
-    keys = "(?:RSA |OPENSSH |DSA |EC )?PRIVATE KEY-----"
+    keys = f"(?:{KEY_NAMES})-----"
     steps = [
         (rf"(?is)-----BEGIN {keys}.*?-----END {keys}", "[REDACTED]"),
         (r"(?im)^.*\bssh-(?:rsa|ed25519|ecdsa|dss)\s+[A-Za-z0-9+/=]+.*$", "[REDACTED]"),
@@ -57,6 +57,9 @@ CLEAN_PAGE = r"regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*
 for _entity, _mark in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
     CLEAN_PAGE = f"replace({CLEAN_PAGE}, '{_entity}', '{_mark}')"
 
+PAGE_ELEMENTS = rf"""
+SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title, trim(regexp_replace({CLEAN_PAGE}, '\s+', ' ', 'g')) AS body FROM pages"""
+
 ORACLE_SQL = {
     "hybrid_vector_topk": f"SELECT vec_id, round(s, 6) AS vector_score FROM {NEAR.format(20)}",
     "hybrid_blend": f"""
@@ -93,7 +96,7 @@ SELECT t.top AS id, count(c_custkey) AS n_items, round(coalesce(sum(c_acctbal),
     "tree_paths": f"""
 WITH RECURSIVE f AS {FOLDERS}, t AS (SELECT id, '/' || name AS path FROM f WHERE parent_id IS NULL UNION ALL SELECT f.id, t.path || '/' || f.name FROM f JOIN t ON f.parent_id = t.id)
 SELECT id, path FROM t""",
-    "tag_histogram": f"SELECT tag, count(*) AS n FROM (SELECT unnest(list_distinct({words('text')})) AS tag FROM documents) GROUP BY tag HAVING count(*) >= 25",
+    "tag_histogram": f"SELECT tag, count(*) AS n FROM (SELECT unnest(list_distinct({words('text')})) AS tag FROM documents) GROUP BY tag",
     "paged_list": "SELECT o_orderkey, total FROM (SELECT o_orderkey, o_orderdate, count(*) OVER () AS total FROM orders) ORDER BY o_orderdate DESC, o_orderkey LIMIT 100 OFFSET 200",
     "latest_per_group": "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
     "semi_has_reply": """
@@ -110,9 +113,10 @@ SELECT conv_id, turn, CASE WHEN length(text) > room THEN right(text, room::INT)
 WITH e AS (SELECT page_id, regexp_extract(url, '^https?://([a-z]+)\.', 1) AS engine FROM pages)
 SELECT page_id, engine, (row_number() OVER (PARTITION BY engine ORDER BY page_id))::INT AS turn FROM e ORDER BY turn, engine LIMIT 30""",
     "canonical_url_dedupe": f"WITH {CANONICAL} SELECT canonical, min(page_id) AS rank, count(*) AS n_rows FROM z GROUP BY canonical",
-    "boilerplate_flags": f"SELECT page_id, ({hits('lower(html)', FURNITURE)})::INT AS hits, ({hits('lower(url)', PROMO_URL_PARTS)}) > 0 AS promotional FROM pages",
-    "page_elements": rf"""
-SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title, trim(regexp_replace({CLEAN_PAGE}, '\s+', ' ', 'g')) AS body FROM pages""",
+    "boilerplate_flags": f"""SELECT page_id, ({hits('lower(html)', FURNITURE)})::INT AS hits, ({hits('lower(url)', PROMO_URL_PARTS)}) + ({hits('lower(title)', PROMO_TITLES)}) > 0 AS promotional,
+  (regexp_matches(title, '{ENTRY_TITLE}') AND regexp_matches(lower(title || chr(10) || body), '{ENTRY_BODY}')) OR ({hits('lower(title || chr(10) || body)', FURNITURE)}) >= 2 AS generic
+FROM pages JOIN ({PAGE_ELEMENTS}) USING (page_id)""",
+    "page_elements": PAGE_ELEMENTS,
     "keyword_gate": f"""
 WITH s AS (SELECT DISTINCT doc_id, {plural_stem('w')} AS stem FROM (SELECT doc_id, unnest({words('text')}) AS w FROM documents))
 SELECT doc_id FROM s WHERE stem IN ('license', 'version', 'works') GROUP BY doc_id HAVING count(*) >= 2""",
@@ -132,13 +136,13 @@ p AS (SELECT doc_id, grp, string_agg(line, chr(10) ORDER BY n) AS text, min(n)::
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_start) - 1 AS ordinal, sha256(text) AS sha, line_start, line_end FROM p""",
     "doc_classify": f"SELECT doc_id, CASE WHEN b.n > 0 THEN b.kind ELSE 'other' END AS kind FROM (SELECT doc_id, {classified(HINTS)} AS b FROM documents)",
     "ngram_topics": f"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM documents WHERE lang = 'es'),
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM documents),
 w AS (SELECT doc_id, line, {words('body')} AS ws FROM l), i AS (SELECT *, unnest(range(1, len(ws) + 1)) AS k FROM w),
-g AS (SELECT doc_id, line, ws[k] AS gram, 1 AS width FROM i UNION ALL SELECT doc_id, line, ws[k] || ' ' || ws[k + 1], 2 FROM i WHERE k < len(ws)),
-h AS (SELECT doc_id, gram, width, count(DISTINCT line) AS hits FROM g GROUP BY ALL)
-SELECT doc_id, gram, width::BIGINT AS width, hits FROM h WHERE hits >= 4 OR (width > 1 AND hits >= 3)""",
+g AS ({' UNION ALL '.join(f"SELECT DISTINCT doc_id, line, array_to_string(ws[k:k + {n - 1}], ' ') AS gram, {n} AS width FROM i WHERE k + {n - 1} <= len(ws)" for n in range(1, 6))}),
+h AS (SELECT doc_id, gram, width, count(*) AS hits FROM g GROUP BY ALL HAVING count(*) >= 3 OR (width > 1 AND count(*) >= 2))
+SELECT doc_id, gram, width::BIGINT AS width, hits, (row_number() OVER (PARTITION BY doc_id ORDER BY hits * width DESC, width DESC, gram))::INT AS rank FROM h QUALIFY rank <= 12""",
     "fingerprint_upsert": r"""
-WITH t AS (SELECT lower(trim(regexp_replace(left(text, 12), '[\s_]+', ' ', 'g'))) AS v, role, turn FROM conversations),
+WITH t AS (SELECT lower(trim(regexp_replace(text, '[\s_]+', ' ', 'g'))) AS v, role, turn FROM conversations),
 f AS (SELECT sha256(concat_ws(chr(31), 'fact', role, role, 'said', v)) AS fp, turn / 8 AS c, turn > 2 AS a, DATE '2024-01-01' + (turn % 28)::INT AS day FROM t),
 g AS (SELECT fp, max(c) AS confidence, bool_or(a) AS active, count(*) AS revision, max(day) AS day FROM f GROUP BY fp)
 SELECT fp, confidence, active, revision, day + CASE WHEN active THEN 90 ELSE 14 END AS expires_on FROM g""",
@@ -166,11 +170,11 @@ SELECT o_orderkey, o_orderdate::DATE + 3 AS plus_day, o_orderdate::DATE + 14 AS
 SELECT event_id, round(greatest(0.0, least(1.0, value / 100)), 6) AS score,
   round_even(least(100.0, greatest(0.0, CASE WHEN floor(value) + 0.5 <= 1 THEN (floor(value) + 0.5) * 100 ELSE floor(value) + 0.5 END))::DOUBLE, 0)::INT AS percent FROM events""",
     "extracted_facts": r"""
-SELECT doc_id, len(regexp_extract_all(text, '\b((?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01]))\b'))::BIGINT AS n_dates,
+SELECT doc_id, coalesce(array_to_string(regexp_extract_all(text, '\b((?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01]))\b'), ','), '') AS dates,
   coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, '[0-9][0-9,]*'), lambda x: ltrim(replace(x, ',', ''), '0')), lambda x: length(x) >= 2))), ','), '') AS numbers FROM documents""",
     "ungrounded_claims": f"""
-WITH a AS (SELECT DISTINCT conv_id, turn, unnest(list_distinct(({words('text')})[1:5])) AS atom FROM conversations WHERE role = 'user')
-SELECT conv_id, atom FROM a WHERE NOT EXISTS (SELECT 1 FROM conversations e WHERE e.conv_id = a.conv_id AND e.role = 'assistant' AND contains(lower(e.text), a.atom))""",
+WITH w AS (SELECT DISTINCT conv_id, role, unnest({words('text')}) AS atom FROM conversations)
+SELECT conv_id, atom FROM w a WHERE role = 'user' AND NOT EXISTS (SELECT 1 FROM w e WHERE e.conv_id = a.conv_id AND e.role = 'assistant' AND e.atom = a.atom)""",
     "mutual_pairs": """
 WITH g AS (SELECT l_returnflag AS doc, l_suppkey, l_partkey, min(l_quantity) AS d FROM lineitem GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc, l_suppkey ORDER BY d, l_partkey) AS a, row_number() OVER (PARTITION BY doc, l_partkey ORDER BY d, l_suppkey) AS b FROM g)
@@ -217,7 +221,9 @@ SELECT l_orderkey, place, f OR (n <= 3 AND l_quantity / 50 >= 0.5) AS flag FROM
     "representative_sample": """
 WITH n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
 SELECT user_id, event_id FROM n WHERE n <= 12 OR i IN (SELECT round_even(k * (n.n - 1) / 11.0::DOUBLE, 0)::BIGINT FROM range(12) r(k))""",
-    "row_digests": "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus",
+    "row_digests": """
+WITH h AS (SELECT o_orderstatus, sha256(concat_ws(chr(31), o_orderkey, o_custkey)) AS h FROM orders)
+SELECT o_orderstatus, count(*) AS n, sum(('0x' || h[1:12])::BIGINT)::HUGEINT::VARCHAR AS low, sum(('0x' || h[13:24])::BIGINT)::HUGEINT::VARCHAR AS high FROM h GROUP BY o_orderstatus""",
     "integrity_report": """
 SELECT 'orphans' AS what, (SELECT count(*) FROM orders WHERE o_custkey % 4 = 0 OR o_custkey NOT IN (SELECT c_custkey FROM customer)) AS n
 UNION ALL SELECT 'duplicates', (SELECT count(*) FROM (SELECT 1 FROM orders GROUP BY o_custkey, o_orderstatus HAVING count(*) > 1))""",
@@ -233,7 +239,7 @@ WITH g AS (SELECT o_custkey % 50 AS owner, count(*) AS n_files, count(*) FILTER
 SELECT *, CASE WHEN greatest(eligible, ready) > 0 THEN floor(ready * 100 / greatest(eligible, ready)) ELSE 0 END::BIGINT AS percent FROM g""",
     "sentence_union": r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), k AS (SELECT doc_id, lower(regexp_replace(line, '[.!?]+$', '')) AS k FROM l WHERE line <> '')
-SELECT sha256(k) AS key, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM k GROUP BY k HAVING count(DISTINCT doc_id) > 2""",
+SELECT sha256(k) AS key, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM k GROUP BY k""",
     "nearest_dates": """
 WITH d AS (SELECT o_orderkey, month(o_orderdate) AS m, day(o_orderdate) AS d FROM orders),
 y AS (SELECT o_orderkey, make_date(2022, m, least(d, day(last_day(make_date(2022, m, 1))))) AS a, make_date(2023, m, least(d, day(last_day(make_date(2023, m, 1))))) AS b, make_date(2024, m, least(d, day(last_day(make_date(2024, m, 1))))) AS c FROM d)
@@ -245,7 +251,7 @@ SELECT *, CASE WHEN rate >= 90 THEN 'A' WHEN rate >= 75 THEN 'B' WHEN rate >= 60
 SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(list_transform(regexp_extract_all(text, '\p{Lu}[\p{L}\p{N}]+(?: \p{Lu}[\p{L}\p{N}]+)+'), lambda x: lower(x)),
   list_transform(regexp_extract_all(text, '\b[0-9][0-9,]*(?:\.[0-9]+)?'), lambda x: CASE WHEN contains(x, '.') THEN regexp_replace(replace(x, ',', ''), '\.?0+$', '') ELSE replace(x, ',', '') END)))), '|') AS atoms FROM documents""",
     "folded_tags": f"""
-WITH w AS (SELECT conv_id, turn, ({words('text')})[1:4] AS w FROM conversations),
+WITH w AS (SELECT conv_id, turn, {words('text')} AS w FROM conversations),
 t AS (SELECT conv_id, turn, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS t, unnest(range(len(w) + greatest(len(w) - 1, 0))) AS i FROM w),
 u AS (SELECT conv_id, turn, trim(lower(t)) AS t, min(i) AS i FROM t GROUP BY conv_id, turn, trim(lower(t)) HAVING trim(lower(t)) <> '' AND length(trim(lower(t))) <= 40),
 k AS (SELECT a.*, row_number() OVER (PARTITION BY a.conv_id, a.turn ORDER BY a.i) AS r FROM u a WHERE NOT EXISTS (SELECT 1 FROM u b WHERE b.conv_id = a.conv_id AND b.turn = a.turn AND b.t <> a.t
@@ -271,5 +277,6 @@ WITH p AS (SELECT o_custkey, list_sort(list(o_orderkey)) AS f FROM orders GROUP
 SELECT o_custkey, CASE WHEN len(s) > 0 THEN array_to_string(s, ',') END AS scope FROM s""",
     "recall_terms": f"""
 SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter({words('text')}, lambda w: length(w) >= 3 AND regexp_full_match(w, '[\\p{{L}}]+') AND NOT list_contains([{quoted(STOP)}], w)))), ' ') AS terms,
-  len(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 3)))::BIGINT AS n_rare FROM conversations""",
+  array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 3))), ' ') AS rare FROM conversations""",
+    "exact_calculator": "SELECT l_orderkey, l_linenumber, l_partkey, (l_quantity::BIGINT + l_linenumber) * 3 - l_partkey / 4 AS value FROM lineitem",
 }

@@ -96,19 +96,19 @@ def storage_rollup(spark: SparkSession, d: str) -> DataFrame:
 def tree_rollup(spark: SparkSession, d: str) -> DataFrame:
     r = read(spark, d, "region").select((F.col("r_regionkey") + 1000).alias("id"), F.lit(None).cast("int").alias("parent_id"), F.col("r_name").alias("name"))
     n = read(spark, d, "nation").select(F.col("n_nationkey").alias("id"), (F.col("n_regionkey") + 1000).alias("parent_id"), F.col("n_name").alias("name"))
-    found = library.tree_rollup(r.unionByName(n), read(spark, d, "customer"), "c_nationkey", "c_acctbal", 3)
+    found = library.tree_rollup(r.unionByName(n), read(spark, d, "customer"), "c_nationkey", "c_acctbal")
     return found.select("id", "n_items", F.round("total_size", 2).alias("total_size"))
 
 
 def tree_paths(spark: SparkSession, d: str) -> DataFrame:
     r = read(spark, d, "region").select((F.col("r_regionkey") + 1000).alias("id"), F.lit(None).cast("int").alias("parent_id"), F.col("r_name").alias("name"))
     n = read(spark, d, "nation").select(F.col("n_nationkey").alias("id"), (F.col("n_regionkey") + 1000).alias("parent_id"), F.col("n_name").alias("name"))
-    return library.tree_paths(r.unionByName(n), 3).select("id", F.concat(F.lit("/"), "path").alias("path")).distinct()
+    return library.tree_paths(r.unionByName(n)).select("id", F.concat(F.lit("/"), "path").alias("path")).distinct()
 
 
 def tag_histogram(spark: SparkSession, d: str) -> DataFrame:
     tags = read(spark, d, "documents").select(F.explode(F.array_distinct(text.normalized_words("text"))).alias("tag"))
-    return tags.groupBy("tag").agg(F.count("*").alias("n")).where("n >= 25")
+    return tags.groupBy("tag").agg(F.count("*").alias("n"))
 
 
 def paged_list(spark: SparkSession, d: str) -> DataFrame:
@@ -148,7 +148,8 @@ def canonical_url_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 def boilerplate_flags(spark: SparkSession, d: str) -> DataFrame:
     pages = read(spark, d, "pages")
-    return pages.select("page_id", text.furniture_hits("html").alias("hits"), text.is_promotional(F.lit(""), "url").alias("promotional"))
+    title, body = readers.page_title(F.col("html")), readers.page_text(F.col("html"))
+    return pages.select("page_id", text.furniture_hits("html").alias("hits"), text.is_promotional(title, "url").alias("promotional"), text.is_generic(title, body).alias("generic"))
 
 
 def page_elements(spark: SparkSession, d: str) -> DataFrame:
@@ -166,7 +167,8 @@ def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 def redact_text(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents")
-    return docs.select("doc_id", F.sha2(text.redact_credentials("text"), 256).alias("redacted_sha"), F.sha2(text.redact_credentials("text", quoted=True), 256).alias("quoted_sha"))
+    plain = docs.select("doc_id", text.redact_credentials("text").alias("plain"))
+    return plain.select("doc_id", F.sha2("plain", 256).alias("redacted_sha"), F.sha2(text.redact_quoted("plain"), 256).alias("quoted_sha"))
 
 
 def sensitive_screen(spark: SparkSession, d: str) -> DataFrame:
@@ -196,8 +198,9 @@ def doc_classify(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ngram_topics(spark: SparkSession, d: str) -> DataFrame:
-    lines = read(spark, d, "documents").where("lang = 'es'").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    return evidence.ngram_topics(lines, "doc_id", "line", "body", (1, 2), (4, 3)).withColumn("width", F.col("width").cast("long"))
+    lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
+    found = evidence.ranked_topics(evidence.ngram_topics(lines, "doc_id", "line", "body"), "doc_id")
+    return found.withColumn("width", F.col("width").cast("long"))
 
 
 def extractive_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -205,7 +208,7 @@ def extractive_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fingerprint_upsert(spark: SparkSession, d: str) -> DataFrame:
-    turns = read(spark, d, "conversations").select(scores.fingerprint(F.lit("fact"), "role", F.lit("said"), F.left("text", F.lit(12))).alias("fp"), (F.col("turn") / 8).alias("confidence"), (F.col("turn") > 2).alias("active"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("turn") % 28).cast("int")).alias("at"))
+    turns = read(spark, d, "conversations").select(scores.fingerprint(F.lit("fact"), "role", F.lit("said"), "text").alias("fp"), (F.col("turn") / 8).alias("confidence"), (F.col("turn") > 2).alias("active"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("turn") % 28).cast("int")).alias("at"))
     return memory.upsert(turns, ["fp"], 90).select("fp", "confidence", "active", "revision", "expires_on")
 
 
@@ -256,13 +259,13 @@ def evidence_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def extracted_facts(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents")
-    return docs.select("doc_id", F.size(text.iso_dates("text")).cast("long").alias("n_dates"), F.array_join(text.canonical_numbers("text"), ",").alias("numbers"))
+    return docs.select("doc_id", F.array_join(text.iso_dates("text"), ",").alias("dates"), F.array_join(text.canonical_numbers("text"), ",").alias("numbers"))
 
 
 def ungrounded_claims(spark: SparkSession, d: str) -> DataFrame:
     turns = read(spark, d, "conversations")
-    asked = turns.where("role = 'user'").select("conv_id", F.explode(F.array_distinct(F.slice(text.normalized_words("text"), 1, 5))).alias("atom"))
-    return evidence.ungrounded(asked, turns.where("role = 'assistant'").select("conv_id", F.col("text").alias("body")), "conv_id", "atom", "body")
+    asked = turns.where("role = 'user'").select("conv_id", F.explode(text.normalized_words("text")).alias("atom")).distinct()
+    return evidence.ungrounded(asked, turns.where("role = 'assistant'"), "conv_id", "atom", "text")
 
 
 def mutual_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -333,7 +336,7 @@ def representative_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def row_digests(spark: SparkSession, d: str) -> DataFrame:
-    return web.row_digest(read(spark, d, "orders"), ["o_orderstatus"], ["o_orderkey", "o_custkey"]).select("o_orderstatus", "n")
+    return web.row_digest(read(spark, d, "orders"), ["o_orderstatus"], ["o_orderkey", "o_custkey"])
 
 
 def integrity_report(spark: SparkSession, d: str) -> DataFrame:
@@ -354,8 +357,9 @@ def memory_verdicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exact_calculator(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(k, t) for k, t in enumerate(["What is 2+2?", "2024-2025", "123-45-6789", "(3 + 4) * 2", "2^10", "7 // 2", "1/0", "none"])], "k long, t string")
-    return rows.select("k", facts.calculated(facts.expression_in("t")).alias("value"))
+    whole = lambda c: F.col(c).cast("long").cast("string")
+    asked = F.concat(F.lit("What is ("), whole("l_quantity"), F.lit(" + "), whole("l_linenumber"), F.lit(") * 3 - "), whole("l_partkey"), F.lit(" / 4 ?"))
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", facts.calculated(facts.expression_in(asked)).alias("value"))
 
 
 def index_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -368,7 +372,7 @@ def index_stats(spark: SparkSession, d: str) -> DataFrame:
 def sentence_union(spark: SparkSession, d: str) -> DataFrame:
     lines = read(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
     key = F.lower(F.regexp_replace("line", "[.!?]+$", ""))
-    return lines.groupBy(F.sha2(key, 256).alias("key")).agg(F.countDistinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc")).where("n_docs > 2")
+    return lines.groupBy(F.sha2(key, 256).alias("key")).agg(F.countDistinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
 def nearest_dates(spark: SparkSession, d: str) -> DataFrame:
@@ -391,7 +395,7 @@ def grounding_texts(spark: SparkSession, d: str) -> DataFrame:
 
 def folded_tags(spark: SparkSession, d: str) -> DataFrame:
     words = text.normalized_words("text")
-    tags = F.concat(F.slice(words, 1, 4), text.ngrams(F.slice(words, 1, 4), 2))
+    tags = F.concat(words, text.ngrams(words, 2))
     return read(spark, d, "conversations").select("conv_id", "turn", F.array_join(grounding.fold_tags(tags), "|").alias("tags"))
 
 
@@ -408,7 +412,7 @@ def pairing_mismatches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recall_terms(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(questions.recall_terms("text")), " ").alias("terms"), F.size(questions.rare_words("text", 1000)).cast("long").alias("n_rare"))
+    return read(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(questions.recall_terms("text")), " ").alias("terms"), F.array_join(F.array_sort(questions.rare_words("text", 1_000_000)), " ").alias("rare"))
 
 
 def enqueue_revisions(spark: SparkSession, d: str) -> DataFrame:
@@ -435,7 +439,9 @@ def fenced_results(spark: SparkSession, d: str) -> DataFrame:
 
 
 def resolved_scopes(spark: SparkSession, d: str) -> DataFrame:
-    per = read(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("files"))
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    first = read(spark, d, "orders").select("o_custkey", "o_orderkey", place.alias("n")).where("n <= 5")  # all that the scopes below name
+    per = first.groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("files"))
     allowed = F.filter("files", lambda x: x % 3 > 0)
     scope = jobs.resolve_scope(F.slice("files", 1, 2), F.filter(F.slice("files", 3, 1), lambda x: x % 3 > 0), F.slice("files", 4, 2), allowed)
     return per.select("o_custkey", F.array_join(scope, ",").alias("scope"))

@@ -12,8 +12,8 @@ GENERIC_MEDIA = ["application/octet-stream", "application/zip", "application/x-o
 
 
 def route(name: Column, media: Column) -> Column:
-    """The parser for a file: by media type; by extension where that is generic; sound and film are unsupported."""
-    kind, ext = F.lower(F.coalesce(F.trim(media), F.lit(""))), F.lower(F.regexp_extract(F.coalesce(name, F.lit("")), r"\.([A-Za-z0-9]+)$", 1))
+    """The parser for a file: by media type without its parameters; by extension where that is generic; sound and film are unsupported."""
+    kind, ext = F.lower(F.trim(F.regexp_extract(F.coalesce(media, F.lit("")), "^([^;]*)", 1))), F.lower(F.regexp_extract(F.coalesce(name, F.lit("")), r"\.([A-Za-z0-9]+)$", 1))
     pick = lambda by: F.create_map(*(F.lit(x) for pair in by.items() for x in pair))
     return (
         F.when(kind.startswith("audio/") | kind.startswith("video/"), "unsupported")
@@ -26,20 +26,13 @@ def route(name: Column, media: Column) -> Column:
 def text_elements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ordinal, text, line_start, line_end): paragraphs between blank lines, lines counted from 1."""
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    none = F.array().cast("array<struct<a:int,b:int,t:string>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        blank = F.trim(x["line"]) == ""
-        last = F.element_at(acc["done"], -1)
-        grown = F.concat(F.slice(acc["done"], 1, F.size(acc["done"]) - 1), F.array(F.struct(last["a"].alias("a"), x["n"].alias("b"), F.concat_ws("\n", last["t"], x["line"]).alias("t"))))
-        fresh = F.concat(acc["done"], F.array(F.struct(x["n"].alias("a"), x["n"].alias("b"), x["line"].alias("t"))))
-        done = F.when(blank, acc["done"]).when(acc["open"], grown).otherwise(fresh)
-        return F.struct(done.alias("done"), (~blank).alias("open"))
-
-    numbered = F.transform(lines, lambda x, i: F.struct(x.alias("line"), (i + 1).alias("n")))
-    parts = F.aggregate(numbered, F.struct(none.alias("done"), F.lit(False).alias("open")), step)["done"]
-    shown = docs.select(F.col(id_col), F.posexplode(parts).alias("ordinal", "p"))
-    return shown.select(id_col, "ordinal", F.col("p.t").alias("text"), F.col("p.a").alias("line_start"), F.col("p.b").alias("line_end"))
+    blank = lambda i: F.trim(F.get(lines, i)) == ""
+    every = F.sequence(F.lit(0), F.size(lines) - 1)
+    begins = F.filter(every, lambda i: ~blank(i) & ((i == 0) | blank(i - 1)))
+    ends = F.filter(every, lambda i: ~blank(i) & ((i == F.size(lines) - 1) | blank(i + 1)))
+    shown = docs.select(F.col(id_col), lines.alias("_lines"), F.posexplode(F.arrays_zip(begins.alias("a"), ends.alias("b"))).alias("ordinal", "_p"))
+    text = F.array_join(F.slice("_lines", F.col("_p.a") + 1, F.col("_p.b") - F.col("_p.a") + 1), "\n")
+    return shown.select(id_col, "ordinal", text.alias("text"), (F.col("_p.a") + 1).alias("line_start"), (F.col("_p.b") + 1).alias("line_end"))
 
 
 def page_text(html: Column) -> Column:

@@ -2,25 +2,37 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def publish(chunks: DataFrame, root: str, file_id: int, revision: int) -> None:
-    """Write a file's chunks as a revision of their own, then add it to the manifest; readers see all of it or none.
+def publish(chunks: DataFrame, root: str, file_id: int, revision: int) -> str:
+    """Write a file's chunks to a new folder, then name that in the manifest; readers see all of it or none. Returns the folder.
 
-    Writing a revision again replaces it. A revision that isn't in the manifest is never read.
+    Publishing a revision again writes another folder and a newer manifest row; what readers have open stays. A folder
+    that the manifest doesn't name is never read.
     """
-    chunks.withColumn("file_id", F.lit(file_id)).withColumn("revision", F.lit(revision)).write.mode("overwrite").parquet(f"{root}/chunks/file={file_id}/rev={revision}")
-    chunks.sparkSession.createDataFrame([(file_id, revision)], "file_id long, revision long").write.mode("append").parquet(f"{root}/manifest")
+    folder = f"file={file_id}/rev={revision}/write={uuid.uuid4().hex}"
+    chunks.drop("file_id", "revision").write.parquet(f"{root}/chunks/{folder}")
+    row = chunks.sparkSession.createDataFrame([(file_id, revision, folder)], "file_id long, revision long, folder string")
+    row.withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{root}/manifest")
+    return folder
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
-    """Chunks of every file's newest published revision."""
-    newest = spark.read.parquet(f"{root}/manifest").groupBy("file_id").agg(F.max("revision").alias("revision"))
-    rows = spark.read.option("recursiveFileLookup", True).parquet(f"{root}/chunks")
-    return rows.join(newest.withColumn("file_id", F.col("file_id").cast("int")).withColumn("revision", F.col("revision").cast("int")), ["file_id", "revision"], "left_semi")
+    """Chunks of every file's newest published revision, with file_id and revision.
+
+    The folders are partitions, so that a join with the manifest, which is broadcast if small, prunes what is not current.
+    """
+    newest = Window.partitionBy("file_id").orderBy(F.desc("revision"), F.desc("at"), F.desc("folder"))
+    named = spark.read.parquet(f"{root}/manifest").withColumn("n", F.row_number().over(newest)).where("n = 1")
+    named = named.select(F.col("file_id").alias("file"), F.col("revision").alias("rev"), F.regexp_extract("folder", "write=(.*)$", 1).alias("write"))
+    rows = spark.read.option("basePath", f"{root}/chunks").parquet(f"{root}/chunks")
+    rows = rows.withColumns({"file": F.col("file").cast("long"), "rev": F.col("rev").cast("long"), "write": F.col("write").cast("string")})
+    return rows.join(named, ["file", "rev", "write"], "left_semi").withColumnsRenamed({"file": "file_id", "rev": "revision"}).drop("write")
 
 
 def changed_only(candidates: DataFrame, stored: DataFrame, key: str) -> DataFrame:

@@ -10,15 +10,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-LABEL = re.compile(r"(?i)\b(?:password|passcode|pin|api|access|refresh|secret|private|bearer|auth|token|ssh-|eyJ|-----BEGIN|[a-z][a-z0-9+.-]*://)")
+# Where a credential may begin, and key blocks, which alone go over many lines.
+LABEL = re.compile(r"(?i)\b(?:password|passcode|pin|api|access|refresh|secret|private|bearer|auth|token|ssh-|eyJ|[a-z][a-z0-9+.-]*:/)")
+KEY, KEY_END = re.compile(r"(?i)-----BEGIN [A-Z ]*PRIVATE KEY-----"), re.compile(r"(?i)-----END [A-Z ]*PRIVATE KEY-----")
 
 
-def scrub_stream(parts: DataFrame, redact) -> DataFrame:
-    """(stream_id, text): parts of text released as they come, held back from the first credential label to the end.
+def releasable(held: str, longest: int) -> int:
+    """How many characters of ``held`` no later text can turn into part of a credential.
 
-    ``parts``: stream_id, seq, text, final. ``redact`` is a function on a whole text; what is released, put together,
-    is what it makes of the whole, as all before the first label holds no credential. Parts may come in any order; one
-    is released once all before it are there.
+    A whole line goes unless it holds a label, whose value may stand on the next line, or is blank after such a line; a key
+    block waits for its end. A line of more than ``longest`` characters without any label goes up to its last word.
+    """
+    until = at = 0
+    while (key := KEY.search(held, at)) and (end := KEY_END.search(held, key.end())):
+        at = end.end()
+    until = key.start() if key else len(held)
+    line = held.rfind("\n", 0, until) + 1
+    if line == 0:
+        return held.rfind(" ", 0, until) + 1 if until > longest and not LABEL.search(held, 0, until) else 0
+    while line:
+        start = held.rfind("\n", 0, line - 1) + 1
+        if held[start:line].strip() and not LABEL.search(held, start, line):
+            break
+        line = start
+    return max(line, at)
+
+
+def scrub_stream(parts: DataFrame, redact, longest: int = 4000) -> DataFrame:
+    """(stream_id, text): parts of text released line by line as they come, with credentials replaced.
+
+    ``parts``: stream_id, seq, text, final. ``redact`` is a function on a text; what is released, put together, is what it
+    makes of the whole, as rules work within lines, but for key blocks and labels before a line end, which are held back. The state holds an unfinished line
+    or key block, and a line of more than ``longest`` characters only if it may hold a credential. Parts may come in
+    any order; one is released once all before it are there.
     """
 
     def feed(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -31,14 +55,12 @@ def scrub_stream(parts: DataFrame, redact) -> DataFrame:
         while nxt in waiting:
             held, nxt = held + waiting.pop(nxt), nxt + 1
         done = 0 <= ends < nxt
-        found = LABEL.search(held)
-        cut = len(held) if done else (found.start() if found else held.rfind(" ") + 1)
-        ready, held = held[:cut], held[cut:]
+        cut = len(held) if done else releasable(held, longest)
+        ready, held = redact(held[:cut]), held[cut:]
         if done:
             state.remove()
         else:
             state.update((list(waiting), list(waiting.values()), nxt, held, ends))
-        ready = redact(ready) if done else ready
         yield pd.DataFrame({"stream_id": [key[0]] if ready else [], "text": [ready] if ready else []})
 
     kept = "seqs array<long>, texts array<string>, next long, held string, ends long"

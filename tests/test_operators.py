@@ -115,6 +115,15 @@ def run_stream(spark, tmp_path, rows, schema, build, name):
     return spark.table(name).collect()
 
 
+def test_publishing_a_revision_again_keeps_what_readers_have(spark, tmp_path):
+    rows = lambda n: spark.createDataFrame([(k,) for k in range(n)], "chunk long")
+    sinks.publish(rows(4), str(tmp_path), 7, 1)
+    before = sinks.current(spark, str(tmp_path))
+    sinks.publish(rows(2), str(tmp_path), 7, 1)
+    assert before.count() == 4
+    assert sorted(map(tuple, sinks.current(spark, str(tmp_path)).select("chunk", "file_id", "revision").collect())) == [(0, 7, 1), (1, 7, 1)]
+
+
 def test_scrubbed_stream_equals_the_whole_redacted(spark, tmp_path):
     import re
 
@@ -124,6 +133,29 @@ def test_scrubbed_stream_equals_the_whole_redacted(spark, tmp_path):
     assert "".join(r["text"] for r in got) == "hello world the password: [REDACTED] bye"
 
 
+def test_scrubbed_stream_equals_the_whole_under_the_real_rules(spark, tmp_path):
+    import random
+    import re
+
+    from docloom.functions import text
+
+    steps = [(text.PRIVATE_KEY, text.REDACTED), (text.SSH_LINE, text.REDACTED), (text.URL_USERINFO, rf"\1://\2:{text.REDACTED}@"), (text.BEARER, f"Bearer {text.REDACTED}"), (text.JWT, text.REDACTED), (text.PASSWORD_FOR, rf"\1{text.REDACTED}"), (text.LABELLED_VALUE, rf"\1\2{text.REDACTED}")]
+
+    def redact(t):
+        for pattern, by in steps:
+            t = re.sub(pattern, by, t)
+        return t
+
+    key = "-----BEGIN RSA PRIVATE KEY-----\nMIIE\nabcd\n-----END RSA PRIVATE KEY-----"
+    lines = ["hello world", "note ssh-rsa AAAABBBB me", "password: hunter22 and more", "the token is", "abcdefgh tail", "", key, "see http://bob:pw@host/x", "Bearer abc.def-ghi", "-----BEGIN CERTIFICATE-----", "password for bob: letmein1", "secret", "", "s3cr3tvalue end", "bye"]
+    rng, whole = random.Random(1), "\n".join(lines * 2)
+    cuts = sorted({0, len(whole), *(rng.randrange(len(whole)) for _ in range(40))})
+    parts = [[("s", k, whole[a:b], b == len(whole))] for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    got = run_stream(spark, tmp_path, [sum(parts[k : k + 8], []) for k in range(0, len(parts), 8)], "stream_id string, seq long, text string, final boolean", lambda df: state.scrub_stream(df, redact), "real")
+    assert "".join(r["text"] for r in got) == redact(whole) and len(got) > 1
+    assert state.releasable(whole[: whole.index("abcd")], 4000) < whole.index("-----BEGIN RSA") + 1
+
+
 def test_registry_numbers_items_once(spark, tmp_path):
     rows = [[("r", 0, "a"), ("r", 1, "b")], [("r", 2, "a"), ("r", 3, "c")]]
     got = run_stream(spark, tmp_path, rows, "run_id string, seq long, item_key string", state.evidence_registry, "registry")
