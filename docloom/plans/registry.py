@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.plans.oracle import ORACLE_SQL
-from docloom.plans.queries import QUERIES
+from docloom.plans import changes, oracle, queries, rules
+
+QUERIES = queries.QUERIES | rules.QUERIES | changes.QUERIES
+ORACLE_SQL = oracle.ORACLE_SQL | rules.ORACLE_SQL | changes.ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
