@@ -598,3 +598,18 @@ def test_pipeline_keeps_what_it_says(spark, sf_dir):
     assert not any((fps[i] ^ fps[j]).bit_count() <= 3 for i in range(len(fps)) for j in range(i))
     packed = corpus_pipeline.STAGES[-1][1](spark, steps[4], sf_dir)
     assert packed.select("doc_id").distinct().count() == len(ids[4])
+
+
+@pytest.mark.parametrize("rows", [[], ODD, [(1, "x " * 300_000 + "y"), (1, None), (2, "x\ny\nx\ny")]])
+def test_stages_take_odd_rows(spark, sf_dir, rows):
+    import corpus_pipeline
+
+    extra = ("_id", "_tag", "_gone", "key", "tag", "gone", "keep", "was", "row", "copies", "rate", "n_lines", "n_removed", "_toxicity", "length", "tokens", "words", "n_chars")
+    docs = frame(spark, rows).withColumns({c: F.lit(7).cast("long") for c in extra})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+        assert docs.where("_gone <> 7 or row <> 7 or n_lines <> 7").count() == 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert packed.groupBy("doc_id").count().count() == docs.select("doc_id").distinct().count()
