@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +39,78 @@ def text_elements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return shown.select(id_col, "ordinal", text.alias("text"), (F.col("_p.a") + 1).alias("line_start"), (F.col("_p.b") + 1).alias("line_end"))
 
 
+LAYOUT = "doc_id long, ordinal int, kind string, level int, text string, page int, section string"
+
+
+def layout_elements(pages: DataFrame, id_col: str = "doc_id", json_col: str = "layout") -> DataFrame:
+    """(doc_id, ordinal, kind, level, text, page, section) of layout trees given as JSON, in reading order.
+
+    A node has a type, its content, kids, a page number and, as a heading, a level. Headings open sections and close those
+    at their level or below. A table's rows have cells with a column number and span; each row below the first becomes one
+    element, `Header: value | ...`. What is no object, and JSON that can't be read, gives no elements.
+    """
+
+    def text_of(node: object) -> str:
+        if isinstance(node, dict):
+            own = node.get("content")
+            kids = " ".join(filter(None, (text_of(k) for k in node.get("kids") or [])))
+            return " ".join(filter(None, (own.strip() if isinstance(own, str) else "", kids)))
+        return ""
+
+    def row_cells(row: dict) -> list[str]:
+        out: list[str] = []
+        for cell in row.get("cells") or []:
+            column, span = cell.get("column number") or len(out) + 1, cell.get("column span") or 1
+            out += [""] * (column - 1 - len(out)) + [text_of(cell)] * max(1, span)
+        return out
+
+    def walk(node: object, path: list[str], page: int | None) -> Iterator[tuple]:
+        if not isinstance(node, dict):
+            return
+        page = node.get("page number") or page
+        kind = node.get("type")
+        if kind == "table":
+            rows = [row_cells(r) for r in node.get("rows") or [] if isinstance(r, dict)]
+            for row in rows[1:]:
+                named = [f"{h}: {v}" if h else v for h, v in zip(rows[0] + [""] * len(row), row, strict=False) if v]
+                yield ("table_row", 0, " | ".join(named), page, " > ".join(path))
+            return
+        if kind == "heading":
+            level, text = max(1, int(node.get("heading level") or 1)), text_of(node)
+            path[level - 1 :] = [text]
+            yield ("heading", level, text, page, " > ".join(path))
+            return
+        if isinstance(node.get("content"), str) and node["content"].strip():
+            yield (str(kind or "paragraph"), 0, node["content"].strip(), page, " > ".join(path))
+        for kid in node.get("kids") or []:
+            yield from walk(kid, path, page)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for doc, raw in zip(pdf["id"], pdf["raw"], strict=True):
+                try:
+                    tree = json.loads(raw or "null")
+                except ValueError:
+                    continue
+                out += [(doc, k, *e) for k, e in enumerate(walk(tree, [], None))]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in LAYOUT.split(", ")]).astype({"page": "Int64"})
+
+    return pages.select(F.col(id_col).cast("long").alias("id"), F.col(json_col).alias("raw")).mapInPandas(run, LAYOUT)
+
+
+def grid_text(cells: DataFrame, table: list[str], row: str = "row", column: str = "column", text: str = "text") -> DataFrame:
+    """(table keys, text) of tables given as cells: rows in order, their cells joined by bars with gaps as empty ones.
+
+    A row's cells are few, so they are gathered a row at a time; rows of a table then as texts.
+    """
+    tidy = F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"\s+", " ")
+    rows = cells.groupBy(*table, row).agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct(F.col(column).cast("int"), tidy)))).alias("_m"))
+    line = F.array_join(F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("_m"))), lambda k: F.coalesce(F.try_element_at("_m", k), F.lit(""))), " | ")
+    lines = rows.select(*table, F.struct(F.col(row), line.alias("line")).alias("_l"))
+    return lines.groupBy(*table).agg(F.array_join(F.transform(F.array_sort(F.collect_list("_l")), lambda x: x["line"]), "\n").alias("text"))
+
+
 def page_text(html: Column) -> Column:
     """Readable text of a page: no scripts, styles, navigation, footers or comments; tags become spaces."""
     gone = F.regexp_replace(html, r"(?is)<(script|style|nav|footer|head|aside)\b.*?</\1\s*>|<!--.*?-->", " ")

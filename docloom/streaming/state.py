@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import re
 from collections.abc import Iterator
 
@@ -85,6 +86,104 @@ def evidence_registry(items: DataFrame, most: int = 40) -> DataFrame:
     return items.groupBy("run_id").applyInPandasWithState(number, "run_id string, label string, item_key string", "seen array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
+NUMBER_OR_DATE = re.compile(r"\d[\d.,:/-]*")
+
+
+def held_numbers(parts: DataFrame, grounded) -> DataFrame:
+    """(stream_id, text): an answer released as it comes, but from the first number on only once the whole is there and checked.
+
+    ``parts``: stream_id, seq, text, final, in order of seq within a batch. ``grounded`` is a function on the whole answer:
+    true if its numbers are. An answer that isn't grounded loses what was held; what was released holds no number.
+    """
+
+    def feed(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        sent, held = state.get if state.exists else ("", "")
+        done, ready = False, ""
+        for pdf in batches:
+            for text, final in pdf.sort_values("seq")[["text", "final"]].itertuples(index=False):
+                held, done = held + (text or ""), done or bool(final)
+        found = NUMBER_OR_DATE.search(held)
+        cut = held.rfind(" ", 0, found.start() + 1) + 1 if found else held.rfind(" ") + 1
+        ready, held = held[:cut], held[cut:]
+        if done:
+            ready += held if not NUMBER_OR_DATE.search(held) or grounded(sent + ready + held) else ""
+            state.remove()
+        else:
+            state.update((sent + ready, held))
+        yield pd.DataFrame({"stream_id": [key[0]] if ready else [], "text": [ready] if ready else []})
+
+    return parts.groupBy("stream_id").applyInPandasWithState(feed, "stream_id string, text string", "sent string, held string", "append", GroupStateTimeout.NoTimeout)
+
+
+def projected_deltas(parts: DataFrame, project) -> DataFrame:
+    """(stream_id, text): what a projection makes of an answer, in deltas that are never taken back.
+
+    ``project`` is a function on a whole text, such as one that drops citation marks. Only lines that are whole are
+    projected until the answer ends; a projection that would change what was sent adds nothing.
+    """
+
+    def feed(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        raw, sent = state.get if state.exists else ("", "")
+        done = False
+        for pdf in batches:
+            for text, final in pdf.sort_values("seq")[["text", "final"]].itertuples(index=False):
+                raw, done = raw + (text or ""), done or bool(final)
+        shown = project(raw if done else raw[: raw.rfind("\n") + 1])
+        ready = shown[len(sent) :] if shown.startswith(sent) else ""
+        if done:
+            state.remove()
+        else:
+            state.update((raw, sent + ready))
+        yield pd.DataFrame({"stream_id": [key[0]] if ready else [], "text": [ready] if ready else []})
+
+    return parts.groupBy("stream_id").applyInPandasWithState(feed, "stream_id string, text string", "raw string, sent string", "append", GroupStateTimeout.NoTimeout)
+
+
+def final_deltas(events: DataFrame, node: str) -> DataFrame:
+    """(run_id, seq, delta) of a run's state updates, given as whole texts so far: what each adds, from one node alone.
+
+    ``events``: run_id, seq, node, text. An update that doesn't go on from the one before, or is shorter, adds nothing.
+    """
+
+    def feed(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (seen,) = state.get if state.exists else ("",)
+        out = []
+        for pdf in batches:
+            for seq, text in pdf.sort_values("seq")[["seq", "text"]].itertuples(index=False):
+                if text and text != seen and text.startswith(seen):
+                    out.append((key[0], int(seq), text[len(seen) :]))
+                    seen = text
+        state.update((seen,))
+        yield pd.DataFrame(out, columns=["run_id", "seq", "delta"]).astype({"seq": "int64"})
+
+    mine = events.where(F.col("node") == node)
+    return mine.groupBy("run_id").applyInPandasWithState(feed, "run_id string, seq long, delta string", "seen string", "append", GroupStateTimeout.NoTimeout)
+
+
+def live_topics(mentions: DataFrame, days: int = 30) -> DataFrame:
+    """(user, topic, last_seen, expires_at) whenever a topic is mentioned; each mention keeps it for so many days.
+
+    ``mentions``: user, topic, at. State is kept by (user, topic) until it expires by event time, then dropped.
+    """
+
+    def feed(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        empty = pd.DataFrame({"user": [], "topic": [], "last_seen": [], "expires_at": []})
+        if state.hasTimedOut:
+            state.remove()
+            yield empty
+            return
+        (last,) = state.get if state.exists else (pd.Timestamp(0).to_pydatetime(),)
+        last = max([last, *(x.to_pydatetime() for pdf in batches for x in pdf["at"])])
+        state.update((last,))
+        until = last + datetime.timedelta(days=days)
+        state.setTimeoutTimestamp(max(int(until.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"user": [key[0]], "topic": [key[1]], "last_seen": [last], "expires_at": [until]})
+
+    schema = "user string, topic string, last_seen timestamp, expires_at timestamp"
+    rows = mentions.withWatermark("at", "1 day").groupBy("user", "topic")
+    return rows.applyInPandasWithState(feed, schema, "last timestamp", "update", GroupStateTimeout.EventTimeTimeout)
+
+
 def activity(events: DataFrame, user: str, at: str, idle: str, late: str) -> DataFrame:
     """Sessions of a stream; events later than the watermark are left out, as late results of an old revision are."""
     gap = F.session_window(F.col(at), idle)

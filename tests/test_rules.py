@@ -67,6 +67,87 @@ def test_a_swap_of_part_of_the_vectors_is_refused(spark):
         mutations.swap_embeddings(old, old.where("id = 1"), "id", 1)
 
 
+# ---- sources
+
+def test_layout_trees_become_elements(spark):
+    import json
+
+    from docloom.sources import readers
+
+    cell = lambda t, **k: {"content": t, **{a.replace("_", " "): b for a, b in k.items()}}
+    tree = {"type": "document", "kids": [
+        {"type": "heading", "heading level": 1, "content": "A", "page number": 1},
+        {"type": "paragraph", "content": " one "},
+        {"type": "heading", "heading level": 2, "content": "B", "page number": 2},
+        {"type": "table", "page number": 3, "rows": [{"cells": [cell("k"), cell("v", column_span=2)]}, {"cells": [cell("x"), cell("7", column_number=3)]}]},
+        {"type": "heading", "heading level": 1, "content": "C"}, {"kids": [{"type": "list item", "content": "two"}, "lost", None]},
+    ]}
+    rows = spark.createDataFrame([(1, json.dumps(tree)), (2, "{"), (3, None)], "doc_id long, layout string")
+    got = [tuple(r)[1:] for r in readers.layout_elements(rows).orderBy("doc_id", "ordinal").collect()]
+    assert got == [(0, "heading", 1, "A", 1, "A"), (1, "paragraph", 0, "one", None, "A"), (2, "heading", 2, "B", 2, "A > B"), (3, "table_row", 0, "k: x | v: 7", 3, "A > B"), (4, "heading", 1, "C", None, "C"), (5, "list item", 0, "two", None, "C")]
+
+
+def test_grids_become_lines(spark):
+    from docloom.sources import readers
+
+    cells = spark.createDataFrame([(1, 1, 0, " a  b "), (1, 1, 2, "c"), (1, 0, 1, "h"), (2, 5, 0, None)], "t int, row int, column int, text string")
+    assert dict(map(tuple, readers.grid_text(cells, ["t"]).collect())) == {1: " | h\na b |  | c", 2: ""}
+
+
+# ---- streams
+
+def streamed(spark, tmp_path, batches, schema, transform, name, mode="append"):
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    found = []
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    query = transform(source).writeStream.outputMode(mode).option("checkpointLocation", f"{tmp_path}/cp").foreachBatch(lambda df, _: found.append(df.collect())).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    return [r for rows in found for r in rows]
+
+
+PART = "stream_id string, seq long, text string, final boolean"
+
+
+def test_numbers_are_held_until_the_answer_is_checked(spark, tmp_path):
+    from docloom.streaming import state
+
+    parts = [[("a", 0, "It has ", False), ("b", 0, "No figure ", False)], [("a", 1, "some 42 parts", False), ("b", 1, "here.", True)], [("a", 2, " now.", True)]]
+    got = streamed(spark, tmp_path, parts, PART, lambda df: state.held_numbers(df, lambda t: "42 parts" in t), "held")
+    by = lambda k: [r["text"] for r in got if r["stream_id"] == k]
+    assert "".join(by("a")) == "It has some 42 parts now." and not any("4" in x for x in by("a")[:-1]) and "".join(by("b")) == "No figure here."
+
+
+def test_deltas_are_never_taken_back(spark, tmp_path):
+    import re
+
+    from docloom.streaming import state
+
+    parts = [[("a", 0, "One [V1] two\nthr", False)], [("a", 1, "ee [W2", False)], [("a", 2, "] four", True)]]
+    got = streamed(spark, tmp_path, parts, PART, lambda df: state.projected_deltas(df, lambda t: re.sub(r" ?\[[VW]\d+\]", "", t)), "deltas")
+    assert [r["text"] for r in got] == ["One two\n", "three four"]
+
+
+def test_updates_become_deltas_of_one_node(spark, tmp_path):
+    from docloom.streaming import state
+
+    rows = [[("r", 0, "final", "ab"), ("r", 1, "plan", "x")], [("r", 2, "final", "abcd"), ("r", 3, "final", "zz"), ("r", 4, "final", "abcd")]]
+    got = streamed(spark, tmp_path, rows, "run_id string, seq long, node string, text string", lambda df: state.final_deltas(df, "final"), "final")
+    assert [(r["seq"], r["delta"]) for r in sorted(got, key=lambda r: r["seq"])] == [(0, "ab"), (2, "cd")]
+
+
+def test_mentions_keep_topics_alive(spark, tmp_path):
+    import datetime
+
+    from docloom.streaming import state
+
+    day = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=n)
+    rows = [[("u", "rain", day(0))], [("u", "rain", day(20)), ("v", "snow", day(60))], [("v", "snow", day(61))]]
+    got = streamed(spark, tmp_path, rows, "user string, topic string, at timestamp", state.live_topics, "topics", "update")
+    rain = [(r["last_seen"], r["expires_at"]) for r in got if r["topic"] == "rain"]
+    assert rain == [(day(0), day(30)), (day(20), day(50))] and max(r["expires_at"] for r in got) == day(91)
+
+
 # ---- chunks
 
 def chunked(text, **how):
