@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docloom.functions.rules import bound
 from docloom.functions.text import canonical_url, col, ngrams, normalized_words, plural_stem
 
 
@@ -40,9 +41,8 @@ def ngram_topics(segments: DataFrame, doc: str, segment: str, text: str, widths:
 
     ``segment`` names a segment within its document; grams are made distinct in it before they are counted.
     """
-    words = segments.select(doc, segment, normalized_words(text).alias("w"))
-    grams = F.concat(*(F.transform(ngrams(F.col("w"), n), _wide(n)) for n in widths))
-    seen = words.select(doc, F.inline(F.array_distinct(grams)))
+    grams = lambda w: F.concat(*(F.transform(F.array_distinct(ngrams(w, n)), _wide(n)) for n in widths))
+    seen = segments.select(doc, F.inline(bound(normalized_words(text), grams)))
     hits = seen.groupBy(doc, "gram", "width").agg(F.count("*").alias("hits"))
     return hits.where((F.col("hits") >= least[0]) | ((F.col("width") > 1) & (F.col("hits") >= least[1])))
 

@@ -29,12 +29,13 @@ def route(name: Column, media: Column) -> Column:
 
 def text_elements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ordinal, text, line_start, line_end): paragraphs between blank lines, lines counted from 1."""
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    blank = lambda i: F.trim(F.get(lines, i)) == ""
-    every = F.sequence(F.lit(0), F.size(lines) - 1)
-    begins = F.filter(every, lambda i: ~blank(i) & ((i == 0) | blank(i - 1)))
-    ends = F.filter(every, lambda i: ~blank(i) & ((i == F.size(lines) - 1) | blank(i + 1)))
-    shown = docs.select(F.col(id_col), lines.alias("_lines"), F.posexplode(F.arrays_zip(begins.alias("a"), ends.alias("b"))).alias("ordinal", "_p"))
+    split = docs.select(id_col, F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("_lines"))
+    split = split.withColumn("_full", F.transform("_lines", lambda x: F.trim(x) != ""))  # columns, so that no line is looked at twice
+    every = F.sequence(F.lit(0), F.size("_full") - 1)
+    full = lambda i: F.coalesce(F.get("_full", i), F.lit(False))
+    begins = F.filter(every, lambda i: full(i) & ((i == 0) | ~full(i - 1)))
+    ends = F.filter(every, lambda i: full(i) & ~full(i + 1))
+    shown = split.select(id_col, "_lines", F.posexplode(F.arrays_zip(begins.alias("a"), ends.alias("b"))).alias("ordinal", "_p"))
     text = F.array_join(F.slice("_lines", F.col("_p.a") + 1, F.col("_p.b") - F.col("_p.a") + 1), "\n")
     return shown.select(id_col, "ordinal", text.alias("text"), (F.col("_p.a") + 1).alias("line_start"), (F.col("_p.b") + 1).alias("line_end"))
 
