@@ -72,18 +72,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are replaced. No rows give no rows.
     """
     docs = docs.drop("n_lines", "n_removed", "n_runs")
-    key, tag, gone = private(docs, "key", "tag", "gone")
+    key, tag, gone, split = private(docs, "key", "tag", "gone", "split")
     body = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.split(body, "\n")
     keyed = docs.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), tag: F.xxhash64(body)})
     found = repeated_lines(keyed.select(F.col(key).alias("id"), F.col(tag).alias("tag"), lines.alias("lines")), run, long_words)
     found = found.select(F.col("id").alias(key), F.col("tag").alias(tag), F.col("gone").alias(gone))
-    joined = keyed.join(found, [key, tag], "left").withColumn(gone, F.coalesce(gone, F.array().cast("array<int>")))
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
-    text = F.when(F.size(gone) == 0, F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    joined = keyed.join(found, [key, tag], "left").withColumns({gone: F.coalesce(gone, F.array().cast("array<int>")), split: lines})  # a column, so that a text is split once
+    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
+    text = F.when(F.size(gone) == 0, F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n"))
     runs = F.size(F.filter(F.col(gone), lambda x, i: (i == 0) | (F.get(gone, i - 1) != x - 1)))
-    counts = {"n_lines": F.size(lines), "n_removed": F.size(gone), "n_runs": runs}
-    return joined.withColumns({k: v.cast("long") for k, v in counts.items()}).withColumn(text_col, text).drop(key, tag, gone)
+    counts = {"n_lines": F.size(split), "n_removed": F.size(gone), "n_runs": runs}
+    return joined.withColumns({k: v.cast("long") for k, v in counts.items()}).withColumn(text_col, text).drop(key, tag, gone, split)
 
 
 def oracle_sql(run: int = RUN, long_words: int = LONG_WORDS) -> str:
