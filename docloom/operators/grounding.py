@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions.rules import bound
 from docloom.functions.text import canonical_numbers, col, normalized_words, sentences, singular
 from docloom.operators.evidence import mutual_pairs
 
@@ -79,8 +80,12 @@ def tag_is_evidenced(tag: Column, words: Column) -> Column:
 def fold_tags(tags: Column) -> Column:
     """Tags in order without those whose words another, earlier or longer, tag holds all; six at most, of 40 characters."""
     short = F.filter(F.array_distinct(F.transform(tags, lambda t: F.trim(F.lower(t)))), lambda t: (t != "") & (F.length(t) <= 40))
-    inside = lambda a, b: F.size(F.array_except(F.split(a, " "), F.split(b, " "))) == 0
-    return F.slice(F.filter(short, lambda t: ~F.exists(short, lambda o: (o != t) & inside(t, o) & (F.size(F.split(o, " ")) > F.size(F.split(t, " "))))), 1, 6)
+
+    def folded(parts: Column) -> Column:
+        over = lambda t: F.exists(parts, lambda o: (F.size(o["w"]) > F.size(t["w"])) & (F.size(F.array_except(t["w"], o["w"])) == 0))
+        return F.transform(F.slice(F.filter(parts, lambda t: ~over(t)), 1, 6), lambda t: t["t"])
+
+    return bound(F.transform(short, lambda t: F.struct(t.alias("t"), F.split(t, " ").alias("w"))), folded)
 
 
 def refuses_number(question: Column, kept: Column, total: Column) -> Column:

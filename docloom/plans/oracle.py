@@ -57,6 +57,9 @@ CLEAN_PAGE = r"regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*
 for _entity, _mark in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
     CLEAN_PAGE = f"replace({CLEAN_PAGE}, '{_entity}', '{_mark}')"
 
+ATOMS = r"""list_sort(list_distinct(list_concat(list_transform(regexp_extract_all(text, '\p{Lu}[\p{L}\p{N}]+(?: \p{Lu}[\p{L}\p{N}]+)+'), lambda x: lower(x)),
+  list_transform(regexp_extract_all(text, '\b[0-9][0-9,]*(?:\.[0-9]+)?'), lambda x: CASE WHEN contains(x, '.') THEN regexp_replace(replace(x, ',', ''), '\.?0+$', '') ELSE replace(x, ',', '') END))))"""
+
 PAGE_ELEMENTS = rf"""
 SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title, trim(regexp_replace({CLEAN_PAGE}, '\s+', ' ', 'g')) AS body FROM pages"""
 
@@ -247,12 +250,10 @@ SELECT o_orderkey, CASE WHEN b >= DATE '2023-03-01' THEN b ELSE c END AS ahead,
     "grade_report": """
 WITH r AS (SELECT event_type, round(avg((value >= 20)::INT::DOUBLE) * 100, 4) AS rate FROM events GROUP BY event_type)
 SELECT *, CASE WHEN rate >= 90 THEN 'A' WHEN rate >= 75 THEN 'B' WHEN rate >= 60 THEN 'C' ELSE 'D' END AS grade FROM r""",
-    "claim_atoms": r"""
-SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(list_transform(regexp_extract_all(text, '\p{Lu}[\p{L}\p{N}]+(?: \p{Lu}[\p{L}\p{N}]+)+'), lambda x: lower(x)),
-  list_transform(regexp_extract_all(text, '\b[0-9][0-9,]*(?:\.[0-9]+)?'), lambda x: CASE WHEN contains(x, '.') THEN regexp_replace(replace(x, ',', ''), '\.?0+$', '') ELSE replace(x, ',', '') END)))), '|') AS atoms FROM documents""",
+    "claim_atoms": f"SELECT doc_id, array_to_string({ATOMS}, '|') AS atoms FROM documents",
     "folded_tags": f"""
-WITH w AS (SELECT conv_id, turn, {words('text')} AS w FROM conversations),
-t AS (SELECT conv_id, turn, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS t, unnest(range(len(w) + greatest(len(w) - 1, 0))) AS i FROM w),
+WITH w AS (SELECT conv_id, turn, {ATOMS} AS w FROM conversations),
+t AS (SELECT conv_id, turn, unnest(list_concat(w, flatten(list_transform(w, lambda x: string_split(x, ' '))))) AS t, unnest(range(len(list_concat(w, flatten(list_transform(w, lambda x: string_split(x, ' '))))))) AS i FROM w),
 u AS (SELECT conv_id, turn, trim(lower(t)) AS t, min(i) AS i FROM t GROUP BY conv_id, turn, trim(lower(t)) HAVING trim(lower(t)) <> '' AND length(trim(lower(t))) <= 40),
 k AS (SELECT a.*, row_number() OVER (PARTITION BY a.conv_id, a.turn ORDER BY a.i) AS r FROM u a WHERE NOT EXISTS (SELECT 1 FROM u b WHERE b.conv_id = a.conv_id AND b.turn = a.turn AND b.t <> a.t
   AND list_has_all(string_split(b.t, ' '), string_split(a.t, ' ')) AND len(string_split(b.t, ' ')) > len(string_split(a.t, ' '))))

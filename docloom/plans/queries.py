@@ -394,9 +394,10 @@ def grounding_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def folded_tags(spark: SparkSession, d: str) -> DataFrame:
-    words = text.normalized_words("text")
-    tags = F.concat(words, text.ngrams(words, 2))
-    return read(spark, d, "conversations").select("conv_id", "turn", F.array_join(grounding.fold_tags(tags), "|").alias("tags"))
+    """The names and numbers of each turn, and the names' words, folded to tags."""
+    names = read(spark, d, "conversations").select("conv_id", "turn", grounding.claim_atoms("text").alias("a"))
+    tags = F.concat("a", F.flatten(F.transform("a", lambda x: F.split(x, " "))))
+    return names.select("conv_id", "turn", F.array_join(grounding.fold_tags(tags), "|").alias("tags"))
 
 
 def tags_evidenced(spark: SparkSession, d: str) -> DataFrame:
