@@ -220,6 +220,7 @@ QUERIES = {f.__name__: f for f in (
 W = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{M}}\p{{N}}+#]+'), lambda w: w <> '')"
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in rules.QUERY_STOP) + "]"
 CONTENT = rf"list_filter(regexp_extract_all(lower({{}}), '[\p{{{{L}}}}\p{{{{N}}}}_''-]+'), lambda w: length(w) >= 3 AND NOT list_contains({STOP_SQL}, w))"
+LEAD_SQL = rules.QUESTION_LEAD.replace(r"\b", r"(?:[^\p{L}\p{N}_]|$)")  # RE2 sees boundaries of ASCII words only
 REFUSALS_SQL = rules.REFUSALS.replace("'", "''")
 
 
@@ -263,7 +264,7 @@ SELECT tag, contains(t, '@') OR contains(t, '://') OR starts_with(t, 'www.') OR
   OR (list_has_any(ws, ['avenue', 'colony', 'lane', 'nagar', 'road', 'street']) AND NOT list_has_any(ws, [{', '.join(repr(x) for x in rules.ADDRESS_TOPICS)}]))
   OR (digits >= 1 AND regexp_matches(t, '\b(?:address|avenue|colony|district|lane|nagar|road|street|town|village)\b')) OR digits >= 7 AS sensitive FROM w""",
     "declared": rf"""
-WITH s AS (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace(said, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT ends_with(x, '?') AND NOT regexp_matches(x, '{rules.QUESTION_LEAD}')) AS spans FROM {SAID}),
+WITH s AS (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace(said, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT ends_with(x, '?') AND NOT regexp_matches(x, '{LEAD_SQL}')) AS spans FROM {SAID}),
 h AS (SELECT *, list_transform(spans, lambda x: (contains(lower(x), 'rain')::INT + contains(lower(x), 'rules')::INT + contains(lower(x), 'the')::INT + contains(lower(x), 'and')::INT)) AS n FROM s)
 SELECT conv_id, turn, array_to_string(spans, '|') AS spans, CASE WHEN list_max(n) > 0 THEN left(spans[list_position(n, list_max(n))], 500) END AS best FROM h""",
     "searchable_queries": rf"""
