@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.plans import changes, oracle, queries, replies, rules
+from docloom.plans import changes, oracle, queries, replies, rules, search
 
-QUERIES = queries.QUERIES | rules.QUERIES | changes.QUERIES | replies.QUERIES
-ORACLE_SQL = oracle.ORACLE_SQL | rules.ORACLE_SQL | changes.ORACLE_SQL | replies.ORACLE_SQL
+QUERIES = queries.QUERIES | rules.QUERIES | changes.QUERIES | replies.QUERIES | search.QUERIES
+ORACLE_SQL = oracle.ORACLE_SQL | rules.ORACLE_SQL | changes.ORACLE_SQL | replies.ORACLE_SQL | search.ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
