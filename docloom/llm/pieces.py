@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 SLICE = 1 << 18  # characters that are split into words and merged at a time
-WORDS_KEPT = 500_000  # words whose ids a Python worker remembers
+WORDS_KEPT = 300_000  # words whose ids a Python worker remembers, and as many older ones
 KEPT_CHARS = 40  # of a word that is remembered, at most
 LONG = 400  # symbols of a word from which a queue merges it: rounds over it would each merge little
 NONE = np.int32(np.iinfo(np.int32).max)  # the rank of a pair that makes no piece
+MIX = np.uint64(0x9E3779B97F4A7C15)  # the golden ratio's bits
 
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]*", re.DOTALL)
 _LATER_WORD = re.compile("(?<! ) ")
@@ -51,8 +52,8 @@ class Pieces:
         self.by_code[[ord(c) for c in self.symbols if len(c) == 1]] = [s for c, s in self.symbols.items() if len(c) == 1]
         self.width = n + len(self.symbols) + 1  # above every symbol's number
         order = {s: k for k, s in enumerate(sorted({sp.get_score(i) for i in plain}, reverse=True))}
-        pairs = sorted((self.symbols[a] * self.width + self.symbols[b], order[sp.get_score(i)], i) for i, name in names.items() for k in range(1, len(name)) if (a := name[:k]) in self.symbols and (b := name[k:]) in self.symbols)
-        self.keys, self.ranks, self.made = (np.array(x, t) for x, t in zip(zip(*pairs, strict=True), (np.int64, np.int32, np.int32), strict=True))
+        pairs = [(self.symbols[a] * self.width + self.symbols[b], order[sp.get_score(i)], i) for i, name in names.items() for k in range(1, len(name)) if (a := name[:k]) in self.symbols and (b := name[k:]) in self.symbols]
+        self.keep_pairs(*(np.array(x, t) for x, t in zip(zip(*pairs, strict=True), (np.int64, np.int32, np.int32), strict=True)))
         self.inside = {name[k : k + 2] for name in names.values() for k in range(len(name) - 1)}
         self.crosses = any(c != SPACE and d == SPACE for c, d in self.inside)
         self.out = [b""] * n
@@ -65,12 +66,35 @@ class Pieces:
         self.leads = {i for i, name in names.items() if name.startswith(SPACE)}
         self.n = n
 
+    def keep_pairs(self, keys: np.ndarray, ranks: np.ndarray, made: np.ndarray) -> None:
+        """The pairs as an open hash table, an eighth full at most; a key goes to the next free place after its own."""
+        self.shift = np.uint64(64 - max(4, (8 * len(keys)).bit_length()))
+        size = 1 << (64 - int(self.shift))
+        self.keys, self.ranks, self.made = np.full(size, -1, np.int64), np.full(size, NONE), np.full(size, -1, np.int32)
+        left, at = np.arange(len(keys)), self.place(keys)
+        while len(left):
+            free = self.keys[at] < 0
+            first = np.zeros(len(left), bool)
+            first[np.unique(np.where(free, at, -1), return_index=True)[1]] = True  # of keys for one place the first takes it
+            put = free & first
+            self.keys[at[put]], self.ranks[at[put]], self.made[at[put]] = keys[left[put]], ranks[left[put]], made[left[put]]
+            left, at = left[~put], (at[~put] + ~free[~put]) % size
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * MIX) >> self.shift).astype(np.int64)
+
     def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rank, piece) of each pair of symbols; rank NONE where they make no piece. Symbol -1 makes none."""
-        key = left.astype(np.int64) * self.width + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        there = (self.keys[at] == key) & (left >= 0) & (right >= 0)
-        return np.where(there, self.ranks[at], NONE), np.where(there, self.made[at], -1)
+        """(rank, piece) of each pair of symbols; rank NONE where they make no piece. Negative symbols make none."""
+        key = np.where((left >= 0) & (right >= 0), left.astype(np.int64) * self.width + right, -1)
+        at = self.place(key)
+        found = self.keys[at]
+        open_ = np.flatnonzero((found != key) & (found >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) % len(self.keys)
+            found = self.keys[at[open_]]
+            open_ = open_[(found != key[open_]) & (found >= 0)]
+        there = (self.keys[at] == key) & (key >= 0)
+        return np.where(there, self.ranks[at], NONE), np.where(there, self.made[at], np.int32(-1))
 
     def characters(self, words: list[str]) -> np.ndarray:
         """Symbols of all words in a row; a character that no piece holds is -1 - code point."""
@@ -128,32 +152,32 @@ def merge_rounds(sym: np.ndarray, sizes: np.ndarray, pieces: Pieces) -> tuple[np
         before = np.where(beside, np.concatenate([[-1], piece[:-1]]), np.where(at > starts[own], sym[np.maximum(at - 1, 0)], -1))
         last = at + 2 >= starts[own] + sizes[own]
         after = np.where(last, -1, sym[np.minimum(at + 2, len(sym) - 1)])
-        soon = np.minimum(pieces.look_up(before, piece)[0], pieces.look_up(piece, after)[0]) <= best[own]
+        (rank1, made1), (rank2, made2) = pieces.look_up(before, piece), pieces.look_up(piece, after)
+        soon = np.minimum(rank1, rank2) <= best[own]
         if soon.any():
             earlier = np.cumsum(soon) - soon
             ok = earlier == earlier[np.searchsorted(own, own)]  # none since the word's first merge
-            at, piece = at[ok], piece[ok]
+            at, own, piece, rank1, made1, rank2, made2 = (x[ok] for x in (at, own, piece, rank1, made1, rank2, made2))
         sym[at] = piece
-        keep, touched = np.ones(len(sym), bool), np.zeros(len(sym), bool)
-        keep[at + 1], touched[at] = False, True
-        sizes = sizes - np.bincount(seg[at], minlength=len(word))
-        sym, seg, rank, made, touched = sym[keep], seg[keep], rank[keep], made[keep], touched[keep]
-        touched[:-1] = touched[:-1] | touched[1:]
-        fresh = np.flatnonzero(touched)  # pairs with a new piece in them
-        rank[fresh], made[fresh] = paired(sym, seg, pieces, fresh)
+        rank[at], made[at] = rank2, made2
+        inner = at > starts[own]
+        keep = np.ones(len(sym), bool)
+        keep[at + 1] = False
+        sym, seg, rank, made = sym[keep], seg[keep], rank[keep], made[keep]
+        lead = (at - np.arange(len(at)) - 1)[inner]  # the symbol before each new piece, by its new place
+        rank[lead], made[lead] = rank1[inner], made1[inner]
+        sizes = sizes - np.bincount(own, minlength=len(word))
     if not done:
         return sym, left
     owner, sym = (np.concatenate(x) for x in zip(*done, strict=True))
     return sym[np.argsort(owner, kind="stable")], left
 
 
-def paired(sym: np.ndarray, seg: np.ndarray, pieces: Pieces, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(rank, piece) of the pair that begins at each position, or at those of ``at``; none across words."""
-    at = np.arange(len(sym)) if at is None else at
-    after = np.minimum(at + 1, len(sym) - 1)
-    rank, made = pieces.look_up(sym[at], sym[after])
-    apart = (at + 1 >= len(sym)) | (seg[at] != seg[after])
-    return np.where(apart, NONE, rank).astype(np.int32), made.astype(np.int32)
+def paired(sym: np.ndarray, seg: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """(rank, piece) of the pair that begins at each position; none across words."""
+    after = np.full(len(sym), -1, sym.dtype)
+    after[:-1] = np.where(seg[1:] == seg[:-1], sym[1:], -1)
+    return pieces.look_up(sym, after)
 
 
 def merge_queue(sym: list[int], pieces: Pieces) -> list[int]:
@@ -193,6 +217,7 @@ class Codec:
     def __init__(self, path: str):
         self.pieces = Pieces(path)
         self.kept: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def words(self, text: str) -> list[str]:
         """A shown text (spaces as U+2581), cut where no piece of the model reaches across."""
@@ -209,7 +234,7 @@ class Codec:
         return [word[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words, all merged together; of short ones they are remembered."""
+        """Ids of words, all merged together."""
         long = [w for w in words if len(w) > LONG]
         short = [w for w in words if len(w) <= LONG] if long else words
         parts = [merge_rounds(self.pieces.characters(short), np.fromiter(map(len, short), np.int64, len(short)), self.pieces)]
@@ -218,11 +243,7 @@ class Codec:
             parts.append((np.array(sym, np.int32), np.array([len(sym)])))
         flat, ends = self.pieces.ids(*(np.concatenate(x) for x in zip(*parts, strict=True)))
         ends = ends.tolist()
-        found = {w: flat[a:b] for w, a, b in zip([*short, *long], [0, *ends], ends, strict=False)}
-        if len(self.kept) + len(found) > WORDS_KEPT:
-            self.kept.clear()
-        self.kept |= {w: x for w, x in found.items() if len(w) <= KEPT_CHARS}
-        return found
+        return {w: flat[a:b] for w, a, b in zip([*short, *long], [0, *ends], ends, strict=False)}
 
     def slices(self, text: str) -> Iterator[str]:
         """The shown text in stretches of about SLICE characters, cut before a space after none."""
@@ -250,13 +271,20 @@ class Codec:
         return [head + bytes(x) + tail for x in out]
 
     def put(self, todo: list[tuple[int, list[str]]], out: list[bytearray]) -> int:
-        words = set().union(*(w for _, w in todo))
-        missing = words - self.kept.keys()
-        found = self.kept
-        if missing:
-            found = {w: self.kept[w] for w in words - missing} | self.learn(list(missing))
-        for k, ws in todo:
-            out[k] += b"".join(map(found.__getitem__, ws))
+        """Appends the ids of each text's words. Words met again lately are remembered: in two halves, of which the older goes."""
+        known = [list(map(self.kept.get, ws)) for _, ws in todo]
+        gaps = [holes(ids) for ids in known]
+        missing = {ws[i] for (_, ws), at in zip(todo, gaps, strict=True) for i in at}
+        found = {w: self.old[w] for w in missing if w in self.old}
+        if len(found) < len(missing):
+            found |= self.learn([w for w in missing if w not in found])
+        for (k, ws), ids, at in zip(todo, known, gaps, strict=True):
+            for i in at:
+                ids[i] = found[ws[i]]
+            out[k] += b"".join(ids)
+        self.kept |= {w: x for w, x in found.items() if len(w) <= KEPT_CHARS}
+        if len(self.kept) > WORDS_KEPT:
+            self.old, self.kept = self.kept, {}
         todo.clear()
         return 0
 
@@ -295,6 +323,17 @@ class Codec:
         return "".join(text)
 
 
+def holes(values: list) -> list[int]:
+    """Where a list has None."""
+    at, i = [], -1
+    try:
+        while True:
+            i = values.index(None, i + 1)
+            at.append(i)
+    except ValueError:
+        return at
+
+
 def by_single_bytes(data: bytes) -> str:
     """UTF-8, with U+FFFD for every byte that is no part of a character."""
     out, at = [], 0
