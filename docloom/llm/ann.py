@@ -105,9 +105,9 @@ def calibrated_visits(tree: Tree, sample: np.ndarray, k: int, recall: float, che
     return int(np.quantile(needed, recall, method="higher")) + 1
 
 
-def nearest(q: np.ndarray, q_id: int, x: np.ndarray, x_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(id, score) of the k best of a query but itself; ties to smaller ids."""
-    s = np.where(x_id == q_id, -np.inf, x @ q)
+def nearest(q: np.ndarray, q_row: int, x: np.ndarray, x_id: np.ndarray, x_row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(id, score) of the k best of a query but its own row; ties to smaller ids."""
+    s = np.where(x_row == q_row, -np.inf, x @ q)
     idx = np.flatnonzero(s > -np.inf)
     if len(idx) > k:
         least = np.partition(s, len(s) - k)[len(s) - k]
@@ -129,14 +129,14 @@ def shards_of(held: dict[int, int], size: int) -> tuple[dict[int, int], dict[int
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each query row its k nearest among all other ids, by inner product in doubles.
+    """(query_id, rank, vec_id, score): for each query row its k nearest among all other rows, by inner product in doubles.
 
     The tree comes from a bounded sample in hash order; every vector is dealt to its leaf, and a query goes to as many
     best bins as calibration on the sample asks for, and on until they hold k others at least. Neighbouring leaves share
     a shard, which returns k rows for each query; a larger leaf is cut into parts, so one with a third of all vectors is
     many tasks' work, and a shard that many queries ask for is asked in parts too. Vectors null, zero, with null or
-    non-finite components, without an id, or of another length than most take no part. Repeated ids are separate
-    candidates, and queries if they are; none is its own neighbour. Fewer candidates than k: all of them. Other columns are
+    non-finite components, without an id, or of another length than most take no part. Rows that
+    repeat an id are separate candidates and separate queries; only a query's own row is not its neighbour. Fewer candidates than k: all of them. Other columns are
     not looked at, but for what ``is_query`` reads. No rows give no rows. The tree has no more leaves than the sample has
     vectors: past ``sample`` times ``leaf`` rows leaves grow with the table, and a larger ``sample`` is called for.
     """
@@ -146,6 +146,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     if dim is None:
         return empty
     rows = rows.where(F.size("v") == dim[0])
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
     n, norm = rows.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()
     drawn = np.array([r[0] for r in rows.orderBy(F.xxhash64("id", "v"), "id").select("v").limit(sample).collect()])
     tree = Tree(drawn, norm, max(1, round(leaf * len(drawn) / n)))
@@ -153,16 +154,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "q": pdf["q"], "leaf": tree.place(np.stack(pdf["v"].to_numpy()))})
+            yield pd.DataFrame({"row": pdf["row"], "id": pdf["id"], "v": pdf["v"], "q": pdf["q"], "leaf": tree.place(np.stack(pdf["v"].to_numpy()))})
 
-    dealt = settled(rows.mapInPandas(deal, "id long, v array<double>, q boolean, leaf int"))
+    dealt = settled(rows.mapInPandas(deal, "row long, id long, v array<double>, q boolean, leaf int"))
     held = dict(dealt.groupBy("leaf").count().collect())  # as many rows as the tree has leaves
     shard, parts = shards_of(held, SHARD)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for q_id, v in zip(pdf["id"], pdf["v"], strict=True):
+            for q_row, q_id, v in zip(pdf["row"], pdf["id"], pdf["v"], strict=True):
                 seen, others, bins = 0, 0, {}
                 for b in tree.best_bins(v):
                     if seen >= visits and others > k:
@@ -170,34 +171,34 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
                     seen, others = seen + 1, others + held.get(b, 0)
                     if b in shard:
                         bins.setdefault(shard[b], []).append(b)
-                out += [(q_id, v, s, sorted(leaves)) for s, leaves in bins.items()]
-            yield pd.DataFrame(out, columns=["q_id", "q_v", "shard", "leaves"])
+                out += [(q_row, q_id, v, s, sorted(leaves)) for s, leaves in bins.items()]
+            yield pd.DataFrame(out, columns=["q_row", "q_id", "q_v", "shard", "leaves"])
 
     spark = vectors.sparkSession
-    queries = settled(dealt.where("q").select("id", "v").mapInPandas(route, "q_id long, q_v array<double>, shard int, leaves array<int>"))
+    queries = settled(dealt.where("q").select("row", "id", "v").mapInPandas(route, "q_row long, q_id long, q_v array<double>, shard int, leaves array<int>"))
     asked = dict(queries.groupBy("shard").count().collect())
     cuts = spark.createDataFrame([(s, parts[s], -(-asked.get(s, 0) // QUERIES)) for s in parts], "shard int, parts int, qparts int")
     homes = spark.createDataFrame(list(shard.items()), "leaf int, shard int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     placed = dealt.join(F.broadcast(homes), "leaf").join(F.broadcast(cuts.where("qparts > 0")), "shard")
-    candidates = placed.select("id", "v", "leaf", "shard", F.pmod(F.xxhash64("id", "v"), F.col("parts")).cast("int").alias("part"), every("qparts").alias("qpart"))
-    queries = queries.join(F.broadcast(cuts), "shard").select("q_id", "q_v", "leaves", "shard", F.pmod(F.xxhash64("q_id", "q_v"), F.col("qparts")).cast("int").alias("qpart"), every("parts").alias("part"))
+    candidates = placed.select("row", "id", "v", "leaf", "shard", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int").alias("part"), every("qparts").alias("qpart"))
+    queries = queries.join(F.broadcast(cuts), "shard").select("q_row", "q_id", "q_v", "leaves", "shard", F.pmod(F.xxhash64("q_row"), F.col("qparts")).cast("int").alias("qpart"), every("parts").alias("part"))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"q_row": [], "query_id": [], "vec_id": [], "score": []})
         right = right.sort_values("leaf")
-        x, x_id, leaf = np.stack(right["v"].to_numpy()), right["id"].to_numpy(), right["leaf"].to_numpy()
+        x, x_id, x_row, leaf = np.stack(right["v"].to_numpy()), *(right[c].to_numpy() for c in ("id", "row", "leaf"))
         here, begin = np.unique(leaf, return_index=True)
         rows_of = dict(zip(here.tolist(), map(np.arange, begin, [*begin[1:], len(leaf)]), strict=True))
         out = []
-        for q_id, q, leaves in zip(left["q_id"], left["q_v"], left["leaves"], strict=True):
+        for q_row, q_id, q, leaves in zip(left["q_row"], left["q_id"], left["q_v"], left["leaves"], strict=True):
             idx = np.concatenate([np.empty(0, np.int64), *(rows_of[b] for b in leaves.tolist() if b in rows_of)])
-            ids, scores = nearest(np.asarray(q), q_id, x[idx], x_id[idx], k)
-            out.append((np.full(len(ids), q_id), ids, scores))
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+            ids, scores = nearest(np.asarray(q), q_row, x[idx], x_id[idx], x_row[idx], k)
+            out.append((np.full(len(ids), q_row), np.full(len(ids), q_id), ids, scores))
+        return pd.DataFrame(dict(zip(("q_row", "query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     keys = ["shard", "part", "qpart"]
-    found = queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(meet, "q_row long, query_id long, vec_id long, score double")
+    best = Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

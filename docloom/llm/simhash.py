@@ -208,15 +208,17 @@ def near_fingerprints(reps: DataFrame, max_bits: int = MAX_BITS, leaf: int | Non
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per input row: id, fp (signed 64-bit), component_id (smallest id reachable by links, itself included).
 
-    Null or empty texts have fingerprint 0 and link like any other. Rows without an id get the component of their
-    fingerprint, null if no row with an id has or neighbours it. Repeated rows stay repeated. Other columns are not
-    looked at. No rows give no rows.
+    Null or empty texts have fingerprint 0 and link like any other. Points are fingerprints, whatever ids have them: rows
+    without an id link others, and get their component's smallest id, null if none of its rows has one. Repeated rows
+    stay repeated. Other columns are not looked at. No rows give no rows.
     """
     seen = settled(with_fingerprints(docs, id_col, text_col, shingle))
-    reps = settled(seen.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep")))
-    parts = connected_components(near_fingerprints(reps, max_bits))
-    named = reps.join(parts, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return seen.join(named, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
+    points = settled(seen.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
+    parts = connected_components(near_fingerprints(points.select(F.col("fp").alias("rep"), "fp"), max_bits))
+    placed = settled(points.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("part")))
+    names = placed.groupBy("part").agg(F.min("least").alias("component_id"))
+    named = spread_join(placed.select("fp", "part"), names, "part", ["fp"]).select("fp", "component_id")
+    return spread_join(seen, named, "fp", ["id"], counts=points).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

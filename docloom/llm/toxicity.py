@@ -17,6 +17,8 @@ from docloom.llm.common import private
 THRESHOLD = 0.3
 TRAIN_DOCS = 3000  # labelled documents of each class that training reads at most
 TRAIN_BYTES = 8_000_000  # and their bytes
+TEXT_BYTES = 64_000  # of a text that training reads at most, in STRETCHES evenly spaced stretches
+STRETCHES = 16
 WINDOW = 64  # bytes; zstandard leaves literals of so short inputs as they are, so lengths differ by matches alone
 DICT_BYTES = 7600  # of each part of a dictionary
 GRAM = 6
@@ -29,19 +31,30 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, docs_a_class: int, bytes_a_class: int) -> tuple[list[tuple[bytes, int]], float]:
-    """A bounded sample of labelled texts outside the held-out quarter, in hash order, and the toxic share of all labels there. Nulls count as no label."""
+def stretches(body: Column, most: int) -> Column:
+    """A text as training reads it: whole, or ``most`` bytes of it in stretches from its begin to its end."""
+    size, n = most // STRETCHES, F.length(body)
+    begin = lambda k: (1 + k * (n - size) / (STRETCHES - 1)).cast("int")
+    return F.when(n <= most, body).otherwise(F.concat(*(F.substring(body, begin(k), F.lit(size)) for k in range(STRETCHES))))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, docs_a_class: int, bytes_a_class: int, bytes_a_text: int = TEXT_BYTES) -> tuple[list[tuple[bytes, int]], float]:
+    """A bounded sample of labelled texts outside the held-out quarter, in hash order, and the toxic share of all labels there.
+
+    Nulls count as no label. A text of more than ``bytes_a_text`` is read in stretches of that many bytes together, so no
+    text, however long, keeps others out: each class has ``bytes_a_class / bytes_a_text`` texts at least, if there are as many.
+    """
     named = labels.where(~held_out(id_col)).where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("_label")).where("_label in (0, 1)")
     hashed = named.withColumn("_order", F.xxhash64(F.col(id_col).cast("long")))
     few = [hashed.where(F.col("_label") == k).orderBy("_order", id_col).limit(docs_a_class) for k in (0, 1)]
     texts = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("_body")).withColumn("_text", F.xxhash64("_body"))
     # lengths first, so that only texts within the limits are ever moved; rows that repeat an id and text count once
     order = ["_order", id_col, "_text"]
-    sizes = texts.select(id_col, "_text", F.length("_body").alias("_bytes")).join(F.broadcast(few[0].unionByName(few[1])), id_col).distinct()
+    sizes = texts.select(id_col, "_text", F.least(F.length("_body"), F.lit(bytes_a_text)).alias("_bytes")).join(F.broadcast(few[0].unionByName(few[1])), id_col).distinct()
     sizes = [sizes.where(F.col("_label") == k).orderBy(*order).limit(docs_a_class) for k in (0, 1)]
     until = F.sum("_bytes").over(Window.partitionBy("_label").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     within = sizes[0].unionByName(sizes[1]).withColumn("_until", until).where(F.col("_until") <= bytes_a_class)
-    rows = texts.join(F.broadcast(within.select(id_col, "_text", "_label", "_order")), [id_col, "_text"]).dropDuplicates([id_col, "_text"]).select("_body", "_label", "_order", id_col)
+    rows = texts.join(F.broadcast(within.select(id_col, "_text", "_label", "_order")), [id_col, "_text"]).withColumn("_body", stretches(F.col("_body"), bytes_a_text)).dropDuplicates([id_col, "_text"]).select("_body", "_label", "_order", id_col)
     share = named.agg(F.avg("_label")).first()[0] or 0.0
     return [(bytes(r[0]).lower(), r[1]) for r in sorted(rows.collect(), key=lambda r: (r[2], r[3], bytes(r[0])))], share
 
