@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # Where a credential may begin, and key blocks, which alone go over many lines.
 LABEL = re.compile(r"(?i)\b(?:password|passcode|pin|api|access|refresh|secret|private|bearer|auth|token|ssh-|eyJ|[a-z][a-z0-9+.-]*:/)")
+IDLE_SECONDS = 600  # after which a run without events is forgotten
 KEY, KEY_END = re.compile(r"(?i)-----BEGIN [A-Z ]*PRIVATE KEY-----"), re.compile(r"(?i)-----END [A-Z ]*PRIVATE KEY-----")
 
 
@@ -69,7 +70,10 @@ def scrub_stream(parts: DataFrame, redact, longest: int = 4000) -> DataFrame:
 
 
 def evidence_registry(items: DataFrame, most: int = 40) -> DataFrame:
-    """(run_id, label, item_key): each run's different items numbered V1, V2, ... in order of arrival, ``most`` at the most."""
+    """(run_id, label, item_key): each run's different items numbered V1, V2, ... in order of arrival, ``most`` at the most.
+
+    Runs are kept for good; ``registry.registry_stream`` forgets idle ones.
+    """
 
     def number(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen = list(state.get[0]) if state.exists else []
@@ -86,22 +90,52 @@ def evidence_registry(items: DataFrame, most: int = 40) -> DataFrame:
     return items.groupBy("run_id").applyInPandasWithState(number, "run_id string, label string, item_key string", "seen array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
+LINE = re.compile(r"[^\n]*\n|[^\n]+")
 NUMBER_OR_DATE = re.compile(r"\d[\d.,:/-]*")
 
 
+def in_order(waiting: dict[int, tuple[str, bool]], nxt: int, batches: Iterator[pd.DataFrame]) -> tuple[str, bool, int]:
+    """(text, done, next part): the parts that can be read on from part ``nxt``; others stay in ``waiting``."""
+    for pdf in batches:
+        for seq, text, final in zip(pdf["seq"], pdf["text"], pdf["final"], strict=True):
+            if int(seq) >= nxt:
+                waiting[int(seq)] = (text or "", bool(final))
+    ready, done = [], False
+    while nxt in waiting and not done:
+        text, done = waiting.pop(nxt)
+        ready.append(text)
+        nxt += 1
+    return "".join(ready), done, nxt
+
+
+WAITING = "seqs array<long>, texts array<string>, finals array<boolean>, next long"
+
+
+def unpacked(state: GroupState) -> tuple[dict[int, tuple[str, bool]], int, list]:
+    """(waiting parts, next part, what else a state holds)."""
+    if not state.exists:
+        return {}, 0, []
+    seqs, texts, finals, nxt, *rest = state.get
+    return {k: (t, f) for k, t, f in zip(seqs, texts, finals, strict=True)}, nxt, rest
+
+
+def packed(waiting: dict[int, tuple[str, bool]], nxt: int, *rest) -> tuple:
+    return list(waiting), [t for t, _ in waiting.values()], [f for _, f in waiting.values()], nxt, *rest
+
+
 def held_numbers(parts: DataFrame, grounded) -> DataFrame:
     """(stream_id, text): an answer released as it comes, but from the first number on only once the whole is there and checked.
 
-    ``parts``: stream_id, seq, text, final, in order of seq within a batch. ``grounded`` is a function on the whole answer:
-    true if its numbers are. An answer that isn't grounded loses what was held; what was released holds no number.
+    ``parts``: stream_id, seq from 0, text, final; they may come in any order, and one waits for all before it. ``grounded`` is
+    a function on the whole answer: true if its numbers are. An answer that isn't grounded loses what was held; what was
+    released holds no number.
     """
 
     def feed(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        sent, held = state.get if state.exists else ("", "")
-        done, ready = False, ""
-        for pdf in batches:
-            for text, final in pdf.sort_values("seq")[["text", "final"]].itertuples(index=False):
-                held, done = held + (text or ""), done or bool(final)
+        waiting, nxt, rest = unpacked(state)
+        sent, held = rest or ("", "")
+        text, done, nxt = in_order(waiting, nxt, batches)
+        held += text
         found = NUMBER_OR_DATE.search(held)
         cut = held.rfind(" ", 0, found.start() + 1) + 1 if found else held.rfind(" ") + 1
         ready, held = held[:cut], held[cut:]
@@ -109,55 +143,61 @@ def held_numbers(parts: DataFrame, grounded) -> DataFrame:
             ready += held if not NUMBER_OR_DATE.search(held) or grounded(sent + ready + held) else ""
             state.remove()
         else:
-            state.update((sent + ready, held))
+            state.update(packed(waiting, nxt, sent + ready, held))
         yield pd.DataFrame({"stream_id": [key[0]] if ready else [], "text": [ready] if ready else []})
 
-    return parts.groupBy("stream_id").applyInPandasWithState(feed, "stream_id string, text string", "sent string, held string", "append", GroupStateTimeout.NoTimeout)
+    return parts.groupBy("stream_id").applyInPandasWithState(feed, "stream_id string, text string", f"{WAITING}, sent string, held string", "append", GroupStateTimeout.NoTimeout)
 
 
 def projected_deltas(parts: DataFrame, project) -> DataFrame:
-    """(stream_id, text): what a projection makes of an answer, in deltas that are never taken back.
+    """(stream_id, text): what a projection makes of an answer, line by line as lines end.
 
-    ``project`` is a function on a whole text, such as one that drops citation marks. Only lines that are whole are
-    projected until the answer ends; a projection that would change what was sent adds nothing.
+    ``parts`` as in ``held_numbers``. ``project`` is a function on a text that works within lines, such as one that drops
+    citation marks; each line is projected once, with its line end, and the state holds the unfinished one alone.
     """
 
     def feed(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        raw, sent = state.get if state.exists else ("", "")
-        done = False
-        for pdf in batches:
-            for text, final in pdf.sort_values("seq")[["text", "final"]].itertuples(index=False):
-                raw, done = raw + (text or ""), done or bool(final)
-        shown = project(raw if done else raw[: raw.rfind("\n") + 1])
-        ready = shown[len(sent) :] if shown.startswith(sent) else ""
+        waiting, nxt, rest = unpacked(state)
+        text, done, nxt = in_order(waiting, nxt, batches)
+        held = (rest[0] if rest else "") + text
+        cut = len(held) if done else held.rfind("\n") + 1
+        ready, held = "".join(map(project, LINE.findall(held[:cut]))), held[cut:]
         if done:
             state.remove()
         else:
-            state.update((raw, sent + ready))
+            state.update(packed(waiting, nxt, held))
         yield pd.DataFrame({"stream_id": [key[0]] if ready else [], "text": [ready] if ready else []})
 
-    return parts.groupBy("stream_id").applyInPandasWithState(feed, "stream_id string, text string", "raw string, sent string", "append", GroupStateTimeout.NoTimeout)
+    return parts.groupBy("stream_id").applyInPandasWithState(feed, "stream_id string, text string", f"{WAITING}, held string", "append", GroupStateTimeout.NoTimeout)
 
 
-def final_deltas(events: DataFrame, node: str) -> DataFrame:
+def final_deltas(events: DataFrame, node: str, at: str | None = None, late: str = "10 minutes", ttl_seconds: int = IDLE_SECONDS) -> DataFrame:
     """(run_id, seq, delta) of a run's state updates, given as whole texts so far: what each adds, from one node alone.
 
     ``events``: run_id, seq, node, text. An update that doesn't go on from the one before, or is shorter, adds nothing.
+    With a column ``at`` of event times, a run that the watermark leaves behind by ``ttl_seconds`` has ended and is forgotten.
     """
 
     def feed(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"run_id": [], "seq": [], "delta": []}).astype({"seq": "int64"})
+            return
         (seen,) = state.get if state.exists else ("",)
-        out = []
+        out, last = [], 0
         for pdf in batches:
+            last = max(last, int(pdf[at].max().timestamp() * 1000)) if at else 0
             for seq, text in pdf.sort_values("seq")[["seq", "text"]].itertuples(index=False):
                 if text and text != seen and text.startswith(seen):
                     out.append((key[0], int(seq), text[len(seen) :]))
                     seen = text
         state.update((seen,))
+        if at:
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 1000 * ttl_seconds)
         yield pd.DataFrame(out, columns=["run_id", "seq", "delta"]).astype({"seq": "int64"})
 
-    mine = events.where(F.col("node") == node)
-    return mine.groupBy("run_id").applyInPandasWithState(feed, "run_id string, seq long, delta string", "seen string", "append", GroupStateTimeout.NoTimeout)
+    mine = (events.withWatermark(at, late) if at else events).where(F.col("node") == node)
+    return mine.groupBy("run_id").applyInPandasWithState(feed, "run_id string, seq long, delta string", "seen string", "append", GroupStateTimeout.EventTimeTimeout if at else GroupStateTimeout.NoTimeout)
 
 
 def live_topics(mentions: DataFrame, days: int = 30) -> DataFrame:
