@@ -24,6 +24,14 @@ DENIALS = [
     r"(?i)\bno\s+(?:mention of|information (?:on|about)|evidence of|record of|details? (?:on|about))\s+([A-Za-z][A-Za-z' \-]{2,80}?)(?:\s*[.,;]|$)",
 ]
 
+# Words of a denial that don't tell what is denied, and words that questions and answers are made of.
+DENIAL_STOP = ["the", "a", "an", "any", "this", "that", "these", "those", "of", "on", "in", "for", "about", "and", "or", "with", "from", "its", "their"]
+META_WORDS = [
+    "topic", "topics", "document", "documents", "file", "files", "detail", "details", "information", "info", "question", "questions", "summary", "overview", "report", "reports",
+    "data", "evidence", "context", "subject", "subjects", "answer", "answers", "list", "lists", "thing", "things", "item", "items", "aspect", "aspects", "part", "parts", "section",
+    "sections", "chapter", "content", "text", "texts", "page", "pages", "line", "lines", "word", "words", "kind", "kinds", "type", "types", "sort", "sorts", "form", "forms", "example", "examples",
+]
+
 
 def cited(sources: DataFrame, url: Column, title: Column, content: Column, query: Column, vector: Column | None = None, claim: Column | None = None, run: list[str] | None = None) -> DataFrame:
     """Sources that may be cited, with relevance_score.
@@ -38,7 +46,7 @@ def cited(sources: DataFrame, url: Column, title: Column, content: Column, query
         return rows.where((F.size(content_words(query)) == 0) | F.exists(content_words(query), lambda w: F.contains(text, w))).withColumn("relevance_score", F.lit(None).cast("double"))
     scored = rows.withColumn("relevance_score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(vector, claim))), 4))
     alive = scored.groupBy(*(run or [])).agg(F.bool_or(F.col("relevance_score") > 0).alias("_alive"))
-    joined = scored.join(F.broadcast(alive), run) if run else scored.join(F.broadcast(alive))
+    joined = scored.join(alive, run) if run else scored.join(F.broadcast(alive))  # one row, if there are no runs
     return joined.where((F.col("relevance_score") >= CITED_FROM) | ~F.col("_alive")).drop("_alive")
 
 
@@ -76,10 +84,26 @@ def unattributed_numbers(answers: DataFrame, evidence: DataFrame, run: str, file
 
 
 def denied_heads(answer: Column | str) -> Column:
-    """The last word of what each sentence denies to find, in lower case."""
+    """The first telling word of what each sentence denies to find, in lower case; denials of nothing telling have none."""
     c = F.col(answer) if isinstance(answer, str) else answer
     found = reduce(F.array_union, (F.regexp_extract_all(c, F.lit(p), F.lit(1)) for p in DENIALS))
-    return F.array_distinct(F.transform(found, lambda x: F.element_at(F.split(F.trim(F.lower(x)), r"\s+"), -1)))
+    telling = lambda x: F.filter(F.regexp_extract_all(F.lower(x), F.lit("[a-z]{3,}"), F.lit(0)), lambda w: ~w.isin(DENIAL_STOP))
+    return F.array_distinct(F.filter(F.transform(found, lambda x: F.get(telling(x), F.lit(0))), lambda w: w.isNotNull()))
+
+
+def question_keywords(question: Column | str) -> Column:
+    """The words of a question that tell what it is about: five letters or more, no word about documents or answers."""
+    c = F.col(question) if isinstance(question, str) else question
+    words = F.regexp_extract_all(F.lower(c), F.lit("[a-z]{5,}"), F.lit(0))
+    return F.array_distinct(F.filter(words, lambda w: ~w.isin(DENIAL_STOP) & ~w.isin(META_WORDS)))
+
+
+def uncited_keywords(questions: DataFrame, answers: DataFrame, cited: DataFrame, run: str, text: str) -> DataFrame:
+    """(run, token): telling words of a question that an answer which denies something talks of, and no cited text of the run holds."""
+    words = lambda rows: rows.select(run, F.explode(normalized_words(text)).alias("token")).distinct()
+    asked = questions.select(run, F.explode(question_keywords(text)).alias("token")).distinct()
+    denying = answers.where(F.size(denied_heads(text)) > 0)
+    return asked.join(words(denying), [run, "token"], "left_semi").join(words(cited), [run, "token"], "left_anti")
 
 
 def false_denials(answers: DataFrame, evidence: DataFrame, run: str, file: str, text: str) -> DataFrame:

@@ -10,21 +10,20 @@ from pyspark.sql.window import Window
 def tree_paths(nodes: DataFrame, deepest: int = 200) -> DataFrame:
     """(id, ancestor, path): every node with each of its ancestors, itself included, and its path of names.
 
-    ``nodes`` has id, parent_id and name. One self-join for each level until no node has one left above; a tree deeper
-    than ``deepest``, as one with a cycle is, is an error.
+    ``nodes`` has id, parent_id and name. Jumps of 1, 2, 4, ... levels are joined until none is left, so there are as many
+    joins as the depth has binary digits; a tree deeper than about ``deepest``, as one with a cycle is, is an error.
     """
-    step = nodes.select("id", F.col("id").alias("ancestor"), F.col("name").alias("path"), F.col("parent_id").alias("_up"))
-    out = step
-    parents = nodes.select(F.col("id").alias("_up"), F.col("name").alias("_name"), F.col("parent_id").alias("_next"))
-    for _ in range(deepest):
-        step = step.join(parents, "_up").select("id", F.col("_up").alias("ancestor"), F.concat_ws("/", "_name", "path").alias("path"), F.col("_next").alias("_up"))
-        step = step.checkpoint() if step.sparkSession.sparkContext.getCheckpointDir() else step
-        if step.isEmpty():
-            break
-        out = out.unionByName(step)
-    else:
-        raise ValueError(f"nodes below themselves, or more than {deepest} levels")
-    longest = F.max_by("path", F.length("path")).over(Window.partitionBy("id"))
+    jump = nodes.where("parent_id is not null").select("id", F.col("parent_id").alias("up"), F.col("name").alias("path"))
+    jump = jump.join(nodes.select(F.col("id").alias("up")), "up", "left_semi").select("id", "up", "path")
+    out, levels = nodes.select("id", F.col("id").alias("ancestor"), F.col("name").alias("path"), F.lit(0).alias("_far")), 1
+    while not jump.isEmpty():
+        if levels > deepest:
+            raise ValueError(f"nodes below themselves, or more than {deepest} levels")
+        over = jump.select("id", F.col("up").alias("_at"), F.col("path").alias("_below"))
+        further = lambda df, at: df.withColumnRenamed("id", "_at").join(over, "_at").withColumn("path", F.concat_ws("/", "path", "_below")).select("id", at, "path", *(["_far"] if "_far" in df.columns else []))  # noqa: B023, E731
+        out = out.unionByName(further(out, "ancestor").withColumn("_far", F.col("_far") + levels))
+        jump, levels = further(jump, "up"), 2 * levels
+    longest = F.max_by("path", "_far").over(Window.partitionBy("id"))
     return out.select("id", "ancestor", longest.alias("path"))
 
 

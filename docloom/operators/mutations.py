@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 def update_from(rows: DataFrame, other: DataFrame, keys: list[str], changes: dict[str, Column], when: Column | None = None) -> DataFrame:
     """``rows`` with columns changed where ``other``, one row for each key at most, has a match that ``when`` holds for.
 
-    Changes and ``when`` may name columns of both sides; names that ``rows`` has are its own.
+    Changes and ``when`` may name columns of both sides; names that ``rows`` has are its own, and a column of ``other`` that
+    ``rows`` has too, but for keys, can't be named.
     """
-    named = other.select(*keys, *(F.col(c) for c in other.columns if c not in rows.columns)).withColumn("_match", F.lit(True))
+    match = "_match"
+    while match in rows.columns or match in other.columns:
+        match = f"_{match}"
+    named = other.select(*keys, *(F.col(c) for c in other.columns if c not in rows.columns)).withColumn(match, F.lit(True))
     joined = rows.join(named, keys, "left")
-    hit = F.coalesce(F.col("_match") & (when if when is not None else F.lit(True)), F.lit(False))
+    hit = F.coalesce(F.col(match) & (when if when is not None else F.lit(True)), F.lit(False))
     return joined.select(*(F.when(hit, changes[c]).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in rows.columns))
 
 
@@ -54,6 +58,32 @@ def trashed(files: DataFrame, tree: DataFrame, top: int) -> DataFrame:
     return update_from(files, under, ["folder_id"], {"status": status, "is_deleted": F.lit(True)})
 
 
+def restored(files: DataFrame, tree: DataFrame, top: int) -> tuple[DataFrame, DataFrame]:
+    """(files, jobs) after a folder's subtree comes back from the trash.
+
+    Files that are ready as they were need nothing; granted ones without a current revision are queued again, a new revision
+    each, with a row of jobs (file_id, revision, state, attempts); files without access come back without any.
+    """
+    under = tree.where(F.col("ancestor") == top).select(F.col("id").alias("folder_id")).distinct()
+    again = files.join(under, "folder_id", "left_semi").where(F.col("is_deleted") & F.col("granted") & F.col("current_revision").isNull())
+    jobs = again.select("file_id", (F.coalesce("desired_revision", F.lit(0)) + 1).alias("revision"), F.lit("queued").alias("state"), F.lit(0).alias("attempts"))
+    waits = F.col("granted") & F.col("current_revision").isNull()
+    status = F.when(~F.col("granted"), "not_granted").when(F.col("current_revision").isNotNull(), "ready").otherwise("queued")
+    changes = {"status": status, "is_deleted": F.lit(False), "desired_revision": F.when(waits, F.coalesce("desired_revision", F.lit(0)) + 1).otherwise(F.col("desired_revision"))}
+    return update_from(files, under, ["folder_id"], changes, F.col("is_deleted")), jobs
+
+
+def finished(jobs: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """Running jobs that ``done`` (keys, lease_owner, error_code) reports on as succeeded or failed, if the report holds the lease.
+
+    A report of an older owner changes nothing; cancelled jobs stay cancelled.
+    """
+    reports = done.withColumnsRenamed({"lease_owner": "_owner", "error_code": "_error"})
+    failed = F.col("_error").isNotNull()
+    changes = {"state": F.when(failed, "failed").otherwise("succeeded"), "error_code": F.col("_error"), "lease_owner": F.lit(None)}
+    return update_from(jobs, reports, keys, changes, (F.col("state") == "running") & F.col("cancelled_at").isNull() & (F.col("lease_owner") == F.col("_owner")))
+
+
 def with_scope(chats: DataFrame, files: Column, column: str = "scope") -> DataFrame:
     """A map column with its key ``files`` set, others kept; a null map counts as empty."""
     old = F.coalesce(F.col(column), F.create_map().cast("map<string,string>"))
@@ -65,7 +95,7 @@ def swap_embeddings(chunks: DataFrame, fresh: DataFrame, key: str, dim: int, col
 
     The check is one aggregate; nothing is swapped in part.
     """
-    ok = (F.size(column) == dim) & F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x))
+    ok = (F.size(column) == dim) & F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     found = fresh.groupBy(key).agg(F.count("*").alias("n"), F.bool_and(F.coalesce(ok, F.lit(False))).alias("ok"))
     bad = chunks.select(key).distinct().join(found, key, "left").where(~(F.coalesce("ok", F.lit(False)) & (F.col("n") == 1)))
     if not bad.isEmpty():

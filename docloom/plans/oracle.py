@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from docloom.functions.questions import STOP
-from docloom.functions.text import ENTRY_BODY, ENTRY_TITLE, FURNITURE, KEY_NAMES, PROMO_TITLES, PROMO_URL_PARTS, SECRET_LABELS
+from docloom.functions.text import ENTRY_BODY, ENTRY_TITLE, FURNITURE, PROMO_TITLES, PROMO_URL_PARTS, SECRET_LABELS
 from docloom.plans.queries import HINTS, PHRASE, RARE, STATES
 
 WORDS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{M}}\p{{N}}+#]+'), lambda w: w <> '')"
@@ -22,7 +22,7 @@ def plural_stem(w: str) -> str:
 
 
 def redacted(quoted_too: bool) -> str:
-    keys = f"(?:{KEY_NAMES})-----"
+    keys = "(?:PRIVATE KEY|RSA PRIVATE KEY|OPENSSH PRIVATE KEY|DSA PRIVATE KEY|EC PRIVATE KEY)-----"
     steps = [
         (rf"(?is)-----BEGIN {keys}.*?-----END {keys}", "[REDACTED]"),
         (r"(?im)^.*\bssh-(?:rsa|ed25519|ecdsa|dss)\s+[A-Za-z0-9+/=]+.*$", "[REDACTED]"),

@@ -64,11 +64,9 @@ def about_me(spark: SparkSession, d: str) -> DataFrame:
 def uncited_keywords(spark: SparkSession, d: str) -> DataFrame:
     """Question words that a denying answer talks of and no cited text of its run holds."""
     turns = read(spark, d, "conversations")
-    asked = turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("q")).select("conv_id", F.explode(F.array_distinct(F.filter(text.normalized_words("q"), lambda w: F.length(w) >= 4))).alias("token"))
+    asked = turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
     said = turns.where("role = 'assistant' and conv_id % 2 = 0").withColumn("text", F.concat(F.lit("The rain is not mentioned. "), "text"))
-    denying = said.where(F.size(answers.denied_heads("text")) > 0).select("conv_id", F.explode(text.normalized_words("text")).alias("token")).distinct()
-    cited = turns.where("role = 'user' and turn > 1").select("conv_id", F.explode(text.normalized_words("text")).alias("token")).distinct()
-    return asked.join(denying, ["conv_id", "token"], "left_semi").join(cited, ["conv_id", "token"], "left_anti")
+    return answers.uncited_keywords(asked, said, turns.where("role = 'user' and turn > 1"), "conv_id", "text")
 
 
 def recovery_manifest(spark: SparkSession, d: str) -> DataFrame:
@@ -118,7 +116,7 @@ WITH k AS (SELECT DISTINCT user_id, event_type, floor(value)::BIGINT::VARCHAR AS
 g AS (SELECT user_id, event_type, list(v ORDER BY v) AS l FROM f GROUP BY ALL), t AS (SELECT *, CASE len(l) WHEN 1 THEN l[1] WHEN 2 THEN l[1] || ' and ' || l[2] ELSE l[1] || ', ' || l[2] || ', and ' || l[3] END AS t FROM g)
 SELECT user_id, event_type, CASE event_type WHEN 'view' THEN 'You like ' WHEN 'signup' THEN 'You go by ' ELSE 'You mentioned ' END || t || '.' AS sentence FROM t""",
     "uncited_keywords": f"""
-WITH f AS (SELECT conv_id, arg_min(text, turn) AS q FROM conversations GROUP BY conv_id), a AS (SELECT conv_id, unnest(list_distinct(list_filter({W.format('q')}, lambda w: length(w) >= 4))) AS token FROM f),
+WITH f AS (SELECT conv_id, arg_min(text, turn) AS q FROM conversations GROUP BY conv_id), a AS (SELECT conv_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(q), '[a-z]{{5,}}'), lambda w: NOT list_contains([{", ".join(f"'{w}'" for w in answers.DENIAL_STOP + answers.META_WORDS)}], w)))) AS token FROM f),
 s AS (SELECT DISTINCT conv_id, unnest({W.format("('The rain is not mentioned. ' || text)")}) AS token FROM conversations WHERE role = 'assistant' AND conv_id % 2 = 0), c AS (SELECT DISTINCT conv_id, unnest({W.format('text')}) AS token FROM conversations WHERE role = 'user' AND turn > 1)
 SELECT conv_id, token FROM a WHERE (conv_id, token) IN (SELECT (conv_id, token) FROM s) AND (conv_id, token) NOT IN (SELECT (conv_id, token) FROM c)""",
     "recovery_manifest": " UNION ALL ".join(DIGEST.format(t, c) for t, c in (("orders", "o_orderkey, o_custkey, o_orderstatus"), ("customer", "c_custkey, c_name"), ("pages", "page_id, url"))),

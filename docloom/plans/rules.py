@@ -221,7 +221,7 @@ W = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{M}}\p{{N}}+#]+'),
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in rules.QUERY_STOP) + "]"
 CONTENT = rf"list_filter(regexp_extract_all(lower({{}}), '[\p{{{{L}}}}\p{{{{N}}}}_''-]+'), lambda w: length(w) >= 3 AND NOT list_contains({STOP_SQL}, w))"
 LEAD_SQL = rules.QUESTION_LEAD.replace(r"\b", r"(?:[^\p{L}\p{N}_]|$)")  # RE2 sees boundaries of ASCII words only
-REFUSALS_SQL = rules.REFUSALS.replace("'", "''")
+REFUSALS_SQL = "(?i)" + "|".join(rules.REFUSALS).replace("'", "''")
 
 
 def shape_sql(c: str) -> str:
@@ -232,11 +232,17 @@ def shape_sql(c: str) -> str:
 ASKED = f"CASE WHEN turn % 2 = 0 THEN {nth_sql(QUESTIONS, 'conv_id')} ELSE text END"
 HOST = r"regexp_replace(lower(regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\.', '')"
 VERDICT = (
-    f"CASE WHEN {HOST} IN ({', '.join(repr(h) for h in rules.NO_CONTENT_HOSTS)}) THEN 'blocklist' WHEN regexp_matches({{0}}, '{rules.SHARING_PATHS}') OR (regexp_matches({{0}}, '{rules.SHOP_PATHS}')"
+    f"CASE WHEN {HOST} IN ({', '.join(repr(h) for h in rules.NO_CONTENT_HOSTS)}) THEN 'blocklist' WHEN regexp_matches({{0}}, '(?i){'|'.join(rules.SHARING_PATHS).replace('{', '{{').replace('}', '}}')}') OR (regexp_matches({{0}}, '(?i){rules.SHOP_PATHS}')"
     f" AND NOT regexp_matches({HOST}, '(^|\\.)({'|'.join(s.replace('.', chr(92) + '.') for s in rules.STORES)})$')) THEN 'suspicious' ELSE 'keep' END"
 )
 SCRIPT_ROWS = ", ".join(f"{{'n': len(regexp_extract_all(text, '\\p{{{s.title()}}}')), 'script': '{s}'}}" for s in rules.SCRIPTS)
-KIND_SQL = f"CASE WHEN regexp_matches(said, '{rules.PURCHASE_ORDER}') THEN 'purchase_order' WHEN regexp_matches(said, '{rules.DECK}') THEN 'presentation' WHEN regexp_matches(said, '{rules.REPORT}') AND NOT regexp_matches(said, '(?i)\\b(?:button|click|dashboard|generate|menu|select)\\b') THEN 'report' END"
+# A report's cue at p counts if the 50 characters on both sides hold no word of a menu.
+REPORT_AT = "regexp_extract(said[p + 1:], '(?i)^(?:annual|business|financial|inspection|progress|status|technical)\\s+report\\b')"
+KIND_SQL = (
+    f"CASE WHEN regexp_matches(said, '{rules.PURCHASE_ORDER}') THEN 'purchase_order' WHEN regexp_matches(said, '{rules.DECK}') THEN 'presentation'"
+    f" WHEN regexp_matches(said, '{rules.REPORT}') AND len(list_filter(range(length(said)), lambda p: {REPORT_AT} <> '' AND (p = 0 OR NOT regexp_matches(said[p:p], '\\w'))"
+    f" AND NOT regexp_matches(said[greatest(p - 50, 0) + 1:p + length({REPORT_AT}) + 50], '(?i)\\b(?:button|click|dashboard|generate|menu|select)\\b'))) > 0 THEN 'report' END"
+)
 
 ORACLE_SQL = {
     "rewrite_stems": f"WITH w AS (SELECT DISTINCT unnest({W.format('text')}) AS w FROM documents) SELECT w, CASE WHEN length(w) > 4 AND w LIKE '%ies' THEN w[:-4] || 'y' WHEN length(w) > 4 AND w LIKE '%s' THEN w[:-2] ELSE w END AS stem FROM w",

@@ -51,6 +51,14 @@ def layout_elements(pages: DataFrame, id_col: str = "doc_id", json_col: str = "l
     element, `Header: value | ...`. What is no object, and JSON that can't be read, gives no elements.
     """
 
+    def positive(value: object) -> int | None:
+        """A whole number of 1 or more, also if given as text; else None."""
+        try:
+            n = int(value)  # type: ignore[call-overload]
+        except (TypeError, ValueError, OverflowError):
+            return None
+        return n if n >= 1 else None
+
     def text_of(node: object) -> str:
         if isinstance(node, dict):
             own = node.get("content")
@@ -60,15 +68,15 @@ def layout_elements(pages: DataFrame, id_col: str = "doc_id", json_col: str = "l
 
     def row_cells(row: dict) -> list[str]:
         out: list[str] = []
-        for cell in row.get("cells") or []:
-            column, span = cell.get("column number") or len(out) + 1, cell.get("column span") or 1
-            out += [""] * (column - 1 - len(out)) + [text_of(cell)] * max(1, span)
+        for cell in (x for x in row.get("cells") or [] if isinstance(x, dict)):
+            column, span = positive(cell.get("column number")) or len(out) + 1, positive(cell.get("column span")) or 1
+            out += [""] * (column - 1 - len(out)) + [text_of(cell)] * span
         return out
 
     def walk(node: object, path: list[str], page: int | None) -> Iterator[tuple]:
         if not isinstance(node, dict):
             return
-        page = node.get("page number") or page
+        page = positive(node.get("page number")) or page
         kind = node.get("type")
         if kind == "table":
             rows = [row_cells(r) for r in node.get("rows") or [] if isinstance(r, dict)]
@@ -77,7 +85,7 @@ def layout_elements(pages: DataFrame, id_col: str = "doc_id", json_col: str = "l
                 yield ("table_row", 0, " | ".join(named), page, " > ".join(path))
             return
         if kind == "heading":
-            level, text = max(1, int(node.get("heading level") or 1)), text_of(node)
+            level, text = positive(node.get("heading level")) or 1, text_of(node)
             path[level - 1 :] = [text]
             yield ("heading", level, text, page, " > ".join(path))
             return
