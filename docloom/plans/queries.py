@@ -198,8 +198,7 @@ def doc_classify(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ngram_topics(spark: SparkSession, d: str) -> DataFrame:
-    lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    found = evidence.ranked_topics(evidence.ngram_topics(lines, "doc_id", "line", "body"), "doc_id")
+    found = evidence.ranked_topics(evidence.document_topics(read(spark, d, "documents"), "doc_id", "text"), "doc_id")
     return found.withColumn("width", F.col("width").cast("long"))
 
 

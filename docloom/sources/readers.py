@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions.unicode import decoded_text
+
 # Parsers by media type, then by extension.
 BY_MEDIA = {"application/pdf": "pdf", "text/plain": "text", "text/markdown": "text", "text/csv": "table", "text/html": "html", "image/png": "image", "image/jpeg": "image", "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "office"}
 BY_EXTENSION = {"pdf": "pdf", "txt": "text", "md": "text", "csv": "table", "html": "html", "htm": "html", "png": "image", "jpg": "image", "jpeg": "image", "docx": "office", "xlsx": "office", "pptx": "office"}
@@ -140,6 +142,6 @@ def table_rows(spark: SparkSession, path: str, schema: str, header: bool = True)
 
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of text files, decoded as UTF-8 with a byte order mark dropped."""
+    """(path, text, encoding) of text files, read by byte order mark, as UTF-8 or as cp1252; null where none of them fits."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "").alias("text"))
+    return files.select("path", decoded_text("content").alias("_found")).select("path", "_found.text", "_found.encoding")
