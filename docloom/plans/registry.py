@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.plans import changes, oracle, queries, replies, rules, search, spellings, streams, unicodes
+from docloom.plans import changes, oracle, queries, replies, rules, search, short_forms, spellings, streams, unicodes
 
-QUERIES = queries.QUERIES | rules.QUERIES | changes.QUERIES | replies.QUERIES | search.QUERIES | spellings.QUERIES | streams.QUERIES | unicodes.QUERIES
-ORACLE_SQL = oracle.ORACLE_SQL | rules.ORACLE_SQL | changes.ORACLE_SQL | replies.ORACLE_SQL | search.ORACLE_SQL | spellings.ORACLE_SQL | streams.ORACLE_SQL | unicodes.ORACLE_SQL
+QUERIES = queries.QUERIES | rules.QUERIES | changes.QUERIES | replies.QUERIES | search.QUERIES | short_forms.QUERIES | spellings.QUERIES | streams.QUERIES | unicodes.QUERIES
+ORACLE_SQL = oracle.ORACLE_SQL | rules.ORACLE_SQL | changes.ORACLE_SQL | replies.ORACLE_SQL | search.ORACLE_SQL | short_forms.ORACLE_SQL | spellings.ORACLE_SQL | streams.ORACLE_SQL | unicodes.ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
