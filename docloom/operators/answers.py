@@ -83,12 +83,23 @@ def unattributed_numbers(answers: DataFrame, evidence: DataFrame, run: str, file
     return known.join(owned.select(run, "_sid", "token").distinct(), [run, "_sid", "token"], "left_anti").select(run, F.col("token").alias("number")).distinct()
 
 
-def denied_heads(answer: Column | str) -> Column:
-    """The first telling word of what each sentence denies to find, in lower case; denials of nothing telling have none."""
+def denials(answer: Column | str) -> Column:
     c = F.col(answer) if isinstance(answer, str) else answer
-    found = reduce(F.array_union, (F.regexp_extract_all(c, F.lit(p), F.lit(1)) for p in DENIALS))
+    return reduce(F.array_union, (F.regexp_extract_all(c, F.lit(p), F.lit(1)) for p in DENIALS))
+
+
+def denied_heads(answer: Column | str) -> Column:
+    """The last word of what each sentence denies to find, in lower case."""
+    return F.array_distinct(F.transform(denials(answer), lambda x: F.element_at(F.split(F.trim(F.lower(x)), r"\s+"), -1)))
+
+
+def denied_subjects(answer: Column | str) -> Column:
+    """The first telling word of what each sentence denies to find, in lower case; denials of nothing telling have none.
+
+    What an answer denies is checked by these: `the seller on the invoice` is about the seller.
+    """
     telling = lambda x: F.filter(F.regexp_extract_all(F.lower(x), F.lit("[a-z]{3,}"), F.lit(0)), lambda w: ~w.isin(DENIAL_STOP))
-    return F.array_distinct(F.filter(F.transform(found, lambda x: F.get(telling(x), F.lit(0))), lambda w: w.isNotNull()))
+    return F.array_distinct(F.filter(F.transform(denials(answer), lambda x: F.get(telling(x), F.lit(0))), lambda w: w.isNotNull()))
 
 
 def question_keywords(question: Column | str) -> Column:
@@ -102,14 +113,14 @@ def uncited_keywords(questions: DataFrame, answers: DataFrame, cited: DataFrame,
     """(run, token): telling words of a question that an answer which denies something talks of, and no cited text of the run holds."""
     words = lambda rows: rows.select(run, F.explode(normalized_words(text)).alias("token")).distinct()
     asked = questions.select(run, F.explode(question_keywords(text)).alias("token")).distinct()
-    denying = answers.where(F.size(denied_heads(text)) > 0)
+    denying = answers.where(F.size(denied_subjects(text)) > 0)
     return asked.join(words(denying), [run, "token"], "left_semi").join(words(cited), [run, "token"], "left_anti")
 
 
 def false_denials(answers: DataFrame, evidence: DataFrame, run: str, file: str, text: str) -> DataFrame:
     """(run, head) of answers that deny what their evidence, of two files or more, holds."""
     several = evidence.groupBy(run).agg(F.countDistinct(file).alias("_n")).where("_n > 1").select(run)
-    denied = answers.select(run, F.explode(denied_heads(text)).alias("token")).distinct()
+    denied = answers.select(run, F.explode(denied_subjects(text)).alias("token")).distinct()
     return denied.join(tokens_by(evidence, [run], text), [run, "token"], "left_semi").join(several, run, "left_semi").withColumnRenamed("token", "head")
 
 

@@ -67,7 +67,7 @@ def test_public_addresses_of_both_kinds(spark, address, public):
     [("The seller on the invoice is not mentioned.", ["seller"]), ("This is not mentioned.", []), ("There is no information about the GDP of Qatar.", ["gdp"]), ("I cannot find the total in the file", ["total"]), ("All fine.", [])],
 )
 def test_denials_name_the_first_telling_word(spark, text, heads):
-    assert value(spark, answers.denied_heads(F.lit(text))) == heads
+    assert value(spark, answers.denied_subjects(F.lit(text))) == heads
 
 
 def test_question_keywords(spark):
