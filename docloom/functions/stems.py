@@ -26,6 +26,14 @@ TWO_SYLLABLES = "^[^aeiouy]*[aeiouy]+[^aeiouy]+[aeiouy]+[^aeiouy]"
 LEADING = 2  # letters at the begin of a word that its stem surely has too
 
 
+def sure_begin(term: str) -> str:
+    """What every word begins with whose stem is ``term``: the stem, without what the rules may have put at its end (e, i, ble)."""
+    if len(term) <= LEADING:
+        return term
+    kept = max((k for k in ("ble", "bl") if term.endswith(k)), key=len, default="")
+    return term[: len(term) - len(kept) + 1] if kept else term[:-1] if term[-1] in "ei" else term
+
+
 def _ending(w: Column, size: int) -> Column:
     return F.left(w, F.length(w) - size)
 

@@ -8,14 +8,16 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.functions.stems import LEADING, SEARCH_STOP, stem
+from docloom.functions.stems import LEADING, SEARCH_STOP, stem, sure_begin
 
 BUCKETS = 64
+FEW = 64  # terms that are looked for in a text one by one
 COVER_WEIGHT = 0.1  # of a cover without any other word in it
 WORD = r"[\p{L}\p{M}\p{N}_]+"
 
@@ -65,13 +67,24 @@ def search_table(spark: SparkSession, queries: dict[str, str]) -> DataFrame:
 
 
 def word_positions(docs: DataFrame, key: str, text: Column, asked: list[str] | None = None) -> DataFrame:
-    """(term, key, pos) of each word; of asked terms alone, if given, which are told by their first letters before any stemming."""
+    """(term, key, pos) of each word; of asked terms alone, if given, which are told by what their words begin with before any stemming.
+
+    A text that holds none of these beginnings is not taken apart, unless more terms are asked for than are worth a look each.
+    """
+    told = None
+    if asked is not None and len(asked) <= FEW:
+        begins = sorted({sure_begin(t) for t in asked})
+        begins = [b for b in begins if not any(b != x and b.startswith(x) for x in begins)]
+        of = lambda hits: reduce(lambda a, b: a | b, hits, F.lit(False))
+        docs = docs.where(F.exists(F.array(F.lower(text)), lambda t: of(t.contains(b) for b in begins)))
+        told = of(F.col("word").startswith(b) for b in begins)
+    elif asked is not None:
+        told = F.left("word", F.lit(LEADING)).isin(sorted({t[:LEADING] for t in asked}))
     words = docs.select(F.col(key), F.posexplode(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))).alias("pos", "word"))
-    if asked is not None:
-        heads = sorted({t[:LEADING] for t in asked})
-        words = words.where(F.left("word", F.lit(LEADING)).isin(heads))
-    found = words.select(stem("word").alias("term"), key, "pos")
-    return found if asked is None else found.where(F.col("term").isin(sorted(asked)))
+    if told is None:
+        return words.select(stem("word").alias("term"), key, "pos")
+    # Spark works out what several conditions share before any of them, so the stem itself waits for what tells its words.
+    return words.where(told).select(F.when(told, stem("word")).alias("term"), key, "pos").where(F.col("term").isin(sorted(asked)))
 
 
 def build_index(docs: DataFrame, key: str, text: Column, asked: list[str] | None = None) -> DataFrame:

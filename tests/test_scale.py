@@ -6,7 +6,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import answers
+from docloom.functions.stems import DOUBLED, DROPPED, REPLACED, REPLACED_NEXT, stem, sure_begin
+from docloom.operators import answers, lexical
 
 
 def most_rows(df):
@@ -55,3 +56,29 @@ def test_a_word_of_all_items_pairs_nothing(spark):
     found = answers.supported_relations(asked, shown, "run", "id", "text")
     assert most_rows(found) <= 10 * n
     assert found.count() == n - 500
+
+
+def test_texts_without_asked_words_are_not_taken_apart(spark):
+    docs = spark.range(200).select("id", F.when(F.col("id") == 7, F.repeat(F.lit("x licenses "), 3)).otherwise(F.repeat(F.lit("listed lines "), 100)).alias("text"))
+    index = lexical.build_index(docs, "id", F.col("text"), ["licens"])
+    assert most_rows(index) <= 200
+    assert [tuple(r) for r in index.collect()] == [("licens", 7, [1, 3, 5])]
+
+
+def test_words_begin_with_the_sure_begin_of_their_stem(spark, sf_dir):
+    rng = random.Random(5)
+    endings = [*REPLACED, *REPLACED_NEXT, *DROPPED, *DOUBLED, "ing", "ed", "eed", "s", "sses", "ies", "y", "ion", "sion", "tion", "e", "bly", "bilities", "ating", "bling", "izing", "ably", "ency", "le", "l", "ly", ""]
+    made = {"".join(rng.choice("abeilnrstuyz") for _ in range(rng.randint(0, 5))) + rng.choice(endings) + rng.choice(endings) for _ in range(6000)}
+    words = spark.createDataFrame([(w,) for w in made if w], "word string").union(lexical.word_positions(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", F.col("text")).select("term").distinct())
+    bad = [(w, t) for w, t in words.select("word", stem("word")).collect() if not w.startswith(sure_begin(t))]
+    assert bad == []
+
+
+def test_many_asked_terms_find_what_few_do(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Abilities, ably; ponies"), (2, "happiness relating"), (3, None), (4, "none")], "id long, text string")
+    asked = ["abl", "abili", "poni", "happi", "relat", "relate"]
+    found = lambda: sorted(map(tuple, lexical.word_positions(docs, "id", F.col("text"), asked).collect()))
+    few = found()
+    monkeypatch.setattr(lexical, "FEW", 0)
+    assert few == found() == sorted(tuple(r) for r in lexical.word_positions(docs, "id", F.col("text")).where(F.col("term").isin(asked)).collect())
+    assert len(few) >= 3
