@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -16,20 +15,18 @@ CP1252 = "€ ‚ƒ„…†‡ˆ‰Š‹Œ Ž  ‘’“”•–—˜™š›
 MAY_COMPOSE = r"[^\x{0000}-\x{02FF}]"  # characters below are composed already and never join one before them
 
 
-@F.pandas_udf(StringType())
-def _composed(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t))
+# Texts are long: these go to Python by the hundred, as rows, so what a worker holds does not grow with its partition.
+@F.udf(StringType(), useArrow=False)
+def _composed(text: str | None) -> str | None:
+    return None if text is None else unicodedata.normalize("NFC", text)
 
 
-@F.pandas_udf(StringType())
-def _utf16(contents: pd.Series) -> pd.Series:
-    def text(data: bytes | None) -> str | None:
-        try:
-            return None if data is None else data.decode("utf-16")
-        except UnicodeDecodeError:
-            return None
-
-    return contents.map(text)
+@F.udf(StringType(), useArrow=False)
+def _utf16(data: bytes | None) -> str | None:
+    try:
+        return None if data is None else data.decode("utf-16")
+    except UnicodeDecodeError:
+        return None
 
 
 def nfc(c: Column | str) -> Column:

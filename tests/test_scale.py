@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from docloom.functions import unicode
 from docloom.functions.stems import DOUBLED, DROPPED, REPLACED, REPLACED_NEXT, stem, sure_begin
 from docloom.operators import answers, lexical
 
@@ -82,3 +83,14 @@ def test_many_asked_terms_find_what_few_do(spark, monkeypatch):
     monkeypatch.setattr(lexical, "FEW", 0)
     assert few == found() == sorted(tuple(r) for r in lexical.word_positions(docs, "id", F.col("text")).where(F.col("term").isin(asked)).collect())
     assert len(few) >= 3
+
+
+def test_long_texts_go_to_python_by_rows(spark):
+    docs = spark.createDataFrame([("a\u0308" * 5000,), ("plain",), (None,)], "text string")
+    composed = docs.select(unicode.nfc("text").alias("t"))
+    decoded = docs.select(unicode.decoded_text(F.encode("text", "UTF-16"))["text"].alias("t"))
+    for df in (composed, decoded):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    assert [r[0] for r in composed.collect()] == ["\u00e4" * 5000, "plain", None]
+    assert [r[0] for r in decoded.collect()] == ["a\u0308" * 5000, "plain", None]
