@@ -3,26 +3,23 @@
 from __future__ import annotations
 
 import heapq
-import re
-from collections.abc import Iterator
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-SLICE = 1 << 18  # characters that are split into words and merged at a time
+SLICE = 1 << 20  # bytes of text, or ids, that are taken apart at a time
 WORDS_KEPT = 300_000  # words whose ids a Python worker remembers, and as many older ones
-KEPT_CHARS = 40  # of a word that is remembered, at most
-LONG = 400  # symbols of a word from which a queue merges it: rounds over it would each merge little
+KEPT_BYTES = 40  # of a word that is remembered, at most
+LONG = 400  # bytes of a word from which a queue merges it: rounds over it would each merge little
 NONE = np.int32(np.iinfo(np.int32).max)  # the rank of a pair that makes no piece
 MIX = np.uint64(0x9E3779B97F4A7C15)  # the golden ratio's bits
 
-_WORD = re.compile(f"{SPACE}*[^{SPACE}]*", re.DOTALL)
-_LATER_WORD = re.compile("(?<! ) ")
-
 
 class Pieces:
     """A model's vocabulary as arrays: what each pair of symbols makes and at what rank, and the bytes of each id.
@@ -55,7 +52,7 @@ class Pieces:
         pairs = [(self.symbols[a] * self.width + self.symbols[b], order[sp.get_score(i)], i) for i, name in names.items() for k in range(1, len(name)) if (a := name[:k]) in self.symbols and (b := name[k:]) in self.symbols]
         self.keep_pairs(*(np.array(x, t) for x, t in zip(zip(*pairs, strict=True), (np.int64, np.int32, np.int32), strict=True)))
         self.inside = {name[k : k + 2] for name in names.values() for k in range(len(name) - 1)}
-        self.crosses = any(c != SPACE and d == SPACE for c, d in self.inside)
+        self.joined = joined_bytes(names.values())
         self.out = [b""] * n
         for i, name in names.items():
             self.out[i] = name.replace(SPACE, " ").encode()
@@ -64,6 +61,8 @@ class Pieces:
         self.out[sp.unk_id()] = sp.decode([sp.unk_id()]).encode()
         self.silent = [i for i in range(n) if sp.is_control(i)]
         self.leads = {i for i, name in names.items() if name.startswith(SPACE)}
+        self.quiet = np.isin(np.arange(n), self.silent)
+        self.said = pa.array([*self.out, *(x[1 if i in self.leads else 0 :] for i, x in enumerate(self.out))], pa.large_binary())  # and from n on, as first piece
         self.n = n
 
     def keep_pairs(self, keys: np.ndarray, ranks: np.ndarray, made: np.ndarray) -> None:
@@ -96,9 +95,9 @@ class Pieces:
         there = (self.keys[at] == key) & (key >= 0)
         return np.where(there, self.ranks[at], NONE), np.where(there, self.made[at], np.int32(-1))
 
-    def characters(self, words: list[str]) -> np.ndarray:
-        """Symbols of all words in a row; a character that no piece holds is -1 - code point."""
-        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int32)
+    def characters(self, words: bytes) -> np.ndarray:
+        """Symbols of a text; a character that no piece holds is -1 - code point."""
+        code = np.frombuffer(shown(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int32)
         found = self.by_code[code]
         return np.where(found >= 0, found, -1 - code)
 
@@ -117,6 +116,16 @@ class Pieces:
         return out.astype("<u4").tobytes(), 4 * np.concatenate([[0], upto])[ends]
 
 
+def joined_bytes(names: Iterable[str]) -> np.ndarray:
+    """Whether no word may be cut between two bytes, at 256 * first + second: a piece has them side by side, or the second goes on a character."""
+    joined = np.zeros((256, 256), bool)
+    for name in names:
+        data = np.frombuffer(name.replace(SPACE, " ").encode(), np.uint8)
+        joined[data[:-1], data[1:]] = True
+    joined[:, 0x80:0xC0] = True
+    return joined.ravel()
+
+
 def merge_rounds(sym: np.ndarray, sizes: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """The symbols of words after all merges, and how many each word has; words of ``sizes`` symbols lie in a row in ``sym``.
 
@@ -216,96 +225,134 @@ class Codec:
 
     def __init__(self, path: str):
         self.pieces = Pieces(path)
-        self.kept: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def words(self, text: str) -> list[str]:
-        """A shown text (spaces as U+2581), cut where no piece of the model reaches across."""
-        if self.pieces.crosses:
-            return self.cut(text)
-        found = _WORD.findall(text)
-        if max(map(len, found)) > KEPT_CHARS:
-            return [x for w in found for x in (self.cut(w) if len(w) > KEPT_CHARS else (w,))]
-        return found
-
-    def cut(self, word: str) -> list[str]:
-        inside = self.pieces.inside
-        at = [0, *(k + 1 for k in range(len(word) - 1) if word[k : k + 2] not in inside), len(word)]
-        return [word[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-
-    def learn(self, words: list[str]) -> dict[str, bytes]:
+        self.kept: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def cut(self, word: bytes) -> list[bytes]:
+        """A word cut where no piece has both characters side by side; bytes alone don't tell that of all."""
+        text, inside = shown(word), self.pieces.inside
+        at = [0, *(k + 1 for k in range(len(text) - 1) if text[k : k + 2] not in inside), len(text)]
+        return [text[a:b].replace(SPACE, " ").encode("utf-8", "surrogatepass") for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of words, all merged together."""
-        long = [w for w in words if len(w) > LONG]
-        short = [w for w in words if len(w) <= LONG] if long else words
-        parts = [merge_rounds(self.pieces.characters(short), np.fromiter(map(len, short), np.int64, len(short)), self.pieces)]
+        long, short = [w for w in words if len(w) > LONG], [w for w in words if len(w) <= LONG]
+        parts = []
+        if short:
+            data = b"".join(short)
+            starts = np.cumsum([0, *map(len, short[:-1])])
+            begins = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80  # of characters
+            parts.append(merge_rounds(self.pieces.characters(data), np.add.reduceat(begins, starts, dtype=np.int64), self.pieces))
         for w in long:
-            sym = merge_queue(self.pieces.characters([w]).tolist(), self.pieces)
+            sym = merge_queue(self.pieces.characters(w).tolist(), self.pieces)
             parts.append((np.array(sym, np.int32), np.array([len(sym)])))
         flat, ends = self.pieces.ids(*(np.concatenate(x) for x in zip(*parts, strict=True)))
         ends = ends.tolist()
         return {w: flat[a:b] for w, a, b in zip([*short, *long], [0, *ends], ends, strict=False)}
 
-    def slices(self, text: str) -> Iterator[str]:
-        """The shown text in stretches of about SLICE characters, cut before a space after none."""
-        at = 0
-        while at < len(text):
-            end = len(text)
-            if end - at > SLICE and not self.pieces.crosses:
-                cut = _LATER_WORD.search(text, at + SLICE)
-                end = cut.start() if cut else end
-            yield (SPACE if at == 0 else "") + text[at:end].replace(" ", SPACE)
-            at = end
-
     def encode(self, texts: list[str], bos: bool, eos: bool) -> list[bytes]:
-        out = [bytearray() for _ in texts]
-        todo: list[tuple[int, list[str]]] = []
-        held = 0
-        for k, text in enumerate(texts):
-            for part in self.slices(text):
-                todo.append((k, self.words(part)))
-                held += len(part)
-                if held >= SLICE:
-                    held = self.put(todo, out)
-        self.put(todo, out)
         head, tail = (np.array([x] * on, "<u4").tobytes() for x, on in ((self.pieces.bos, bos), (self.pieces.eos, eos)))
-        return [head + bytes(x) + tail for x in out]
-
-    def put(self, todo: list[tuple[int, list[str]]], out: list[bytearray]) -> int:
-        """Appends the ids of each text's words. Words met again lately are remembered: in two halves, of which the older goes."""
-        known = [list(map(self.kept.get, ws)) for _, ws in todo]
-        gaps = [holes(ids) for ids in known]
-        missing = {ws[i] for (_, ws), at in zip(todo, gaps, strict=True) for i in at}
-        found = {w: self.old[w] for w in missing if w in self.old}
-        if len(found) < len(missing):
-            found |= self.learn([w for w in missing if w not in found])
-        for (k, ws), ids, at in zip(todo, known, gaps, strict=True):
-            for i in at:
-                ids[i] = found[ws[i]]
-            out[k] += b"".join(ids)
-        self.kept |= {w: x for w, x in found.items() if len(w) <= KEPT_CHARS}
+        out, todo, held = [], [], 0
+        for text in [*texts, None]:
+            if text is None or held >= SLICE:
+                out += [head + x + tail for x in self.encode_together(todo)]
+                todo, held = [], 0
+            if text is not None:
+                todo.append((" " + text.replace(SPACE, " ")).encode("utf-8", "surrogatepass") if text else b"")
+                held += len(todo[-1])
+        return out
+
+    def encode_together(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of texts that begin with the model's space, from one row of words: a slice at a time, each of its different words looked up once."""
+        data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        upto, flat, at = np.zeros(len(texts), np.int64), bytearray(), 0
+        while at < len(data):
+            bounds = self.bounds(data, at, ends)
+            offsets = (bounds - at).astype(np.int32)
+            words = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data[at : bounds[-1]])])
+            found = words.dictionary_encode()
+            ids = pa.array(self.ids_of(found.dictionary.to_pylist()), pa.large_binary()).take(found.indices)
+            offsets = np.frombuffer(ids.buffers()[1], np.int64)[: len(bounds)]
+            here = slice(*np.searchsorted(ends, [at, bounds[-1]], "right"))
+            upto[here] = len(flat) + offsets[np.searchsorted(bounds, ends[here])]
+            flat += memoryview(ids.buffers()[2])[: offsets[-1]]
+            at = int(bounds[-1])
+        upto = upto.tolist()
+        whole_row = memoryview(flat)
+        return [bytes(whole_row[a:b]) for a, b in zip([0, *upto], upto, strict=False)]
+
+    def bounds(self, data: np.ndarray, at: int, ends: np.ndarray) -> np.ndarray:
+        """Where words begin from ``at`` on, and where the last of them ends: about SLICE bytes of whole words, none across the end of a text."""
+        size = SLICE
+        while True:
+            part = data[at : at + size]
+            apart = ~self.pieces.joined[(part[:-1].astype(np.uint16) << 8) | part[1:]]
+            apart[ends[slice(*np.searchsorted(ends, [at + 1, at + len(part)]))] - at - 1] = True
+            cuts = np.flatnonzero(apart) + 1
+            if at + size >= len(data):
+                return at + np.concatenate([[0], cuts, [len(part)]])
+            if len(cuts):
+                return at + np.concatenate([[0], cuts])
+            size *= 2
+
+    def ids_of(self, words: list[bytes]) -> list[bytes]:
+        """Ids of different words. Those met lately are remembered: in two halves, of which the older goes."""
+        ids = list(map(self.kept.get, words))
+        gaps = holes(ids)
+        parts = {i: self.cut(words[i]) for i in gaps if len(words[i]) > KEPT_BYTES}
+        new = {words[i] for i in gaps if i not in parts}.union(*parts.values())
+        found = {w: x for w in new if (x := self.old.get(w) or self.kept.get(w))}
+        if len(found) < len(new):
+            found |= self.learn([w for w in new if w not in found])
+        for i in gaps:
+            ids[i] = b"".join([found[x] for x in parts[i]]) if i in parts else found[words[i]]
+        self.kept.update((w, x) for w, x in found.items() if len(w) <= KEPT_BYTES)
         if len(self.kept) > WORDS_KEPT:
             self.old, self.kept = self.kept, {}
-        todo.clear()
-        return 0
+        return ids
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: control ids say nothing, the first piece loses one leading space, and byte ids that are no UTF-8 become U+FFFD each."""
+        return self.decode_all([ids])[0]
+
+    def decode_all(self, rows: list[bytes]) -> list[str]:
+        """The texts of rows of ids, about SLICE ids at a time."""
+        out, todo, held = [], [], 0
+        for ids in rows:
+            todo.append(ids)
+            held += len(ids) // 4
+            if held >= SLICE:
+                out += self.decode_together(todo)
+                todo, held = [], 0
+        return out + self.decode_together(todo)
+
+    def decode_together(self, rows: list[bytes]) -> list[str]:
+        """What the pieces of all rows say, put in a row and cut where the rows end; rows with control ids within or broken UTF-8 are read by runs."""
         p = self.pieces
-        found = np.frombuffer(ids, "<u4")
+        found, ends = np.frombuffer(b"".join(rows), "<u4"), np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows))) // 4
         if len(found) and found.max() >= p.n:
             raise ValueError(f"id {found.max()} is not below {p.n}")
-        told = np.flatnonzero(~np.isin(found, p.silent))
-        if not len(told):
-            return ""
-        if told[-1] - told[0] >= len(told):  # control ids within part runs of bytes
-            return self.decode_by_runs(found)
-        first, found, out = int(found[told[0]]), found[told], []
+        starts = np.concatenate([[0], ends])[: len(rows)]
+        quiet = p.quiet[found]
+        silent = np.flatnonzero(quiet)
+        some, head, tail = ends > starts, np.zeros(len(rows), int), np.zeros(len(rows), int)
+        head[some], tail[some] = quiet[starts[some]], quiet[ends[some] - 1]
+        within = np.searchsorted(silent, ends) - np.searchsorted(silent, starts) > head + tail
+        first = (starts + head)[starts + head < ends]
+        data, upto = bytearray(), np.zeros(len(rows), np.int64)
         for k in range(0, len(found), SLICE):
-            out.append(b"".join(map(p.out.__getitem__, found[k : k + SLICE].tolist())))
-        try:
-            return b"".join(out).decode()[1 if first in p.leads else 0 :]
-        except UnicodeDecodeError:
-            return self.decode_by_runs(found)
+            part = found[k : k + SLICE].copy()
+            part[first[slice(*np.searchsorted(first, [k, k + len(part)]))] - k] += p.n
+            said = p.said.take(pa.array(part))
+            offsets = np.frombuffer(said.buffers()[1], np.int64)[: len(said) + 1]
+            here = slice(*np.searchsorted(ends, [k, k + len(said)], "right"))
+            upto[here] = len(data) + offsets[ends[here] - k]
+            data += memoryview(said.buffers()[2])[: offsets[-1]]
+        texts, upto = [], upto.tolist()
+        for i, (a, b) in enumerate(zip([0, *upto], upto, strict=False)):
+            text = None if within[i] else whole(data[a:b])
+            texts.append(self.decode_by_runs(found[starts[i] : ends[i]]) if text is None else text)
+        return texts
 
     def decode_by_runs(self, found: np.ndarray) -> str:
         """Bytes of each run of byte ids are read apart from the ids around them."""
@@ -323,6 +370,19 @@ class Codec:
         return "".join(text)
 
 
+def shown(word: bytes) -> str:
+    """Text with spaces as the model's pieces have them."""
+    return word.decode("utf-8", "surrogatepass").replace(" ", SPACE)
+
+
+def whole(data: bytes | bytearray) -> str | None:
+    """Text of UTF-8, None of other bytes."""
+    try:
+        return data.decode()
+    except UnicodeDecodeError:
+        return None
+
+
 def holes(values: list) -> list[int]:
     """Where a list has None."""
     at, i = [], -1
@@ -358,8 +418,7 @@ def encoded(text: Column, model_path: str, bos: bool = True, eos: bool = True) -
 
     @F.pandas_udf("binary")
     def run(bodies: pd.Series) -> pd.Series:
-        found = codec(model_path)
-        return pd.Series(found.encode([by_single_bytes(b) for b in bodies], bos, eos), dtype=object)
+        return pd.Series(codec(model_path).encode([by_single_bytes(b) for b in bodies], bos, eos), dtype=object)
 
     return run(F.coalesce(text.cast("binary"), F.lit(b"")))
 
@@ -369,20 +428,43 @@ def decoded(ids: Column, model_path: str) -> Column:
 
     @F.pandas_udf("string")
     def run(found: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else codec(model_path).decode(x) for x in found], dtype=object)
+        return told(found, model_path)
 
     return run(ids)
 
 
-def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", bos: bool = True, eos: bool = True) -> DataFrame:
+def coded(text: Column, model_path: str, bos: bool = True, eos: bool = True) -> Column:
+    """Both, as a struct (ids, decoded). Of decoded(encoded(text)) beside encoded(text) Spark would work the ids out twice."""
+
+    @F.pandas_udf("ids binary, decoded string")
+    def run(bodies: pd.Series) -> pd.DataFrame:
+        ids = pd.Series(codec(model_path).encode([by_single_bytes(b) for b in bodies], bos, eos), dtype=object)
+        return pd.DataFrame({"ids": ids, "decoded": told(ids, model_path)})
+
+    return run(F.coalesce(text.cast("binary"), F.lit(b"")))
+
+
+def told(found: pd.Series, model_path: str) -> pd.Series:
+    out = pd.Series([None] * len(found), dtype=object)
+    there = found.notna().to_numpy()
+    out[there] = pd.Series(codec(model_path).decode_all(found[there].tolist()), index=out.index[there], dtype=object)
+    return out
+
+
+def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", bos: bool = True, eos: bool = True, decoded_col: str | None = None) -> DataFrame:
     """(id, ids, n_tokens) of each row: the ids that the library gives for the whole text, begin and end ids included.
 
+    With ``decoded_col`` that column holds the text of the ids, read back from them in the same pass over the rows.
     Null and empty texts have the begin and end ids alone; bytes that are no UTF-8 count as U+FFFD each; null ids of rows
     and repeated rows stay as they are. A text is cut into slices and words where no piece reaches across, so memory grows
     with one text and its ids, not with their pairs. Rows are independent: no shuffle. Other columns are not looked at.
     No rows give no rows.
     """
-    found = docs.select(F.col(id_col), encoded(F.col(text_col), model_path, bos, eos).alias("ids"))
+    if decoded_col is None:
+        found = docs.select(F.col(id_col), encoded(F.col(text_col), model_path, bos, eos).alias("ids"))
+    else:
+        both = coded(F.col(text_col), model_path, bos, eos)
+        found = docs.select(F.col(id_col), both["ids"].alias("ids"), both["decoded"].alias(decoded_col))
     return found.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
 
 

@@ -68,7 +68,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("piece_bpe_32k.model")
-    found = pieces.decode_documents(pieces.encode_documents(table(spark, sf_dir, "documents"), path), path)
+    found = pieces.encode_documents(table(spark, sf_dir, "documents"), path, decoded_col="decoded")
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -98,6 +98,31 @@ def test_texts_are_cut_without_a_change(monkeypatch):
     assert own.decode(found[0]) == text
 
 
+@pytest.mark.parametrize("size", [1, 9, 1000])
+def test_slices_of_any_size_end_between_words(monkeypatch, size):
+    rng = random.Random(size)
+    texts = ["".join(rng.choice("ab e9.,-▁\n  éßñ日本한😀\u0301") for _ in range(rng.choice([0, 0, 1, 40, 300]))) for _ in range(60)]
+    monkeypatch.setattr(pieces, "SLICE", size)
+    own, sp = pieces.Codec(MODEL), library()
+    found = own.encode(texts, True, True)
+    assert [ids(x) for x in found] == sp.encode(texts, add_bos=True, add_eos=True)
+    rows = [*found, b"", found[-1] + found[3], found[0][:4], *(x[4:] for x in found)]
+    assert own.decode_all(rows) == [sp.decode(ids(x)) for x in rows]
+
+
+def test_words_are_merged_once_and_without_what_no_piece_holds_together(monkeypatch):
+    met, learn = Counter(), pieces.Codec.learn
+    monkeypatch.setattr(pieces.Codec, "learn", lambda self, words: met.update(words) or learn(self, words))
+    texts = [f"item {k}, price {k}.{k % 100}; done({k})" for k in range(500)]
+    assert [ids(x) for x in pieces.Codec(MODEL).encode(texts, False, False)] == library().encode(texts)
+    assert max(met.values()) == 1 and len(met) < 50  # digits are pieces of their own, so numbers are no new words
+
+
+def test_query_encodes_a_text_once(spark, sf_dir):
+    found = queries.op11_sentencepiece(spark, sf_dir)
+    assert found._jdf.queryExecution().executedPlan().toString().count("run(") == 1
+
+
 def test_models_that_change_texts_are_refused(monkeypatch):
     import sentencepiece
 
