@@ -74,6 +74,23 @@ def test_question_keywords(spark):
     assert value(spark, answers.question_keywords(F.lit("Which documents about those Sellers list rain, sellers and totals?"))) == ["which", "sellers", "totals"]
 
 
+@pytest.mark.parametrize(
+    ("question", "answer", "cited", "uncited"),
+    [
+        ("Welche Universität?", "The Universität: its rain is not mentioned.", "Berlin.", ["universit"]),
+        ("Welche Universität?", "The Universität: its rain is not mentioned.", "Die Universität.", []),
+        ("Sellers of steel?", "Prices are not known; the rain is not mentioned. Sellers+steel#", "Steel+iron", ["sellers"]),
+        ("Which sellers?", "This is not mentioned by sellers.", "Rain.", ["sellers"]),
+        ("Which sellers?", "The sellers are known.", "Rain.", []),
+        ("Wo ßenheit?", "The ßenheit: its rain is not mentioned.", "Rain.", []),
+        ("The İstanbul office?", "The İstanbul oﬃce: its rain is not mentioned.", "Rain.", ["office", "stanbul"]),
+    ],
+)
+def test_question_keywords_are_found_beside_letters_with_marks(spark, question, answer, cited, uncited):
+    asked, said, shown = (spark.createDataFrame([(1, t)], "run long, text string") for t in (question, answer, cited))
+    assert sorted(r["token"] for r in answers.uncited_keywords(asked, said, shown, "run", "text").collect()) == uncited
+
+
 def test_layout_trees_with_odd_numbers(spark):
     tree = {"kids": [
         {"type": "heading", "heading level": "Doctitle", "content": "Top", "page number": "2"}, {"type": "heading", "heading level": "2", "content": "Sub", "page number": 0},
